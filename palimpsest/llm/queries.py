@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.licenses import oracle
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,9 +49,42 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_topk, op8_packing, op9_secrets, op10_exact_dedup)}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.toxicity import grade, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return grade(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.suffix_dedup import cut_repeats
+
+    return cut_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.piece_codec import coded
+
+    return coded(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_piece_codec, op7_topk, op8_packing, op9_secrets, op10_exact_dedup)}
 
 ORACLES = {
+    "op5_license_scan": oracle(),
     "op7_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
