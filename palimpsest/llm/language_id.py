@@ -130,6 +130,18 @@ class ByteNet:
             out.append(logit - np.log(np.exp(logit).sum(1, keepdims=True)))
         return np.concatenate(out)
 
+    def predict_all(self, texts: list[str | None], size: int = 1_000_000) -> list[tuple[str, float]]:
+        """predict(), about `size` characters at a time."""
+        said, at = [], 0
+        while at < len(texts):
+            to, n = at, 0
+            while to < len(texts) and n < size:
+                n += len(texts[to] or "")
+                to += 1
+            said += self.predict(texts[at:to])
+            at = to
+        return said
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) for each text."""
         said: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
@@ -189,14 +201,7 @@ def identify(documents: DataFrame, net: ByteNet) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, at, said = b.column(1).to_pylist(), 0, []
-            while at < len(texts):  # about a million characters at a time
-                to, size = at, 0
-                while to < len(texts) and size < 1_000_000:
-                    size += len(texts[to] or "")
-                    to += 1
-                said += net.predict(texts[at:to])
-                at = to
+            said = net.predict_all(b.column(1).to_pylist())
             cols = list(zip(*said, strict=True)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -212,6 +217,6 @@ def keep_identified(documents: DataFrame, net: ByteNet, least: float = 0.4) -> D
     def known(text):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([lang != "und" and score >= least for t in text for lang, score in net.predict([t])])
+        return pd.Series([lang != "und" and score >= least for lang, score in net.predict_all([t if isinstance(t, str) else None for t in text])], dtype=bool)
 
     return documents.where(known("text"))

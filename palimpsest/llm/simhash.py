@@ -6,6 +6,11 @@ non-zero vectors v: it keeps the places whose vector has odd parity with v. The
 some v orthogonal to them all, so every pair within radius r agrees under some mask: no link is lost.
 Components: large-star and small-star rounds over stored tables; no link reaches the driver.
 
+For a larger radius the places are dealt to `parts` groups: of at most radius differing places, one group has at most
+radius // parts, so the masks of all groups for that smaller radius cover. drop_near works that way: it takes pairs of up to
+NEAR_RADIUS differing bits, and of these keeps those whose WIDE further words of fingerprint differ in at most NEAR_BITS bits,
+which is a share of shingles in common (Jaccard) of about 0.8.
+
 Equal fingerprints are one node from the start. Within a bucket only a spanning forest of its links is emitted. A bucket of
 over BUCKET distinct fingerprints is dealt anew by the same masks over the bits it doesn't fix, as often as needed.
 
@@ -25,71 +30,90 @@ from pyspark.sql import functions as F
 from palimpsest.llm._shared import keep_ids, ready, stored, with_class
 
 RADIUS, BUCKET = 3, 8192
+NEAR_RADIUS, NEAR_PARTS, WIDE, NEAR_BITS = 11, 3, 4, 43
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of a text over shingles of `width` words, lower-cased in A-Z only."""
+def fingerprints(text: str | None, width: int = 3, wide: int = 0) -> list[int]:
+    """The SimHash of a text over shingles of `width` words, lower-cased in A-Z only; then `wide` more, from the same hashes mixed."""
     from xxhash import xxh64_intdigest as h64
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * (1 + wide)
     joined = b" ".join(words)
     if len(words) <= width:
-        return h64(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-width])).tolist()
-    hashes = np.array([h64(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+        hashes = np.array([h64(joined, 42)], dtype="<u8")
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-width])).tolist()
+        hashes = np.array([h64(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+    out = []
+    for n in range(1 + wide):
+        if n:
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        total = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def _fingerprints(width: int):
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The first word of fingerprints()."""
+    return fingerprints(text, width)[0]
+
+
+def _fingerprints(width: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprints(x.as_py(), width, wide) for x in b.column(1)], dtype=np.uint64).reshape(-1, 1 + wide).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc_id", "fp", *_wide(wide)])
 
     return run
 
 
-def covering_masks(free: int, radius: int = RADIUS) -> list[int]:
+def _wide(n: int) -> list[str]:
+    return [f"wide{i}" for i in range(n)]
+
+
+def covering_masks(free: int, radius: int = RADIUS, parts: int = 1) -> list[int]:
     """Masks over the bits set in `free`, such that two values that differ in at most `radius` of them agree under one."""
     places = [i for i in range(64) if free >> i & 1]
-    count = (1 << radius + 1) - 1
-    return [sum(1 << p for n, p in enumerate(places) if ((n % count + 1) & v).bit_count() & 1) for v in range(1, count + 1)]
+    count = (1 << radius // parts + 1) - 1
+    return [sum(1 << p for n, p in enumerate(places[part::parts]) if ((n % count + 1) & v).bit_count() & 1) for part in range(parts) for v in range(1, count + 1)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _dealt(rows: DataFrame, radius: int, parts: int, wide: list[str]) -> DataFrame:
+    """(fp, mask, wide...) rows, mask the bits fixed so far, as one row per covering mask: fp, mask, bucket, wide..."""
 
-
-def _dealt(rows: DataFrame, radius: int) -> DataFrame:
-    """(fp, mask) rows, mask the bits fixed so far, as one row per covering mask: fp, mask, bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for b in batches:
-            fp, mask = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
-            for m in np.unique(mask):
+            cols = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns]
+            for m in np.unique(cols[1]):
                 if int(m) not in known:
-                    known[int(m)] = np.array([int(m) | x for x in covering_masks(~int(m) & (1 << 64) - 1, radius)], dtype=np.uint64)
-                own, to = fp[mask == m], known[int(m)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, len(to)).view(np.int64)), pa.array(np.tile(to, len(own)).view(np.int64)), pa.array((own[:, None] & to[None, :]).ravel().view(np.int64))],
-                    names=["fp", "mask", "bucket"],
-                )
+                    known[int(m)] = np.array([int(m) | x for x in covering_masks(~int(m) & (1 << 64) - 1, radius, parts)], dtype=np.uint64)
+                own, to = cols[1] == m, known[int(m)]
+                fp = cols[0][own]
+                out = [np.repeat(fp, len(to)), np.tile(to, len(fp)), (fp[:, None] & to[None, :]).ravel(), *(np.repeat(c[own], len(to)) for c in cols[2:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in out], names=["fp", "mask", "bucket", *wide])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["fp", "mask", "bucket", *wide]))
 
-    return rows.mapInArrow(run, "fp long, mask long, bucket long")
 
+def _forest(cols: list[np.ndarray], length: np.ndarray, radius: int, bits: int) -> np.ndarray:
+    """For sorted runs (length: what is left of the own run, itself included), the index each row's component starts at.
 
-def _forest(fp: np.ndarray, length: np.ndarray, radius: int) -> np.ndarray:
-    """For sorted runs (length: what is left of the own run, itself included), the index each row's component starts at."""
+    Two rows of a run are linked if their fingerprints are within radius and their further words within `bits`.
+    """
+    fp, wide = cols[0], cols[3:]
     root = np.arange(len(fp))
     live, d = np.flatnonzero(length > 1), 1
     while len(live):
         near = live[np.bitwise_count(fp[live] ^ fp[live + d]) <= radius]
+        if wide and len(near):
+            near = near[sum(np.bitwise_count(w[near] ^ w[near + d]).astype(np.int64) for w in wide) <= bits]
         a, b = root[near], root[near + d]
         while len(a := a[differs := a != b]):
             b = b[differs]
@@ -102,70 +126,73 @@ def _forest(fp: np.ndarray, length: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _links(radius: int, bucket: int):
-    """Over rows sorted by (mask, bucket): a link from each row to its component's first; rows of too large buckets go back."""
-    def solve(fp, mask, key):
-        new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))))
-        size = np.diff(np.append(new, len(fp)))
-        left = np.repeat(new + size, size) - np.arange(len(fp))
-        root = _forest(fp, left, radius)
-        at = np.flatnonzero(root != np.arange(len(fp)))
-        return _rows(fp[at], fp[root[at]], np.zeros(len(at), dtype=np.uint64))
+def _links(radius: int, bits: int, bucket: int, wide: list[str]):
+    """Over rows sorted by (mask, bucket): a link from each row to its component's first; rows of too large buckets go back.
+
+    A link has mask 0; a row that goes back has its fingerprint twice and the mask that made the bucket.
+    """
+
+    def out(a: np.ndarray, b: np.ndarray, mask: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b, mask, *more)], names=["a", "b", "mask", *wide])
 
-    def _rows(a, b, mask):
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b, mask)], names=["a", "b", "mask"])
+    def back(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return out(cols[0], cols[0], cols[1], cols[3:])
+
+    def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """For complete buckets."""
+        if not len(cols[0]):
+            return
+        new = np.flatnonzero(np.concatenate(([True], (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))))
+        size = np.diff(np.append(new, len(cols[0])))
+        big = np.repeat(size > bucket, size)
+        if big.any():
+            yield back([c[big] for c in cols])
+        small = ~big & (np.repeat(size, size) > 1)
+        left = (np.repeat(new + size, size) - np.arange(len(cols[0])))[small]
+        cols = [c[small] for c in cols]
+        root = _forest(cols, left, radius, bits)
+        at = np.flatnonzero(root != np.arange(len(root)))
+        none = np.zeros(len(at), dtype=np.uint64)
+        yield out(cols[0][at], cols[0][root[at]], none, [none] * len(wide))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, dtype=np.uint64)] * 3
+        held = [np.empty(0, dtype=np.uint64)] * (3 + len(wide))
         over = None  # the bucket that is being sent back
         for b in batches:
-            cols = [np.concatenate((h, b.column(i).to_numpy(zero_copy_only=False).view(np.uint64))) for i, h in enumerate(held)]
+            cols = [np.concatenate((h, c.to_numpy(zero_copy_only=False).view(np.uint64))) for h, c in zip(held, b.columns, strict=True)]
+            if over is not None and len(cols[0]):
+                n = int(np.argmin(np.append((cols[1] == over[0]) & (cols[2] == over[1]), False)))
+                yield back([c[:n] for c in cols])
+                over = over if n == len(cols[0]) else None
+                cols = [c[n:] for c in cols]
             if not len(cols[0]):
+                held = cols
                 continue
-            if over is not None:
-                same = (cols[1] == over[0]) & (cols[2] == over[1])
-                n = len(same) if same.all() else int(np.argmin(same))
-                yield _rows(cols[0][:n], cols[0][:n], cols[1][:n])
-                cols = [c[n:] for c in cols]
-                if not len(cols[0]):
-                    held = cols
-                    continue
-                over = None
-            cut = len(cols[0]) - 1 - int(np.argmin(((cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1]))[::-1])) + 1
-            cut = 0 if ((cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])).all() else cut
+            last = (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+            cut = len(last) - int(np.argmin(np.append(last[::-1], False)))
             yield from whole([c[:cut] for c in cols])
             held = [c[cut:] for c in cols]
             if len(held[0]) > bucket:
                 over = (held[1][0], held[2][0])
-                yield _rows(held[0], held[0], held[1])
+                yield back(held)
                 held = [c[:0] for c in held]
-        if len(held[0]):
-            yield solve(*held)
-
-    def whole(cols):
-        if not len(cols[0]):
-            return
-        new = np.flatnonzero(np.concatenate(([True], (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))))
-        size = np.diff(np.append(new, len(cols[0])))
-        big = np.repeat(size > bucket, size)
-        if big.any():
-            yield _rows(cols[0][big], cols[0][big], cols[1][big])
-            cols = [c[~big] for c in cols]
-        if len(cols[0]):
-            yield solve(*cols)
+        yield from whole(held)
 
     return run
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links (a > b not implied) that connect the distinct fingerprints of prints (column fp) just as all pairs within radius do."""
-    rows, found = prints.select("fp", F.lit(0).cast("long").alias("mask")), None
+def near_links(nodes: DataFrame, radius: int = RADIUS, parts: int = 1, bits: int = 0, wide: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links that connect the distinct fingerprints of nodes (column fp, and wide0... if wide) just as all near pairs do."""
+    more = _wide(wide)
+    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows, found = nodes.select("fp", F.lit(0).cast("long").alias("mask"), *more), None
+    kinds = ", ".join(f"{c} long" for c in ["a", "b", "mask", *more])
     while True:
-        dealt = _dealt(rows, radius)
-        out = stored(dealt.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp").mapInArrow(_links(radius, bucket), "a long, b long, mask long"), "links")
+        dealt = _dealt(rows, radius, parts, more).repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp")
+        out = stored(dealt.mapInArrow(_links(radius, bits, bucket, more), kinds), "links")
         links = out.where("mask = 0").select("a", "b").distinct()
         found = links if found is None else found.unionByName(links)
-        rows = out.where("mask <> 0").select(F.col("a").alias("fp"), "mask")
+        rows = out.where("mask <> 0").select(F.col("a").alias("fp"), "mask", *more)
         if rows.isEmpty():
             return found
 
@@ -188,22 +215,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = new
 
 
-def near_groups(documents: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+def near_groups(documents: DataFrame, width: int = 3, radius: int = RADIUS, parts: int = 1, wide: int = 0, bits: int = 0) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of documents (columns doc_id, text)."""
     ready(documents.sparkSession)
-    prints = stored(documents.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long"), "prints")
+    more = _wide(wide)
+    prints = stored(documents.select("doc_id", "text").mapInArrow(_fingerprints(width, wide), ", ".join(f"{c} long" for c in ["doc_id", "fp", *more])), "prints")
     total = prints.count()
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "nodes")
-    roots = components(near_links(nodes, radius))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), *(F.min(c).alias(c) for c in more)), "nodes")
+    roots = components(near_links(nodes, radius, parts, bits, wide))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(named.join(least, "root").select("fp", "component_id", "size"), "classes")
-    out = with_class(prints, classes, "fp", "size", total)
+    out = with_class(prints.select("doc_id", "fp"), classes, "fp", "size", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(documents: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """documents with only the smallest doc_id of each component; all its columns stay."""
-    gone = stored(near_groups(documents, width, radius).where("doc_id <> component_id").select("doc_id"), "gone")
+def drop_near(documents: DataFrame, width: int = 5) -> DataFrame:
+    """documents with only the smallest doc_id of each group of near copies; all its columns stay."""
+    groups = near_groups(documents, width, NEAR_RADIUS, NEAR_PARTS, WIDE, NEAR_BITS)
+    gone = stored(groups.where("doc_id <> component_id").select("doc_id"), "gone")
     return keep_ids(documents, gone, "left_anti")

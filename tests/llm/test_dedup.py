@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.llm.exact_dedup import drop_exact, exact_groups, golomb_decode, golomb_encode
-from palimpsest.llm.simhash import components, covering_masks, drop_near, fingerprint, near_groups, near_links
+from palimpsest.llm.simhash import NEAR_BITS, NEAR_RADIUS, WIDE, components, covering_masks, drop_near, fingerprint, fingerprints, near_groups, near_links
 
 SCHEMA = "doc_id long, text string"
 
@@ -78,6 +78,11 @@ def test_covering_masks_cover():
             diff = sum(1 << int(p) for p in rng.choice(places, size=int(rng.integers(1, 4)), replace=False))
             assert any(not m & diff for m in masks)
         assert len(masks) == 15 and all(m & ~free == 0 for m in masks)
+    masks = covering_masks((1 << 64) - 1, 11, 3)
+    for _ in range(500):
+        diff = sum(1 << int(p) for p in rng.choice(64, size=int(rng.integers(1, 12)), replace=False))
+        assert any(not m & diff for m in masks)
+    assert len(masks) == 45
 
 
 def union(n, pairs):
@@ -132,3 +137,14 @@ def test_drop_near_keeps_smallest(spark):
     df = spark.createDataFrame([(5, t, "x"), (3, t, "y"), (9, "quite another text of some words", "z")], "doc_id long, text string, fp string")
     out = drop_near(df)
     assert sorted(r.doc_id for r in out.collect()) == [3, 9] and out.columns == df.columns
+
+
+def test_drop_near_whole_table(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = sorted(map(tuple, docs.collect()))
+    fps = np.array([fingerprints(t, 5, WIDE) for _, t in data], dtype=np.uint64)
+    d = lambda i, j: np.bitwise_count(fps[i] ^ fps[j])
+    near = lambda x: x[0] == 0 or (x[0] <= NEAR_RADIUS and x[1:].sum() <= NEAR_BITS)
+    root = union(len(data), [(i, j) for i in range(len(data)) for j in range(i) if near(d(i, j))])
+    assert sorted(r.doc_id for r in drop_near(docs).collect()) == sorted({data[r][0] for r in root})
+    assert len(set(root)) < len(data)
