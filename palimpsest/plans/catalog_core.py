@@ -12,7 +12,7 @@ from palimpsest.plans.registry import query
 day = lambda c, alias=None: F.date_format(c, "yyyy-MM-dd").alias(alias or c)
 joined = lambda c: F.concat_ws(",", F.array_sort(F.collect_list(c)))
 row_n = lambda w: F.row_number().over(w).cast("long")
-STEPS = Window.partitionBy("case_id").orderBy("step", "part", "supp", "amount")
+STEPS = lambda: Window.partitionBy("case_id").orderBy("step", "part", "supp", "amount")
 
 
 # Temporal
@@ -114,11 +114,11 @@ query("srt07_prefix_limit", "SELECT case_id FROM cases ORDER BY occurred_at, cas
 
 # Environment as windows over the ordered calls
 query("env02_stale_guard", "SELECT case_id, n, last_value(CASE WHEN tool = 'retrieve_policy' THEN cited END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS selected FROM steps")(
-    lambda w: w.actions.select("case_id", row_n(STEPS).alias("n"), F.last(F.when(F.col("tool") == "retrieve_policy", F.col("cited")), True).over(STEPS.rowsBetween(Window.unboundedPreceding, -1)).alias("selected")))
+    lambda w: w.actions.select("case_id", row_n(STEPS()).alias("n"), F.last(F.when(F.col("tool") == "retrieve_policy", F.col("cited")), True).over(STEPS().rowsBetween(Window.unboundedPreceding, -1)).alias("selected")))
 query("env03_finalized_guard", "SELECT case_id, n, coalesce(bool_or(tool = 'finalize_case') OVER (PARTITION BY case_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS finalized FROM steps")(
-    lambda w: w.actions.select("case_id", row_n(STEPS).alias("n"), F.coalesce(F.max(F.col("tool") == "finalize_case").over(STEPS.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).alias("finalized")))
+    lambda w: w.actions.select("case_id", row_n(STEPS()).alias("n"), F.coalesce(F.max(F.col("tool") == "finalize_case").over(STEPS().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).alias("finalized")))
 query("env04_status_fold", "SELECT case_id, n, coalesce(last_value(CASE WHEN failed THEN NULL WHEN tool = 'release_item' THEN 'released' WHEN tool = 'quarantine_item' THEN 'quarantined' WHEN tool = 'finalize_case' THEN 'closed' END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY n), 'open') AS status FROM steps")(
-    lambda w: w.actions.select("case_id", row_n(STEPS).alias("n"), F.coalesce(F.last(F.when(F.col("failed"), None).when(F.col("tool") == "release_item", "released").when(F.col("tool") == "quarantine_item", "quarantined").when(F.col("tool") == "finalize_case", "closed"), True).over(STEPS.rowsBetween(Window.unboundedPreceding, 0)), F.lit("open")).alias("status")))
+    lambda w: w.actions.select("case_id", row_n(STEPS()).alias("n"), F.coalesce(F.last(F.when(F.col("failed"), None).when(F.col("tool") == "release_item", "released").when(F.col("tool") == "quarantine_item", "quarantined").when(F.col("tool") == "finalize_case", "closed"), True).over(STEPS().rowsBetween(Window.unboundedPreceding, 0)), F.lit("open")).alias("status")))
 query("env01_gate_errors", "SELECT event_id, CASE WHEN event_type = 'signup' THEN 'unknown_tool' WHEN json_extract_string(props, '$.k') IS NULL OR CAST(json_extract_string(props, '$.k') AS INT) > 95 THEN 'invalid_arguments' WHEN event_type = 'purchase' AND value < 10 THEN 'permission_denied' ELSE 'ok' END AS code FROM events", world=False)(
     lambda w: w.table("events").withColumn("k", F.get_json_object("props", "$.k").try_cast("int")).select("event_id", F.when(F.col("event_type") == "signup", "unknown_tool").when(F.col("k").isNull() | (F.col("k") > 95), "invalid_arguments").when((F.col("event_type") == "purchase") & (F.col("value") < 10), "permission_denied").otherwise("ok").alias("code")))
 query("ext_tumbling_audit", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", world=False)(
