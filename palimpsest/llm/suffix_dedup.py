@@ -9,7 +9,8 @@ What is wanted: each byte covered by a string of LENGTH bytes that also starts i
 3. Maximal runs of windows with one shared anchor are segments, of MAX_SEGMENT bytes at most. A block sends each distinct
    segment once, with its smallest doc_id, to the anchor's owner: equal windows meet there, and a passage that a third of all
    documents hold arrives once per block.
-4. An owner builds the suffix order of its segments column by column: each round puts one more symbol in front of every
+4. Equal windows have equal anchors, so a segment that is the only text under its anchor is in a class by itself. An owner
+   builds the suffix order of all others column by column, for CHUNK segments of whole anchors at a time: each round puts one more symbol in front of every
    segment's suffix and passes over the Burrows-Wheeler transform and the common-prefix lengths of the round before, which lie
    in files that are read and written in sequence. Suffixes with a common prefix of LENGTH or more form a class; its smallest
    doc_id goes back to the blocks, which mark, merge and cut.
@@ -22,7 +23,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._shared import BROADCAST_BYTES, bounded, ready, stored, with_class
 
-LENGTH, ANCHOR, BLOCK, OWNED = 50, 24, 2 << 20, 64 << 20
+LENGTH, ANCHOR, BLOCK, OWNED, CHUNK = 50, 24, 2 << 20, 64 << 20, 4000
 SPAN = LENGTH - ANCHOR + 1  # anchors in a window; a segment has this many windows at most
 MAX_SEGMENT = LENGTH + SPAN - 1
 NONE = np.iinfo(np.int64).max
@@ -43,31 +43,62 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def suffix_classes(segments: np.ndarray, sizes: np.ndarray, length: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, suffix size, class) for each suffix of at least `length` bytes; equal first `length` bytes, equal class.
 
-    segments: a row of bytes for each segment, padded. Round by round the sorted list of suffixes of at most r bytes (SA as
-    segment and size) comes from the one before by its transform: putting its preceding symbol in front of each suffix sorts
-    the results by symbol, ties in the old order. Two neighbours under one symbol share one more byte than the least common
-    prefix between their tails. The empty suffixes stand first.
+    segments: a row of bytes for each segment, padded. The list of suffixes in order starts with the empty ones. Each round puts
+    in the suffixes that are one symbol longer, one for each segment that isn't whole yet: sorted by their first symbol, ties by
+    the place of the rest, that is by a stable sort of the transform. Two neighbours under one symbol share one more byte than
+    the least common prefix between their rests, so only the new suffixes and their successors get a common prefix anew.
     """
     n = len(sizes)
-    whole = np.arange(n, dtype=np.int32)
-    symbol = lambda seg, size: np.where(size < sizes[seg], segments[seg, np.maximum(sizes[seg] - size - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
-    with tempfile.TemporaryDirectory(dir=folder) as at:
-        name = lambda what, r: os.path.join(at, f"{what}{r % 2}")
-        empty = np.zeros(n, dtype=np.uint8)
-        seg, size = whole, empty
-        symbol(seg, size).tofile(name("bwt", 0))
-        empty.tofile(name("lcp", 0))
-        for r in range(1, int(sizes.max()) + 1):
-            bwt, lcp = np.fromfile(name("bwt", r - 1), np.uint16), np.fromfile(name("lcp", r - 1), np.uint8)
+    seg, size = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.uint8)
+
+    def symbols(seg: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What precedes each suffix: the byte plus one, 0 in front of a whole segment."""
+        return np.where(size < sizes[seg], segments[seg, np.maximum(sizes[seg] - size - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
+
+    with tempfile.TemporaryFile(dir=folder) as bwt_file, tempfile.TemporaryFile(dir=folder) as lcp_file:
+
+        def put(file, values: np.ndarray) -> None:  # noqa: ANN001
+            file.seek(0)
+            file.write(values.data)
+            file.flush()
+
+        def get(file, kind: type, count: int) -> np.ndarray:  # noqa: ANN001
+            file.seek(0)
+            return np.frombuffer(file.read(count * np.dtype(kind).itemsize), kind)
+
+        put(bwt_file, symbols(seg, size))
+        put(lcp_file, size)
+        pending = np.ones(n, dtype=bool)  # suffixes whose extension isn't in the list yet
+        while True:
+            bwt, lcp = get(bwt_file, np.uint16, len(seg)), get(lcp_file, np.uint8, len(seg))
             order = np.argsort(bwt, kind="stable")
             order = order[np.searchsorted(bwt, 1, sorter=order) :]
-            seg, size = np.concatenate((whole, seg[order])), np.concatenate((empty, size[order] + np.uint8(1)))
-            new = np.zeros(len(order), dtype=np.uint8)
-            same = np.flatnonzero(bwt[order[1:]] == bwt[order[:-1]]) + 1
-            new[same] = _range_min(lcp, order[same - 1] + 1, order[same]) + np.uint8(1)
-            symbol(seg, size).tofile(name("bwt", r))
-            np.concatenate((empty, new)).tofile(name("lcp", r))
-        lcp = np.fromfile(name("lcp", int(sizes.max())), np.uint8)
+            t = np.flatnonzero(pending[order])
+            if not len(t):
+                break
+            old = order[t]
+            place = n + t
+            prefix = np.zeros(len(t), dtype=np.uint8)
+            same = np.flatnonzero((t > 0) & (bwt[order[t - 1]] == bwt[old]))
+            after = np.flatnonzero(t + 1 < len(order))
+            after = after[(bwt[order[t[after] + 1]] == bwt[old[after]]) & ~pending[order[t[after] + 1]]]
+            least = _range_min(lcp, np.concatenate((order[t[same] - 1], old[after])) + 1, np.concatenate((old[same], order[t[after] + 1]))) + np.uint8(1)
+            prefix[same] = least[: len(same)]
+            stay = np.ones(n + len(order), dtype=bool)
+            stay[place] = False
+
+            def merged(before: np.ndarray, new: np.ndarray) -> np.ndarray:
+                out = np.empty(len(stay), dtype=before.dtype)  # noqa: B023
+                out[stay], out[place] = before, new  # noqa: B023
+                return out
+
+            seg_new, size_new = seg[old], size[old] + np.uint8(1)
+            symbol = symbols(seg_new, size_new)
+            lcp = merged(lcp, prefix)
+            lcp[place[after] + 1] = least[len(same) :]
+            put(lcp_file, lcp)
+            put(bwt_file, merged(bwt, symbol))
+            seg, size, pending = merged(seg, seg_new), merged(size, size_new), merged(np.zeros(len(seg), dtype=bool), symbol > 0)
     classes = np.cumsum(lcp < length)
     kept = size >= length
     return seg[kept], size[kept], classes[kept]
@@ -157,7 +188,7 @@ def _record(names: str, *cols: list) -> pa.RecordBatch:
 
 
 PACKED, SENT, MARKS = "block long, data binary", "owner int, block long, n int, low binary, twice binary", "owner int, block long, bits binary"
-PIECES, LEAST, CUT = "owner int, block long, sizes binary, raw binary, least binary", "owner int, block long, least binary", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PIECES, LEAST, CUT = "owner int, block long, sizes binary, raw binary, least binary, keys binary", "owner int, block long, least binary", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +244,8 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_record(MARKS, *(map(list, zip(*rows, strict=True)) if rows else ([], [], [])))])
 
 
-def _segments(x: Block, owners: int, marks: list) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """For each owner its distinct segments (sizes, padded bytes, smallest doc_id); and the runs they come from with their places among all of the block's segments."""
+def _segments(x: Block, owners: int, marks: list) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For each owner its distinct segments (sizes, padded bytes, smallest doc_id, anchor); and the runs they come from with their places among all of the block's segments."""
     x.windows()
     edges, shared = x.edges(owners), np.zeros(len(x.keys), dtype=bool)
     for m in marks:
@@ -233,9 +264,11 @@ def _segments(x: Block, owners: int, marks: list) -> tuple[list[tuple[int, np.nd
     distinct, place = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_inverse=True)
     least = np.full(len(distinct), NONE)
     np.minimum.at(least, place, x.doc[x.of[run]])
+    keys = np.empty(len(distinct), dtype=np.uint32)
+    keys[place] = x.keys[x.inverse[run]].astype(np.uint32)
     flat = distinct.view(np.uint8).reshape(-1, wide.shape[1])
     of = np.ascontiguousarray(flat[:, :4]).view(">u4").ravel()
-    out = [(int(o), flat[a:e, 4], flat[a:e, 5:], least[a:e]) for o in np.unique(of) for a, e in [np.searchsorted(of, [o, o + 1])]]
+    out = [(int(o), flat[a:e, 4], flat[a:e, 5:], least[a:e], keys[a:e]) for o in np.unique(of) for a, e in [np.searchsorted(of, [o, o + 1])]]
     return out, run, place
 
 
@@ -244,7 +277,7 @@ def _pieces(owners: int):
         for b in batches:
             for number, data, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 found, _, _ = _segments(Block(data), owners, marks)
-                rows = [(o, number, s.tobytes(), w[np.arange(MAX_SEGMENT) < s[:, None]].tobytes(), m.tobytes()) for o, s, w, m in found]
+                rows = [(o, number, s.tobytes(), w[np.arange(MAX_SEGMENT) < s[:, None]].tobytes(), m.tobytes(), k.tobytes()) for o, s, w, m, k in found]
                 if rows:
                     yield _record(PIECES, *map(list, zip(*rows, strict=True)))
 
@@ -253,23 +286,33 @@ def _pieces(owners: int):
 
 def _least(table: pa.Table) -> pa.Table:
     """For each window of each block's segments the smallest doc_id of its class."""
-    owner, block, sizes, raw, least = (table.column(i).to_pylist() for i in range(5))
+    owner, block, sizes, raw, least, keys = (table.column(i).to_pylist() for i in range(6))
     each = [len(s) for s in sizes]
     size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
     wide = np.zeros((len(size), MAX_SEGMENT + 1), dtype=np.uint8)
     wide[:, 0] = size
     wide[:, 1:][np.arange(MAX_SEGMENT) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
     distinct, place = np.unique(wide.view(f"V{MAX_SEGMENT + 1}").ravel(), return_inverse=True)
-    low = np.full(len(distinct), NONE)
+    del wide, raw
+    low, key = np.full(len(distinct), NONE), np.empty(len(distinct), dtype=np.uint32)
     np.minimum.at(low, place, np.frombuffer(b"".join(least), "<i8"))
+    key[place] = np.frombuffer(b"".join(keys), np.uint32)
     flat = distinct.view(np.uint8).reshape(-1, MAX_SEGMENT + 1)
-    seg, tail, classes = suffix_classes(np.ascontiguousarray(flat[:, 1:]), flat[:, 0].astype(np.int64))
-    lowest = np.full(int(classes.max()) + 1, NONE)
-    np.minimum.at(lowest, classes, low[seg])
     windows = flat[:, 0].astype(np.int64) - LENGTH + 1
     first = np.cumsum(windows) - windows
-    best = np.empty(int(windows.sum()), dtype="<i8")
-    best[first[seg] + flat[seg, 0] - tail] = lowest[classes]
+    best = np.repeat(low, windows)
+    _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[of] > 1)
+    several = several[np.argsort(of[several], kind="stable")]
+    edges = np.append(np.flatnonzero(np.diff(of[several], prepend=-1)), len(several))
+    at = 0
+    while at < len(several):
+        to = edges[max(np.searchsorted(edges, at, side="right"), np.searchsorted(edges, at + CHUNK, side="right") - 1)]
+        mine, at = several[at:to], to
+        seg, tail, classes = suffix_classes(np.ascontiguousarray(flat[mine, 1:]), flat[mine, 0].astype(np.int64))
+        lowest = np.full(int(classes.max()) + 1, NONE)
+        np.minimum.at(lowest, classes, low[mine[seg]])
+        best[first[mine[seg]] + flat[mine[seg], 0] - tail] = lowest[classes]
     ends, rows = np.cumsum(each), []
     for o, b, e, n in zip(owner, block, ends.tolist(), each, strict=True):
         mine = place[e - n : e]
@@ -291,7 +334,7 @@ def _cut(owners: int):
                 if least:
                     found, runs, place = _segments(x, owners, marks)
                     best = np.concatenate([np.frombuffer(m["least"], "<i8") for m in sorted(least, key=lambda m: m["owner"])])
-                    windows = np.concatenate([s for _, s, _, _ in found]).astype(np.int64) - LENGTH + 1
+                    windows = np.concatenate([s for _, s, _, _, _ in found]).astype(np.int64) - LENGTH + 1
                     first = np.cumsum(windows) - windows
                     count = windows[place]
                     start = _ranges(x.run[runs], count)
