@@ -109,23 +109,30 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabul
     rows = documents.select("doc_id", "text").join(bounded(chosen, 64, min(n, 2 * sample)), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, clean = Counter(), Counter()
+        toxic_texts, clean_texts = Counter(), Counter()
+
+        def sent() -> pa.RecordBatch:
+            names = list(toxic_texts | clean_texts)
+            out = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (toxic_texts, clean_texts))]
+            toxic_texts.clear()
+            clean_texts.clear()
+            return pa.RecordBatch.from_arrays(out, names=["feature", "toxic", "clean"])
+
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
-                both.update(found)
-                if not toxic:
-                    clean.update(found)
-        names = [f for f, c in both.items() if c > clean[f]] + [""]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([both[f] - clean[f] for f in names], pa.int64()), pa.array([clean[f] for f in names], pa.int64())], names=["feature", "toxic", "clean"])
+                (toxic_texts if toxic > 0 else clean_texts).update(found)
+                if len(toxic_texts) + len(clean_texts) >= CACHE:
+                    yield sent()
+        yield sent()
 
-    # Features that a task saw in no toxic text are not sent: a few clean ones go uncounted, which the ratio tolerates.
+    # Every feature of every chosen text is counted; a task holds about CACHE of them and then sends its partial counts.
     sums = rows.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     sizes = chosen.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not all(sizes):
         return Ordinal([], np.zeros(0), np.zeros(0))
     odds = F.log((F.col("t") + 0.5) / (sizes[0] + 1)) - F.log((F.col("c") + 0.5) / (sizes[1] + 1))
-    top = sums.where((F.col("t") >= LEAST) & (F.col("feature") != "")).withColumn("odds", odds).where("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "feature").limit(vocabulary)
+    top = sums.where(F.col("t") >= LEAST).withColumn("odds", odds).where("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "feature").limit(vocabulary)
     words = sorted(r.feature for r in top.select("feature").collect())
     features = Features(words)
 
