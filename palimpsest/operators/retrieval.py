@@ -47,15 +47,19 @@ def retrieve(vectors: DataFrame, mode: str, pool: int = POOL, k: int = K) -> Dat
     return hits.withColumn("s", score).withColumn("rank", by(F.desc("s")).cast("long")).where(F.col("rank") <= k).select("q", "vec_id", "rank", "stale", "same")
 
 
+def case_rows(vectors: DataFrame, mode: str) -> DataFrame:
+    """Per query (vec_id) whether a right hit is found, the share of stale hits and the first right hit's reciprocal rank."""
+    hits = retrieve(vectors, mode).withColumnRenamed("vec_id", "hit_id")
+    return vectors.where("vec_id < 24").select("vec_id").join(hits, F.col("vec_id") == F.col("q"), "left").groupBy("vec_id").agg(
+        F.max(F.when(F.col("same"), 1.0).otherwise(0.0)).alias("hit"), F.coalesce(F.avg(F.when(F.col("stale"), 1.0).when(F.col("hit_id").isNotNull(), 0.0)), F.lit(0.0)).alias("stale"),
+        F.coalesce(1.0 / F.min(F.when(F.col("same"), F.col("rank"))), F.lit(0.0)).alias("mrr"))
+
+
 def ablation(vectors: DataFrame) -> DataFrame:
     """Per mode the means of recall, stale rate and reciprocal rank over all queries."""
     out = None
     for mode in MODES:
-        hits = retrieve(vectors, mode).withColumnRenamed("vec_id", "hit_id")
-        per = vectors.where("vec_id < 24").select("vec_id").join(hits, F.col("vec_id") == F.col("q"), "left").groupBy("vec_id").agg(
-            F.max(F.when(F.col("same"), 1.0).otherwise(0.0)).alias("hit"), F.coalesce(F.avg(F.when(F.col("stale"), 1.0).when(F.col("hit_id").isNotNull(), 0.0)), F.lit(0.0)).alias("stale"),
-            F.coalesce(1.0 / F.min(F.when(F.col("same"), F.col("rank"))), F.lit(0.0)).alias("mrr"))
-        row = per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("stale"), 6).alias("stale_rate"), F.round(F.avg("mrr"), 6).alias("mrr")).select(F.lit(mode).alias("mode"), "n", "recall", "stale_rate", "mrr")
+        row = case_rows(vectors, mode).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("stale"), 6).alias("stale_rate"), F.round(F.avg("mrr"), 6).alias("mrr")).select(F.lit(mode).alias("mode"), "n", "recall", "stale_rate", "mrr")
         out = row if out is None else out.unionByName(row)
     return out
 

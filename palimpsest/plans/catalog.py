@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from palimpsest.plans import catalog_core, catalog_domain  # noqa: F401
+from palimpsest.plans import catalog_core, catalog_data, catalog_domain  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -68,3 +68,27 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q = stream.writeStream.format("memory").queryName("audit").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("audit").collect())) == sorted(map(tuple, tumbling(events).collect()))
+
+
+def test_sections_and_stamps(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import datasets as D
+
+    text = "Case.\nExamples:\na b\nTool schema: x"
+    df = spark.createDataFrame([(1, text), (2, "Case.\nExamples:\nc"), (3, "plain "), (4, None)], "id int, t string")
+    cut = {r.id: r.t for r in df.select("id", D.drop_section(F.col("t"), r"\nExamples:\s*\n", ["Tool schema:"]).alias("t")).collect()}
+    assert cut == {1: "Case.Tool schema: x", 2: "Case.", 3: "plain ", 4: None}
+    old = D.stamp(df.where("id < 3"), "id", "t")
+    events = D.stamp_events(df.where("id <> 4").withColumn("t", F.when(F.col("id") == 2, "other").otherwise(F.col("t"))), old, "id", "t")
+    assert {r.id: r.event for r in events.collect()} == {2: "hash_changed", 3: "missing_stamp"}
+
+
+def test_containment_cases(spark):
+    from palimpsest.operators import datasets as D
+
+    clauses = spark.createDataFrame([(1, "a b c d e f"), (2, "z"), (3, ""), (4, None), (5, "b c"), (6, "a b c d e g")], "id int, text string")
+    texts = spark.createDataFrame([("x a  b\nc d e f y",), ("",), (None,)], "text string")
+    got = {r.id: r.contained for r in D.contained(clauses, "id", texts).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+    assert not any(r.contained for r in D.contained(clauses, "id", texts.limit(0)).collect())
