@@ -1,7 +1,7 @@
 """A training corpus from documents: each stage works on all that the one before it kept.
 
 language: documents whose language the byte network doesn't know go. exact: of equal texts the largest doc_id stays. near: of
-near copies (five-word shingles, similarity of about 0.8) the smallest doc_id stays. secrets: found parts are masked in the
+near copies (Jaccard similarity of five-word shingle sets of 0.8 or more) the smallest doc_id stays. secrets: found parts are masked in the
 text. pack: token pieces packed into sequences; only this stage returns other columns than those of documents.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, language_id, packing, secrets, simhash
+from palimpsest.llm import exact_dedup, language_id, near_copies, packing, secrets
 from palimpsest.llm._shared import stored
 from palimpsest.llm.queries import tokenizer
 
@@ -26,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents without near copies."""
-    return simhash.drop_near(docs)
+    return near_copies.drop_similar(docs)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
