@@ -12,7 +12,8 @@ NEAR_RADIUS differing bits, and of these keeps those whose WIDE further words of
 which is a share of shingles in common (Jaccard) of about 0.8.
 
 Equal fingerprints are one node from the start. Within a bucket only a spanning forest of its links is emitted. A bucket of
-over BUCKET distinct fingerprints is dealt anew by the same masks over the bits it doesn't fix, as often as needed.
+over BUCKET distinct fingerprints is dealt anew by the same masks over the bits it doesn't fix, until too few bits are free for
+every mask to add one; then it is linked exactly, block against block.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others; repeated rows share their component;
 a null doc_id takes part, but the smallest non-null doc_id names the component; an empty table gives no rows.
@@ -181,18 +182,38 @@ def _links(radius: int, bits: int, bucket: int, wide: list[str]):
     return run
 
 
+def _tiled(rows: DataFrame, radius: int, bits: int, bucket: int, wide: list[str]) -> DataFrame:
+    """a, b: all links within each bucket (rows of one mask and fp & mask), block against block of about `bucket` fingerprints."""
+    rows = rows.distinct().withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
+    sizes = rows.groupBy("mask", "bucket").agg(F.expr(f"cast((count(1) - 1) div {bucket} + 1 as int)").alias("g"))
+    dealt = rows.join(sizes, ["mask", "bucket"]).withColumn("own", F.expr("cast(pmod(xxhash64(fp), g) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    tile = (F.least("own", "other") * F.col("g") + F.greatest("own", "other")).cast("long")
+    # A tile has two blocks, however many fingerprints they hold, so nothing goes back.
+    keyed = dealt.select("fp", F.xxhash64("mask", "bucket").alias("mask"), tile.alias("bucket"), *wide)
+    keyed = keyed.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp")
+    kinds = ", ".join(f"{c} long" for c in ["a", "b", "mask", *wide])
+    return stored(keyed.mapInArrow(_links(radius, bits, 1 << 40, wide), kinds), "tiles").select("a", "b").distinct()
+
+
 def near_links(nodes: DataFrame, radius: int = RADIUS, parts: int = 1, bits: int = 0, wide: int = 0, bucket: int = BUCKET) -> DataFrame:
     """a, b: links that connect the distinct fingerprints of nodes (column fp, and wide0... if wide) just as all near pairs do."""
     more = _wide(wide)
     nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     rows, found = nodes.select("fp", F.lit(0).cast("long").alias("mask"), *more), None
     kinds = ", ".join(f"{c} long" for c in ["a", "b", "mask", *more])
+    # With fewer free places than this, some mask of the next deal may add no bit, and the bucket would come back for ever.
+    least = parts * ((1 << radius // parts + 1) - 1)
     while True:
         dealt = _dealt(rows, radius, parts, more).repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp")
         out = stored(dealt.mapInArrow(_links(radius, bits, bucket, more), kinds), "links")
         links = out.where("mask = 0").select("a", "b").distinct()
         found = links if found is None else found.unionByName(links)
         rows = out.where("mask <> 0").select(F.col("a").alias("fp"), "mask", *more)
+        stuck = rows.where(64 - F.bit_count("mask") < least)
+        if not stuck.isEmpty():
+            found = found.unionByName(_tiled(stuck, radius, bits, bucket, more))
+        rows = rows.where(64 - F.bit_count("mask") >= least)
         if rows.isEmpty():
             return found
 
