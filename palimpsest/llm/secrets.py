@@ -2,9 +2,10 @@
 
 Base kinds (fixed patterns) stand alone: assign, access, hex. Two weak kinds count only beside their complements: `key40`, a
 run of just 40 characters [A-Za-z0-9/+] as secret keys have, and `endpoint`, a URL. An interval join within the document
-links them: a part's interval is itself widened by SCOPE code points, and intervals that overlap are linked. A key40 is
-reported if an access identifier is within its scope; an endpoint if both an access identifier and a secret (assign or
-reported key40) are. Each join is one sweep over sorted positions, so a document of many parts costs n log n.
+links them: a part's interval is itself widened by SCOPE code points, and intervals that overlap or touch are linked, however
+long they are. A key40 is reported if it overlaps no base span and an access identifier is within its scope; an endpoint if both
+an access identifier and a secret (assign or reported key40) are. One side of a join is sorted by start, with the furthest end
+so far beside each start, so each part of the other takes one binary search and a document of many parts costs n log n.
 
 Defined results: null text counts as empty; no part gives zero counts, empty spans and the digest of the empty string; each
 row is scanned by itself, so repeated rows repeat; an empty table gives no rows.
@@ -14,8 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,26 +51,33 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _near(part: Span, starts: list[int], scope: int) -> bool:
-    """Whether one of the sorted starts is within scope of the part."""
-    at = bisect_left(starts, part[0] - scope)
-    return at < len(starts) and starts[at] <= part[2] + scope
+class Intervals:
+    """The side of an interval join that is searched."""
+
+    def __init__(self, spans: Iterable[Span]):
+        found = sorted((s, e) for s, _, e in spans)
+        self.starts, self.ends = [s for s, _ in found], list(accumulate((e for _, e in found), max))
+
+    def touch(self, start: int, end: int) -> bool:
+        """Whether one of them begins at end or before and ends at start or after."""
+        at = bisect_right(self.starts, end)
+        return at > 0 and self.ends[at - 1] >= start
+
+    def near(self, part: Span, scope: int) -> bool:
+        return self.touch(part[0] - scope, part[2] + scope)
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """The weak parts that have their complements within scope."""
-    access = [s for s, k, _ in base if k == 1]
-    if not access:
+    access = Intervals(x for x in base if x[1] == 1)
+    if not access.starts:
         return []
-    taken = sorted((s, e) for s, _, e in base)
-    keys = []
-    for m in KEY40.finditer(text):
-        at = bisect_left(taken, (m.end(),))
-        if not (at and taken[at - 1][1] > m.start()) and _near(part := (m.start(), 3, m.end()), access, scope):
-            keys.append(part)
-    hidden = sorted([s for s, k, _ in base if k == 0] + [s for s, _, _ in keys])
-    ends = [p for m in ENDPOINT.finditer(text) if _near(p := (m.start(), 4, m.end()), access, scope) and _near(p, hidden, scope)]
-    return keys + ends
+    taken = Intervals(base)
+    keys = [(m.start(), 3, m.end()) for m in KEY40.finditer(text) if not taken.touch(m.start() + 1, m.end() - 1)]
+    keys = [k for k in keys if access.near(k, scope)]
+    secret = Intervals([x for x in base if x[1] == 0] + keys)
+    ends = ((m.start(), 4, m.end()) for m in ENDPOINT.finditer(text))
+    return keys + [p for p in ends if access.near(p, scope) and secret.near(p, scope)]
 
 
 def _joined(spans: list[Span]) -> str:

@@ -31,6 +31,33 @@ def test_weak_parts_need_their_complements():
     assert linked_spans(no_secret, base_spans(no_secret)) == []
 
 
+def all_pairs(text, base, scope):
+    """The links by comparing every part to every other."""
+    from palimpsest.llm.secrets import ENDPOINT, KEY40
+
+    near = lambda x, y: x[0] <= y[2] + scope and y[0] <= x[2] + scope
+    access = [b for b in base if b[1] == 1]
+    keys = [(m.start(), 3, m.end()) for m in KEY40.finditer(text)]
+    keys = [k for k in keys if not any(k[0] < b[2] and b[0] < k[2] for b in base) and any(near(k, a) for a in access)]
+    secret = [b for b in base if b[1] == 0] + keys
+    ends = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
+    return keys + [e for e in ends if any(near(e, a) for a in access) and any(near(e, x) for x in secret)]
+
+
+def test_links_as_all_pairs():
+    rng = np.random.default_rng(8)
+    parts = [ID, KEY, "https://s3.example.org/x", 'token="' + "v" * 600 + '"', "password=hunter22", "0123456789abcdef01234567", "https://" + "y" * 900, "plain words", 'secret="' + "0123456789abcdef01234567" + "/" + KEY + '"', "AKIA" + "Z" * 700]
+    linked = 0
+    for _ in range(600):
+        text = "".join(parts[i] + " " * int(rng.choice([1, 30, 350, 420])) for i in rng.integers(0, len(parts), 9))
+        base = base_spans(text)
+        assert linked_spans(text, base) == all_pairs(text, base, 400)
+        linked += bool(linked_spans(text, base))
+    assert linked > 100
+    long = 'token="' + "v" * 600 + f'" {ID} https://s3.example.org/x'
+    assert [k for _, k, _ in linked_spans(long, base_spans(long))] == [4]
+
+
 def test_scan_rows(spark):
     texts = [None, "", "clean text", f"{ID}", "password=hunter22", "é" * 10 + " token='abcdef12'", "x " * 50_000 + "0123456789abcdef01234567"]
     got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
@@ -39,6 +66,8 @@ def test_scan_rows(spark):
     assert got[5].spans == "assign:11:26"
     assert got[3].base_sha256 == hashlib.sha256(b"access:0:20").hexdigest()
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
+    twice = scan(spark.createDataFrame([(1, ID, 5), (1, ID, 6)], SCHEMA + ", n_access int")).collect()
+    assert [r.n_access for r in twice] == [1, 1]
 
 
 def test_redact(spark):
