@@ -2,11 +2,13 @@
 
 import hashlib
 
+import numpy as np
 import sentencepiece
+from pyspark.sql import functions as F
 
 from palimpsest.llm import language_id as L
 from palimpsest.llm import licenses, toxicity
-from palimpsest.llm.piece_codec import coded
+from palimpsest.llm.piece_codec import START, PieceTable, coded
 from palimpsest.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string"
@@ -23,6 +25,42 @@ def test_codec_equals_library(spark, sf):
         assert tuple(got[i])[1:] == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))), t
 
 
+def test_codec_equals_library_on_a_whole_table(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3)).withColumn("n_tokens", docs["doc_id"])
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for r in docs.collect():
+        ids = sp.encode(r.text or "")
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))))
+    assert sorted(map(tuple, coded(docs, path).collect())) == sorted(want)
+    assert coded(docs.limit(0), path).count() == 0
+
+
+def test_codec_odd_texts_one_by_one_and_together():
+    path = tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(1)
+    letters = ["a", "e", "é", "日", "\U0001f642", " ", "\u2581", "\x00", "\n", "th", "ing", "\u0e01", "\U00020000", "0", "__"]
+    texts = ["".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(1, 60)))) for _ in range(1500)] + ["ab" * 3000, "\U0001f642" * 2000, " " * 300]
+    t = PieceTable(path)
+    for x, words in zip(texts, t.encode_all(texts), strict=True):
+        assert ",".join(words) == ",".join(map(str, sp.encode(x))), repr(x)
+        assert t.decode(words) == sp.decode(sp.encode(x))
+        assert ",".join(words) == ",".join(t[w] for w in t.words(x))
+
+
+def test_pair_tests_as_merging_anew():
+    t = PieceTable(tokenizer("piece_bpe_32k.model"))
+    rng, pieces = np.random.default_rng(2), [*t.piece]
+    for a, b in rng.choice(pieces, (4000, 2)).tolist():
+        assert t.compatible(a, b) == (t.merged(t.piece[a] + t.piece[b])[0] == [t.piece[a], t.piece[b]])
+    for b in pieces:
+        assert t.compatible(START, b) == (t.merged(t.piece[b])[0] == [t.piece[b]])
+
+
 def test_language(spark):
     words = {"aa": "alpha beta gamma delta ", "bb": "zwö drü fööf süben "}
     rows = [(i, words[k] * (5 + i % 7), k) for i in range(60) for k in [("aa", "bb")[i % 2]]] + [(900, None, "aa"), (901, "123 !", "bb"), (902, words["aa"], None), (None, words["bb"], "bb")]
@@ -51,3 +89,40 @@ def test_licences(spark):
     rows = [(1, None), (2, ""), (3, "some longer text before it\nReleased under the MIT License.\nand more words after it"), (4, "Licensed under CC BY-NC 4.0.\nAll rights reserved."), (5, "the MIT of License"), (3, "some longer text before it\nReleased under the MIT License.\nand more words after it")]
     got = sorted(tuple(r)[:3] for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got[0] == (1, 0, "") and got[2] == got[3] == (3, 1, "mit") and got[4] == (4, 3, "cc-by-nc-4.0,reserved") and got[5] == (5, 0, "")
+
+
+def dice(texts, templates=licenses.TEMPLATES):
+    """The best coefficient of each text's units, by comparing all to all."""
+    import re
+
+    out = []
+    for t in texts:
+        low = re.sub("[^a-z0-9\n]+", " ", (t or "").lower())
+        units = low.split("\n") + [p for p in re.split("\n *\n", low) if "\n" in p] + ([low] if re.search("\n *\n", low) else [])
+        found = []
+        for u in units:
+            w = re.split("[ \n]", u)
+            w = [x for x in w if x]
+            g = set(zip(w, w[1:]))
+            each = [(-2 * len(g & {tuple(x.split()) for x in m}) / (len(g) + len(m)), n) for n, m in licenses.template_bigrams(templates)]
+            each = [x for x in each if x[0] <= -licenses.THRESHOLD]
+            found += [min(each)] if each else []
+        out.append((len(found), ",".join(sorted({n for _, n in found})), min(found)[1] if found else "", -min(found)[0] if found else 0.0))
+    return out
+
+
+def test_licences_as_brute_force(spark):
+    mit = max(licenses.TEMPLATES["mit"], key=len)
+    lines = "\n".join(mit.split(". "))
+    texts = [None, "", "all rights reserved " * 60, "all rights reserved " * 70, "All Rights Reserved " * 4000, mit, lines, mit.replace(". ", ".\n\n"), "word " * 20000 + "\nReleased under the MIT License.", "released under license mit", "permission " * 50]
+    rng = np.random.default_rng(3)
+    for _ in range(60):  # templates with words left out, around the threshold
+        name = list(licenses.TEMPLATES)[int(rng.integers(len(licenses.TEMPLATES)))]
+        w = licenses.TEMPLATES[name][int(rng.integers(len(licenses.TEMPLATES[name])))].split()
+        texts.append(" ".join(x for x in w if rng.random() > 0.07))
+    rows = [*enumerate(texts), (2, texts[2])]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("best", F.lit(1))
+    got = sorted((r.doc_id, r.n_matches, r.licenses, r.best, round(r.best_dice, 12)) for r in licenses.scan(df).collect())
+    want = sorted((i, *x[:3], round(x[3], 12)) for (i, _), x in zip(rows, dice([t for _, t in rows])))
+    assert got == want and dict(enumerate(dice(texts)))[3][1] == "reserved"
+    assert licenses.scan(df.limit(0)).count() == 0
