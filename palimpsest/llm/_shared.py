@@ -16,18 +16,24 @@ HOT_SHARE = 1000
 
 
 def ready(spark: SparkSession, batch_rows: int = 500) -> None:
-    """Let Python workers import this package, and keep their Arrow batches small, since one text may be very long."""
+    """Let Python workers import this package, and keep their Arrow batches small, since one text may be very long.
+
+    Spark has this setting for a whole session only. Plans are lazy, so an operator must be right at any batch size, and those
+    whose rows are long cut batches to rows themselves.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -75,3 +81,22 @@ def with_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total:
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """docs semi- or anti-joined ("left_semi", "left_anti") to ids; the ids are broadcast only if few."""
     return docs.join(bounded(ids.select(key), 64), key, how)
+
+
+def one_of_each(docs: DataFrame, text: Column, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows in gone, and with one row of each in repeated; all its columns stay, and no others come.
+
+    gone and repeated name rows by doc_id, which may be null, and xx, the XXH64 of `text`; so a document never goes for a
+    text that another row of the same doc_id has.
+    """
+    keyed = docs.withColumn("_row_xx", F.xxhash64(text))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = bounded(keys.select(F.col("doc_id").alias("_key_id"), F.col("xx").alias("_key_xx")), 64)
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_key_id"]) & (rows["_row_xx"] == keys["_key_xx"]), how)
+
+    kept = among(keyed, gone, "left_anti")
+    if not repeated.isEmpty():
+        once = among(kept, repeated, "left_semi").dropDuplicates(["doc_id", "_row_xx"])
+        kept = among(kept, repeated, "left_anti").unionByName(once)
+    return kept.drop("_row_xx")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import ascii_lower, bounded, keep_ids, ready, stored, with_class
+from palimpsest.llm._shared import ascii_lower, bounded, one_of_each, ready, stored, with_class
 
 SENT = "owner int, sender long, n int, k int, codes binary, twice binary"
 ANSWER = "owner int, sender long, bits binary"
@@ -123,15 +123,19 @@ def _suspects(owners: int):
     return run
 
 
-def exact_groups(documents: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of documents (columns doc_id, text)."""
+#: Fingerprints of one owner, at most, on average: their lists fill some tens of MB.
+OWNED = 1 << 20
+
+
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (doc_id, fp, sha), the groups of several rows (sha, keep_id, group_size), and the number of rows."""
     spark = documents.sparkSession
     ready(spark, 10_000)
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     rows = documents.select("doc_id", text.alias("_text"))
     prints = stored(rows.select("doc_id", F.xxhash64("_text").alias("fp"), F.unhex(F.sha2("_text", 256)).alias("sha")), "prints")
     total = prints.count()
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // OWNED))
     sent = stored(prints.select("fp").mapInArrow(_send(owners), SENT), "codes")
     answers = sent.groupBy("owner").applyInArrow(_answer, ANSWER)
     suspects = stored(
@@ -146,6 +150,12 @@ def exact_groups(documents: DataFrame) -> DataFrame:
         .where("group_size > 1").select(F.unhex(F.sha2("_text", 256)).alias("sha"), "keep_id", "group_size"),
         "classes",
     )
+    return prints, classes, total
+
+
+def exact_groups(documents: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of documents (columns doc_id, text)."""
+    prints, classes, total = _classes(documents)
     joined = with_class(prints.select("doc_id", "sha"), classes, "sha", "group_size", total)
     single = F.col("group_size").isNull()
     return joined.select(
@@ -158,6 +168,14 @@ def exact_groups(documents: DataFrame) -> DataFrame:
 
 
 def drop_exact(documents: DataFrame) -> DataFrame:
-    """documents without all but one of each group of equal texts; all its columns stay."""
-    gone = stored(exact_groups(documents).where("not kept and doc_id is not null").select("doc_id"), "gone")
-    return keep_ids(documents, gone, "left_anti")
+    """documents with one row of each group of equal texts; all its columns stay.
+
+    That row has the group's largest doc_id, or null if it has no other. Rows are told apart by doc_id and text, so of rows that
+    repeat the doc_id that stays any one stays, and a doc_id that also has another text keeps that.
+    """
+    prints, classes, total = _classes(documents)
+    rows = with_class(prints, classes, "sha", "group_size", total).where("group_size is not null")
+    rows = stored(rows.select("doc_id", F.col("fp").alias("xx"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "grouped")
+    gone = stored(rows.where("not kept").select("doc_id", "xx").distinct(), "gone")
+    repeated = stored(rows.where("kept").groupBy("doc_id", "xx").count().where("count > 1").select("doc_id", "xx"), "repeated")
+    return one_of_each(documents, ascii_lower(F.coalesce(F.col("text"), F.lit(""))), gone, repeated)
