@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.llm.exact_dedup import drop_exact, exact_groups, golomb_decode, golomb_encode
-from palimpsest.llm.simhash import NEAR_BITS, NEAR_RADIUS, WIDE, components, covering_masks, drop_near, fingerprint, fingerprints, near_groups, near_links
+from palimpsest.llm.simhash import components, covering_masks, fingerprint, near_groups, near_links
 
 SCHEMA = "doc_id long, text string"
 
@@ -132,19 +132,10 @@ def test_fingerprint_shingles():
     assert fingerprint("A b\tc\x0bd") == plain_fingerprint("a b c d")
 
 
-def test_drop_near_keeps_smallest(spark):
-    t = " ".join(f"w{i}" for i in range(400))
-    df = spark.createDataFrame([(5, t, "x"), (3, t, "y"), (9, "quite another text of some words", "z")], "doc_id long, text string, fp string")
-    out = drop_near(df)
-    assert sorted(r.doc_id for r in out.collect()) == [3, 9] and out.columns == df.columns
-
-
-def test_drop_near_whole_table(spark, sf):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    data = sorted(map(tuple, docs.collect()))
-    fps = np.array([fingerprints(t, 5, WIDE) for _, t in data], dtype=np.uint64)
-    d = lambda i, j: np.bitwise_count(fps[i] ^ fps[j])
-    near = lambda x: x[0] == 0 or (x[0] <= NEAR_RADIUS and x[1:].sum() <= NEAR_BITS)
-    root = union(len(data), [(i, j) for i in range(len(data)) for j in range(i) if near(d(i, j))])
-    assert sorted(r.doc_id for r in drop_near(docs).collect()) == sorted({data[r][0] for r in root})
-    assert len(set(root)) < len(data)
+def test_drop_exact_drops_rows_not_ids(spark):
+    rows = [(5, "same", 1), (9, "SAME", 2), (5, "unique text B", 3), (7, "x", 4), (7, "X", 5), (None, "n", 6), (None, "n", 7), (None, "x", 8), (4, None, 9), (6, "", 10)]
+    out = drop_exact(spark.createDataFrame(rows, SCHEMA + ", xx int").repartition(3))
+    assert out.columns == ["doc_id", "text", "xx"]
+    got = sorted(((r.doc_id, low(r.text)) for r in out.collect()), key=repr)
+    assert got == sorted([(9, "same"), (5, "unique text b"), (7, "x"), (None, "n"), (6, "")], key=repr)
+    assert drop_exact(spark.createDataFrame([], SCHEMA)).count() == 0
