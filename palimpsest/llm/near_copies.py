@@ -214,10 +214,11 @@ def similar_links(prints: DataFrame, documents: DataFrame, width: int, tile: int
     values = nodes.select("node", "value")
     prints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     dealt = values.mapInArrow(_dealt, "key long, first long, second long, node long").repartition("key").sortWithinPartitions("key", "first", "node")
-    shared = stored(dealt.mapInArrow(_first, "key long, node long, other long"), "shared")
-    total = shared.count()
+    found = stored(dealt.mapInArrow(_first, "key long, node long, other long"), "found")
+    shared = stored(found.groupBy("node").agg(F.collect_list("key").alias("keys")), "shared")
+    large = stored(found.groupBy("key").count().where(F.col("count") > tile).select("key", F.expr(f"cast((count - 1) div {tile} + 1 as int)").alias("g")), "large")
     # The texts of these nodes are read once more, for their sets.
-    rows = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("row.doc_id").alias("row_id"), F.col("row.xx").alias("row_xx")), "rows")
+    rows = stored(nodes.join(shared.select("node"), "node", "left_semi").select(F.col("row.doc_id").alias("row_id"), F.col("row.xx").alias("row_xx")), "rows")
     texts = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("xx"))
     some = texts.join(bounded(rows, 64), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("xx") == F.col("row_xx")), "left_semi")
     sets = stored(some.select("text").mapInArrow(_sets(width), "node long, value binary").dropDuplicates(["node"]), "sets")
@@ -225,18 +226,18 @@ def similar_links(prints: DataFrame, documents: DataFrame, width: int, tile: int
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stored(_beside(stored(pairs, "pairs"), sets).mapInArrow(_exact, "a long, b long"), "links")
 
-    # Of two nodes that are each other's nearest, one names the pair.
-    star = shared.where("node <> other").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-    links, shared = confirmed(star), shared.select("key", "node")
+    links = confirmed(found.where("node <> other").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct())
     for most in (LIKELY, 0):
-        named = stored(shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("key", "m")
-        named = stored(with_class(named, stored(mixed, "mixed"), "key", "m", total).where("m is not null"), "named")
-        left = named.join(values, "node").withColumn("g", F.expr(f"cast((m - 1) div {tile} + 1 as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(node), g) as int)"))
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("tile", (F.least("own", "other") * F.col("g") + F.greatest("own", "other")).cast("long"))
-        tiles = left.select("key", "tile", "node", "root", "value").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
+        named = shared.join(values, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = named.select(F.explode("keys").alias("key"), "node", "root", "value")
+        if large.isEmpty():
+            rows = rows.withColumn("tile", F.lit(0).cast("long"))
+        else:
+            rows = rows.join(bounded(large, 32), "key", "left").withColumn("own", F.expr("cast(pmod(xxhash64(node), coalesce(g, 1)) as int)"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)))
+            rows = rows.withColumn("tile", (F.least("own", "other") * F.coalesce("g", F.lit(1)) + F.greatest("own", "other")).cast("long"))
+        tiles = rows.select("key", "tile", "node", "root", "value").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
         links = links.unionByName(confirmed(tiles.mapInArrow(_cross(most), "a long, b long").distinct()))
-        shared = named.select("key", "node")
     return links
 
 
