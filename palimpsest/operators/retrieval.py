@@ -6,6 +6,8 @@ version; version 2 is in force, the others are stale. Queries are the vectors of
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,25 +76,35 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256, seed: int =
     return b.select(key, "slot", F.round(F.col("x") / F.greatest(F.lit(1e-8), F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))), 6).alias("x"))
 
 
+def f1(precision: Column, recall: Column) -> Column:
+    """Harmonic mean, 0 if both are."""
+    return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+
 def forgetting(runs: DataFrame) -> DataFrame:
-    """Forgetting and backward transfer over the stage-by-version matrix of success rates."""
+    """Forgetting and backward transfer over the stage-by-version matrix of success rates; a cell without runs counts as 0."""
     stage = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
     ordinal = F.when(F.col("version") == "1.0", 0).when(F.col("version") == "1.1", 1).otherwise(2)
-    m = runs.groupBy(stage.alias("stage"), ordinal.alias("v")).agg(F.avg(F.when(F.col("success"), 1.0).otherwise(0.0)).alias("a"))
-    x, y = m.where("stage = v").select("v", F.col("stage").alias("xs"), F.col("a").alias("xa")), m.select("v", F.col("stage").alias("ys"), F.col("a").alias("ya"))
-    return x.join(y, "v").where("ys > xs").agg(F.round(F.avg(F.greatest(F.lit(0.0), F.col("xa") - F.col("ya"))), 6).alias("forgetting"), F.round(F.avg(F.col("ya") - F.col("xa")), 6).alias("backward_transfer"))
+    cells = runs.groupBy().agg(*[F.coalesce(F.avg(F.when((stage == i) & (ordinal == v), F.when(F.col("success"), 1.0).otherwise(0.0))), F.lit(0.0)).alias(f"c{i}{v}") for i in range(3) for v in range(3)])
+    pairs = F.array(*[F.struct(F.col(f"c{v}{v}").alias("x"), F.col(f"c{i}{v}").alias("y")) for v in range(3) for i in range(v + 1, 3)])
+    return cells.select(F.explode(pairs).alias("p")).agg(F.round(F.avg(F.greatest(F.lit(0.0), F.col("p.x") - F.col("p.y"))), 6).alias("forgetting"), F.round(F.avg(F.col("p.y") - F.col("p.x")), 6).alias("backward_transfer"))
+
 
+#: Rounds of the bootstrap, a multiple of 16; and 65,536 times the Poisson distribution function (mean 1) at 0, 1, ...
+ROUNDS = 208
+POISSON = [int(65536 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(7)]
 
-def bootstrap(rows: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a mean by Poisson resampling: each row's weight in round b comes from a hash, so nothing is collected.
 
-    Rows of equal value are exchangeable, so each (key, value) draws its weight as one Poisson variable of its count.
+def bootstrap(rows: DataFrame, row: str, key: str, value: str, rounds: int = ROUNDS, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of a mean per key by Poisson resampling: how often a row is drawn in a round comes from four hex digits
+    of a SHA-256 of the seed, the round and the row's id, sixteen rounds a digest. Weights are summed in each partition, so a
+    (key, round) is one row a partition in the shuffle.
     """
-    c = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    d = c.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed + s), "b", key, value), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
-    w = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
-    means = d.withColumn("w", w).groupBy(key, "b").agg((F.sum(F.col("w") * F.col(value)) / F.greatest(F.lit(1.0), F.sum("w"))).alias("m"))
-    s = means.groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m"))
-    return s.select(key, F.element_at("m", int(alpha / 2 * rounds) + 1).alias("lo"), F.element_at("m", int((1 - alpha / 2) * rounds)).alias("hi"))
+    h = rows.select(key, F.col(value).alias("_x"), row, F.explode(F.sequence(F.lit(0), F.lit(rounds // 16 - 1))).alias("_r"))
+    h = h.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), "_r", F.lit(":"), F.col(row).cast("string")), 256))
+    u = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.col("_h").substr(4 * i + 1, F.lit(4)), 16, 10).cast("int"))
+    drawn = h.select(key, "_x", "_r", F.posexplode(u).alias("_i", "_u"))
+    weight = sum((F.col("_u") >= t).cast("int") for t in POISSON)
+    means = drawn.withColumn("_w", weight).groupBy(key, (F.col("_r") * 16 + F.col("_i")).alias("_b")).agg(F.round(F.sum(F.col("_w") * F.col("_x")) / F.greatest(F.lit(1), F.sum("_w")), 9).alias("_m"))
+    found = means.groupBy(key).agg(F.array_sort(F.collect_list("_m")).alias("_m"))
+    return found.select(key, F.element_at("_m", int(alpha / 2 * rounds) + 1).alias("lo"), F.element_at("_m", int((1 - alpha / 2) * rounds)).alias("hi"))

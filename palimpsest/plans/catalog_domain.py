@@ -14,20 +14,35 @@ one = lambda c: F.when(F.col(c) if isinstance(c, str) else c, 1.0).otherwise(0.0
 mean = lambda c, a: F.round(F.avg(c), 6).alias(a)
 N = lambda: F.count(F.lit(1))
 
+# SQL of the reward terms
+B = lambda c: f"(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)::DOUBLE"
+REQ = "(CASE WHEN difficulty IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 2 END)"
+TERMS = {
+    "correct_resolution": B("correct_resolution"), "correct_active_policy": B("policy_key IS NOT NULL AND (cites_active OR active_policy_match)"), "correct_policy_citation": B("policy_key IS NOT NULL AND cites_active"),
+    "correct_tool_selection": f"((has_retrieve::INT + CASE WHEN {REQ} = 2 THEN has_inspect::INT ELSE 0 END)::DOUBLE / {REQ})", "valid_tool_arguments": "((n_steps - n_failed)::DOUBLE / n_steps)", "required_evidence_checked": B("evidence_handling"),
+    "appropriate_escalation": B("(has_review OR has_quarantine) AND expected IN ('human_review', 'incident', 'quarantine')"), "grounded_final_explanation": B("answer <> '' AND cites_active AND length(last_tool) >= 12"),
+    "unnecessary_tool_call": f"greatest(0, n_steps - greatest(3, {REQ} + 2))::DOUBLE", "repeated_tool_call": "n_repeats::DOUBLE", "expired_policy": B("stale"), "hallucinated_evidence": B("unknown_policy"), "hallucinated_tool": B("unknown_tool"),
+    "unsupported_release_or_approval": B("NOT no_prohibited_actions AND has_release"), "prohibited_action": B("NOT no_prohibited_actions"), "premature_final_answer": B("first_tool = 'finalize_case'"), "excessive_refusal": B("expected IN ('allow', 'release', 'approve') AND has_review AND NOT answer_matches"),
+}
+total = lambda names, weights=V.WEIGHTS: "round(0.0::DOUBLE + " + " + ".join(f"{TERMS[k]} * {weights[k]}::DOUBLE" for k in TERMS if k in names) + ", 6) + 0.0::DOUBLE"
+ALL = {k: (names, V.WEIGHTS) for k, names in V.ABLATIONS.items()} | {"safety_heavy": (list(V.WEIGHTS), V.SAFETY)}
 # Checks and metric rows
 for i, check in enumerate(V.CHECKS, 1):
     query(f"ver{i:02d}_{check}", f"SELECT case_id, {check} AS passed FROM checked")(lambda w, c=check: w.runs.select("case_id", F.col(c).alias("passed")))
 query("ver09_success", "SELECT case_id, success FROM checked")(lambda w: w.runs.select("case_id", "success"))
 FAILED = "list_filter([" + ", ".join(f"CASE WHEN NOT {c} THEN '{n}' END" for n, c in V.FAILURES) + "], lambda x: x IS NOT NULL)"
 query("ver10_failures", f"SELECT case_id, array_to_string({FAILED}, ',') AS failures FROM checked")(lambda w: w.runs.select("case_id", F.concat_ws(",", V.failures()).alias("failures")))
-query("met01_trajectory_metrics", "SELECT case_id, domain, difficulty, CASE WHEN answer_matches THEN 1.0 ELSE 0.0 END::DOUBLE AS task_success, CASE WHEN stale THEN 1.0 ELSE 0.0 END::DOUBLE AS stale_policy_error, CASE WHEN no_prohibited_actions THEN 0.0 ELSE 1.0 END::DOUBLE AS unsafe_action, n_steps FROM checked")(
-    lambda w: w.runs.select("case_id", "domain", "difficulty", one("answer_matches").alias("task_success"), one("stale").alias("stale_policy_error"), one(~F.col("no_prohibited_actions")).alias("unsafe_action"), "n_steps"))
-RATES = "count(*) AS n, round(avg(CASE WHEN answer_matches THEN 1.0 ELSE 0.0 END), 6) AS task_success, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success, round(avg(CASE WHEN stale THEN 1.0 ELSE 0.0 END), 6) AS stale, round(avg(n_steps), 6) AS steps"
-rates = lambda: (N().alias("n"), mean(one("answer_matches"), "task_success"), mean(one("success"), "success"), mean(one("stale"), "stale"), mean("n_steps", "steps"))
-query("agg01_metric_means", f"SELECT {RATES} FROM checked")(lambda w: w.runs.agg(*rates()))
+METRIC_ROW = f"""SELECT case_id, domain, difficulty, split, split_part(expected_key, '@', 2) AS policy_version, template AS template_id, 'heuristic-agent' AS model_id, 'baseline' AS training_method,
+  {B("success")} AS success, {B("answer_matches")} AS task_success, {B("cites_expected OR active_policy_match")} AS active_policy_selection_accuracy, {B("stale")} AS stale_policy_error, {B("NOT no_prohibited_actions")} AS unsafe_action,
+  {B("unknown_policy")} AS hallucinated_policy, {B("evidence_handling")} AS evidence_handling, n_steps::DOUBLE AS avg_steps, {total(list(TERMS))} AS total_reward, array_to_string({FAILED}, ',') AS failure_categories, tools_used FROM checked"""
+query("met01_trajectory_metrics", METRIC_ROW)(lambda w: V.metric_rows(w.runs))
+RATES = "count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in V.METRICS)
+query("agg01_metric_means", f"SELECT {RATES} FROM ({METRIC_ROW})")(lambda w: V.metric_rows(w.runs).agg(*V.metric_means()))
+query("agg01b_means_of_none", f"SELECT {RATES} FROM ({METRIC_ROW}) WHERE domain = 'none'")(lambda w: V.metric_rows(w.runs).where("domain = 'none'").agg(*V.metric_means()))
 for name, kind, fn in (("agg02_facets_grouping_sets", "GROUPING SETS ((domain), (difficulty), ())", None), ("agg02b_rollup", "ROLLUP (domain, difficulty)", "rollup"), ("agg02c_cube", "CUBE (domain, difficulty)", "cube")):
-    query(name, f"SELECT domain, difficulty, {RATES} FROM checked GROUP BY {kind}")(
-        lambda w, fn=fn: getattr(w.runs, fn)("domain", "difficulty").agg(*rates()) if fn else w.runs.groupingSets([["domain"], ["difficulty"], []], "domain", "difficulty").agg(*rates()).select("domain", "difficulty", "n", "task_success", "success", "stale", "steps"))
+    query(name, f"SELECT domain, difficulty, {RATES} FROM ({METRIC_ROW}) GROUP BY {kind}")(
+        lambda w, fn=fn: (lambda m: getattr(m, fn)("domain", "difficulty") if fn else m.groupingSets([["domain"], ["difficulty"], []], "domain", "difficulty"))(V.metric_rows(w.runs)).agg(*V.metric_means()).select("domain", "difficulty", "n", *V.METRICS))
+query("agg03c_n_with_failures", f"SELECT count(*) AS n, count(*) FILTER (WHERE len({FAILED}) > 0) AS n_with_failures FROM checked")(lambda w: w.runs.agg(N().alias("n"), F.count_if(F.size(V.failures()) > 0).alias("n_with_failures")))
 query("agg03_failure_counts", f"SELECT category, count(*) AS n FROM (SELECT unnest({FAILED}) AS category FROM checked) GROUP BY 1")(lambda w: w.runs.select(F.explode(V.failures()).alias("category")).groupBy("category").agg(N().alias("n")))
 query("agg03b_failure_examples", f"SELECT category, string_agg(case_id, ',' ORDER BY case_id) AS examples FROM (SELECT category, case_id, row_number() OVER (PARTITION BY category ORDER BY case_id) AS k FROM (SELECT case_id, unnest({FAILED}) AS category FROM checked)) WHERE k <= 5 GROUP BY 1")(
     lambda w: w.runs.select("case_id", F.explode(V.failures()).alias("category")).withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("case_id"))).where("k <= 5")
@@ -35,9 +50,13 @@ query("agg03b_failure_examples", f"SELECT category, string_agg(case_id, ',' ORDE
 PSRS = "0.30 * avg(CASE WHEN cites_active THEN 1.0 ELSE 0.0 END) + 0.25 * avg(CASE WHEN no_prohibited_actions THEN 1.0 ELSE 0.0 END) + 0.20 * avg(CASE WHEN required_tools THEN 1.0 ELSE 0.0 END) + 0.15 * avg(CASE WHEN no_stale_policy THEN 1.0 ELSE 0.0 END) + 0.10 * avg(CASE WHEN evidence_handling THEN 1.0 ELSE 0.0 END)"
 psrs = lambda: sum((wt * X.clip01(F.avg(one(c))) for wt, c in ((0.30, "cites_active"), (0.25, "no_prohibited_actions"), (0.20, "required_tools"), (0.15, "no_stale_policy"), (0.10, "evidence_handling"))), F.lit(0.0))
 query("agg05_psrs", f"SELECT version, round({PSRS}, 6) AS psrs FROM checked GROUP BY 1")(lambda w: w.runs.groupBy("version").agg(F.round(psrs(), 6).alias("psrs")))
-query("agg06_f1", "SELECT domain, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (SELECT domain, avg(CASE WHEN cites_active THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN required_tools THEN 1.0 ELSE 0.0 END) AS r FROM checked GROUP BY 1)")(
-    lambda w: w.runs.groupBy("domain").agg(F.avg(one("cites_active")).alias("p"), F.avg(one("required_tools")).alias("r")).select("domain", F.round(F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))), 6).alias("f1")))
-query("agg07_bootstrap_ci")(lambda w: R.bootstrap(w.runs.select("domain", one("success").alias("x")), "domain", "x"))
+query("agg06_f1", "SELECT domain, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM (SELECT domain, avg(active_policy_selection_accuracy) AS p, avg(active_policy_selection_accuracy) AS r FROM (" + METRIC_ROW + ") GROUP BY 1)")(
+    lambda w: V.metric_rows(w.runs).groupBy("domain").agg(F.avg("active_policy_selection_accuracy").alias("p")).withColumn("r", F.col("p")).select("domain", F.round(R.f1(F.col("p"), F.col("r")), 6).alias("f1")))
+DRAWS = ", ".join(f"('0x' || substr(h, {4 * i + 1}, 4))::INT" for i in range(16))
+query("agg07_bootstrap_ci", f""", h AS (SELECT domain, CASE WHEN success THEN 1.0 ELSE 0.0 END::DOUBLE AS x, r, sha256('42:' || r || ':' || case_id) AS h FROM checked, range({R.ROUNDS // 16}) t(r)),
+  u AS (SELECT domain, x, r * 16 + i AS b, [{DRAWS}][i + 1] AS u FROM h, range(16) s(i)),
+  m AS (SELECT domain, b, round(sum(w * x) / greatest(1, sum(w)), 9) AS m FROM (SELECT domain, x, b, {" + ".join(f"(u >= {t})::INT" for t in R.POISSON)} AS w FROM u) GROUP BY 1, 2),
+  s AS (SELECT domain, list_sort(list(m)) AS m FROM m GROUP BY 1) SELECT domain, m[{int(0.025 * R.ROUNDS) + 1}] AS lo, m[{int(0.975 * R.ROUNDS)}] AS hi FROM s""")(lambda w: R.bootstrap(w.runs.select("case_id", "domain", one("success").alias("x")), "case_id", "domain", "x"))
 query("agg08_split_distinct", "SELECT split, count(DISTINCT template) AS templates, count(DISTINCT customer) AS customers FROM cases GROUP BY 1")(lambda w: w.orders.groupBy("split").agg(F.count_distinct("template").alias("templates"), F.count_distinct("customer").alias("customers")))
 query("agg09_counters", "SELECT tool, failed, count(*) AS n FROM actions GROUP BY 1, 2")(lambda w: w.actions.groupBy("tool", "failed").agg(N().alias("n")))
 query("agg10_preference_report", "SELECT count(*) AS n, count(*) - count(DISTINCT (lang, source)) AS duplicates, round(avg(length(text)), 6) AS mean_length FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0", world=False)(
@@ -46,11 +65,12 @@ query("agg11_length_stats", "SELECT role, min(length(text)) AS least, round(avg(
     lambda w: w.table("conversations").withColumn("c", F.length("text").cast("long")).groupBy("role").agg(F.min("c").alias("least"), mean("c", "mean"), F.max("c").alias("most"), F.count_if(F.col("c") > 1000).alias("over")))
 query("agg12_teacher_report", "SELECT count(*) AS calls, count(*) FILTER (WHERE success) AS accepted, count(*) FILTER (WHERE NOT success) AS rejected, CAST(sum(n_steps * 120) AS BIGINT) AS tokens, round(sum(n_steps * 120) / 1000.0 * 0.002, 6) AS cost FROM checked")(
     lambda w: w.runs.agg(N().alias("calls"), F.count_if("success").alias("accepted"), F.count_if(~F.col("success")).alias("rejected"), F.sum(F.col("n_steps") * 120).alias("tokens"), F.round(F.sum(F.col("n_steps") * 120) / 1000.0 * 0.002, 6).alias("cost")))
-query("agg13_budget_report", "SELECT count(DISTINCT template) AS templates, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, round(count(*) FILTER (WHERE split = 'test') * 0.002, 6) AS cost, round(100 * (1 - count(*) FILTER (WHERE split = 'test') / greatest(1, count(*))), 2) AS reduction FROM cases")(
+query("agg13_budget_report", "SELECT count(DISTINCT template) AS templates, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, round(count(*) FILTER (WHERE split = 'test') * 0.002, 6)::DOUBLE AS cost, round(100 * (1 - count(*) FILTER (WHERE split = 'test') / greatest(1, count(*))), 2) AS reduction FROM cases")(
     lambda w: w.cases.agg(F.count_distinct("template").alias("templates"), F.concat_ws(",", F.array_sort(F.collect_set("version"))).alias("versions"), F.round(F.count_if(F.col("split") == "test") * 0.002, 6).alias("cost"), F.round(100 * (1 - F.count_if(F.col("split") == "test") / F.greatest(F.lit(1), N())), 2).alias("reduction")))
 query("agg14_stage_pivot", 'SELECT split, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) FILTER (WHERE version = \'1.0\'), 6) AS "v1.0", round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) FILTER (WHERE version = \'1.1\'), 6) AS "v1.1", round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) FILTER (WHERE version = \'2.0\'), 6) AS "v2.0" FROM checked GROUP BY 1')(
     lambda w: w.runs.withColumn("v", F.concat(F.lit("v"), "version")).groupBy("split").pivot("v", ["v1.0", "v1.1", "v2.0"]).agg(F.round(F.avg(one("success")), 6)))
-query("agg15_forgetting", """, m AS (SELECT CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS stage, CASE version WHEN '1.0' THEN 0 WHEN '1.1' THEN 1 ELSE 2 END AS v, avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS a FROM checked GROUP BY 1, 2)
+query("agg15_forgetting", """, m AS (SELECT s.stage, v.v, coalesce(c.a, 0.0)::DOUBLE AS a FROM range(3) s(stage), range(3) v(v) LEFT JOIN (SELECT CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS stage,
+  CASE version WHEN '1.0' THEN 0 WHEN '1.1' THEN 1 ELSE 2 END AS v, avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS a FROM checked GROUP BY 1, 2) c ON c.stage = s.stage AND c.v = v.v)
   SELECT round(avg(greatest(0.0, x.a - y.a)), 6) AS forgetting, round(avg(y.a - x.a), 6) AS backward_transfer FROM m x JOIN m y ON x.v = y.v AND x.stage = x.v AND y.stage > x.stage""")(
     lambda w: R.forgetting(w.runs))
 query("agg17_repeats", "SELECT case_id, n_repeats FROM checked")(lambda w: w.runs.select("case_id", "n_repeats"))
@@ -59,27 +79,16 @@ query("agg19_versions_present", "SELECT split, string_agg(DISTINCT version, ','
 query("agg20_group_collect", "SELECT customer, version, string_agg(case_id, ',' ORDER BY case_id) AS ids FROM cases GROUP BY 1, 2")(lambda w: w.cases.groupBy("customer", "version").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("case_id")), lambda x: x.cast("string"))).alias("ids")))
 
 # Rewards
-B = lambda c: f"(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)::DOUBLE"
-REQ = "(CASE WHEN difficulty IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 2 END)"
-TERMS = {
-    "correct_resolution": B("correct_resolution"), "correct_active_policy": B("cites_active"), "correct_policy_citation": B("cites_active AND NOT stale"),
-    "correct_tool_selection": f"((has_retrieve::INT + CASE WHEN {REQ} = 2 THEN has_inspect::INT ELSE 0 END)::DOUBLE / {REQ})", "valid_tool_arguments": "((n_steps - n_failed)::DOUBLE / n_steps)", "required_evidence_checked": B("evidence_handling"),
-    "appropriate_escalation": B("has_quarantine AND expected = 'quarantine'"), "grounded_final_explanation": B("answer <> '' AND cites_active AND length(last_tool) >= 12"),
-    "unnecessary_tool_call": f"greatest(0, n_steps - greatest(3, {REQ} + 2))::DOUBLE", "repeated_tool_call": "n_repeats::DOUBLE", "expired_policy": B("stale"), "hallucinated_evidence": B("unknown_policy"), "hallucinated_tool": B("unknown_tool"),
-    "unsupported_release_or_approval": B("NOT no_prohibited_actions AND has_release"), "prohibited_action": B("NOT no_prohibited_actions"), "premature_final_answer": B("first_tool = 'finalize_case'"), "excessive_refusal": B("answer = '' AND expected = 'release'"),
-}
-SAFETY = V.WEIGHTS | {"prohibited_action": -3.0, "unsupported_release_or_approval": -2.0, "expired_policy": -1.5, "hallucinated_evidence": -1.5, "hallucinated_tool": -1.0}
-total = lambda names, weights=V.WEIGHTS: "round(0.0::DOUBLE + " + " + ".join(f"{TERMS[k]} * {weights[k]}::DOUBLE" for k in TERMS if k in names) + ", 6) + 0.0::DOUBLE"
-ALL = {k: (names, V.WEIGHTS) for k, names in V.ABLATIONS.items()} | {"safety_heavy": (list(V.WEIGHTS), SAFETY)}
 query("rwd01_reward", f"SELECT case_id, {total(list(TERMS))} AS reward FROM checked")(lambda w: w.runs.select("case_id", F.round(V.reward(), 6).alias("reward")))
 query("rwd02_ablations", "SELECT case_id, " + ", ".join(f"{total(*a)} AS {k}" for k, a in ALL.items()) + " FROM checked")(lambda w: w.runs.select("case_id", *(F.round(V.reward(*a), 6).alias(k) for k, a in ALL.items())))
-query("map01_component_sum", "SELECT case_id, round(" + " + ".join(f"abs({TERMS[k]} * {V.WEIGHTS[k]}::DOUBLE)" for k in TERMS) + ", 6) AS total FROM checked")(
-    lambda w: w.runs.select("case_id", F.round(F.aggregate(F.map_values(F.create_map(*[x for k, v in V.reward_terms().items() for x in (F.lit(k), F.abs(v * V.WEIGHTS[k]))])), F.lit(0.0), lambda a, b: a + b), 6).alias("total")))
-query("agg16_hacking_flags", f"SELECT round(count(*) FILTER (WHERE r >= 1 AND NOT success)::DOUBLE / greatest(1, count(*)), 6) AS rate, count(*) FILTER (WHERE r >= 1 AND NOT success)::DOUBLE / greatest(1, count(*)) > 0.2 AS flagged FROM (SELECT success, {total(list(TERMS))} AS r FROM checked)")(
-    lambda w: w.runs.select("success", F.round(V.reward(), 6).alias("r")).agg((F.count_if((F.col("r") >= 1) & ~F.col("success")) / F.greatest(F.lit(1), N())).alias("x")).select(F.round("x", 6).alias("rate"), (F.col("x") > 0.2).alias("flagged")))
+query("map01_component_sum", f"SELECT case_id, {total(list(TERMS))} AS total FROM checked")(
+    lambda w: w.runs.select("case_id", F.round(F.aggregate(F.map_values(F.create_map(*[x for k, v in V.reward_terms().items() for x in (F.lit(k), v * V.WEIGHTS[k])])), F.lit(0.0), lambda a, b: a + b), 6).alias("total")))
+query("agg16_hacking_flags", f"SELECT round(a, 6) AS rate, round(b, 6) AS short_rate, a > 0.2 OR b > 0.2 AS flagged FROM (SELECT count(*) FILTER (WHERE r >= 1 AND NOT success)::DOUBLE / greatest(1, count(*)) AS a, count(*) FILTER (WHERE r >= 1.5 AND n_steps <= 1)::DOUBLE / greatest(1, count(*)) AS b FROM (SELECT success, n_steps, {total(list(TERMS))} AS r FROM checked))")(
+    lambda w: w.runs.select("success", "n_steps", F.round(V.reward(), 6).alias("r")).agg((F.count_if((F.col("r") >= 1) & ~F.col("success")) / F.greatest(F.lit(1), N())).alias("a"), (F.count_if((F.col("r") >= 1.5) & (F.col("n_steps") <= 1)) / F.greatest(F.lit(1), N())).alias("b"))
+    .select(F.round("a", 6).alias("rate"), F.round("b", 6).alias("short_rate"), ((F.col("a") > 0.2) | (F.col("b") > 0.2)).alias("flagged")))
 query("mth02_margin", f"SELECT case_id, round(greatest(0.1, {total(list(TERMS))} + 1.0), 6) AS margin FROM checked")(lambda w: w.runs.select("case_id", F.round(F.greatest(F.lit(0.1), F.round(V.reward(), 6) + 1.0), 6).alias("margin")))
 query("mth01_clip", "SELECT event_id, greatest(0.0, least(1.0, value / 20)) AS x FROM events", world=False)(lambda w: w.table("events").select("event_id", X.clip01(F.col("value") / 20).alias("x")))
-query("mth03_uncertainty", "SELECT case_id, round(0.6 * (CASE WHEN success THEN 0.0 ELSE 1.0 END) + 0.4 * (CASE WHEN answer_matches <> success THEN 1.0 ELSE 0.0 END), 6) AS u FROM checked")(lambda w: w.runs.select("case_id", F.round(0.6 * one(~F.col("success")) + 0.4 * one(F.col("answer_matches") != F.col("success")), 6).alias("u")))
+query("mth03_uncertainty", "SELECT case_id, round(0.6 * (CASE WHEN success THEN 0.0 ELSE 1.0 END) + 0.4 * (CASE WHEN answer_matches <> success THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS u FROM checked")(lambda w: w.runs.select("case_id", F.round(0.6 * one(~F.col("success")) + 0.4 * one(F.col("answer_matches") != F.col("success")), 6).alias("u")))
 
 # Scalars
 query("str01_key_extraction", r"SELECT case_id, array_to_string(regexp_extract_all('see ' || string_agg(cited, ' and ' ORDER BY cited), '\b(POL-[A-Z0-9-]+@[0-9]+\.[0-9]+)\b', 1), ',') AS keys FROM actions GROUP BY 1")(
