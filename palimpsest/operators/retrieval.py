@@ -1,28 +1,69 @@
 """Vectors, version-aware retrieval, and statistics over metric rows.
 
-Retrieval works on a corpus of vectors whose label % 9 is its policy version slot: label % 3 the domain, (label // 3) % 3 the
-version; version 2 is in force, the others are stale. Queries are the vectors of vec_id < 24 in the corpus.
+The index has a row per clause vector: vec_id % 3 is its policy's domain, (vec_id // 3) % 3 the version, label the clause, label % 4
+its tag, and clauses of label 8 and 9 are of high or critical severity. Queries are the vectors whose vec_id is divisible by 20,
+against all rows: n = vec_id // 20 is the case, n % 3 its domain, (n // 3) % 3 the version in force, n % 4 its tag, label the clause
+it lacks evidence for. Search compares blocks of vectors to blocks of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import exp, factorial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bigrams, tokens
 
-POOL, K = 30, 5
-# Whether stale hits go after the pool is cut, and whether scores get the metadata boost.
+POOL, K, EVERY, BLOCK = 30, 5, 20, 1024
+VERSIONS = ["1.0", "1.1", "2.0"]
+# Whether a mode keeps effective hits of the case's domain only, reranks by metadata, and prefers the case's domain where it can.
 MODES = {
-    "naive": {"drop": "false", "boost": "0"}, "date_filtered": {"drop": "true", "boost": "0"},
-    "metadata_rerank": {"drop": "false", "boost": "1"}, "date_filtered_rerank": {"drop": "true", "boost": "1"},
+    "naive": (False, False, False), "date_filtered": (True, False, False), "metadata_rerank": (False, True, True), "date_filtered_rerank": (True, True, False),
 }
-SQL = """SELECT q, vec_id, rank, stale, same FROM (SELECT q, vec_id, stale, same, row_number() OVER (PARTITION BY q ORDER BY round(score + {boost} * ((CASE WHEN same THEN 0.15 ELSE 0 END) + (CASE WHEN stale THEN -0.35 ELSE 0.25 END)), 6) DESC, vec_id) AS rank
- FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS pool FROM (SELECT q.vec_id AS q, c.vec_id, (c.label // 3) % 3 <> 2 AS stale, c.label % 3 = q.label % 3 AS same,
- round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 24 AND c.vec_id <> q.vec_id)) WHERE pool <= 30 AND NOT ({drop} AND stale)) WHERE rank <= 5"""
-PER_QUERY = "SELECT q.vec_id, max(CASE WHEN h.same THEN 1.0 ELSE 0.0 END) AS hit, coalesce(avg(CASE WHEN h.stale THEN 1.0 WHEN h.vec_id IS NOT NULL THEN 0.0 END), 0.0) AS stale, coalesce(1.0 / min(CASE WHEN h.same THEN h.rank END), 0.0) AS mrr FROM (SELECT vec_id FROM embeddings WHERE vec_id < 24) q LEFT JOIN ({sql}) h ON h.q = q.vec_id GROUP BY 1"
+# What the rerank adds for the case's domain, for being in force or not, for each of the case's words, for severity.
+SAME, FRESH, OLD, WORD, SEVERE = 0.15, 0.25, -0.35, 0.05, 0.03
+
+
+def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
+    """items: up to `size` neighbouring ids with their vectors, as one row. Null ids and vectors take no part."""
+    rows = vectors.where("vec_id is not null and embedding is not null")
+    return rows.groupBy(F.floor(F.col("vec_id") / size).alias("_b"), F.size("embedding").alias("dim")).agg(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))).alias("items"))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, own: bool = False) -> DataFrame:
+    """q, vec_id, score (inner product, six digits), pool (from 1): the k best of corpus for each query, ties to the smaller id.
+
+    Blocks meet blocks, as both sides may grow; a pair of blocks passes on k rows a query at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def side(items: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            ids, x = (items.values.field(i) for i in (0, 1))
+            ids = ids.to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            return ids[order], x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+
+        for b in batches:
+            for r in range(b.num_rows):
+                (q_ids, q), (ids, x) = side(b.column(0)[r]), side(b.column(1)[r])
+                score = np.round(q @ x.T, 6)
+                if not own:
+                    score[q_ids[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(score, best, 1)
+                good = found > -np.inf
+                cols = [np.broadcast_to(q_ids[:, None], best.shape)[good], ids[best][good], found[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "vec_id", "score"])
+
+    left = blocks(queries, BLOCK * EVERY).select("dim", F.col("items").alias("asked"))
+    pairs = left.join(blocks(corpus), "dim").select("asked", "items")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return pairs.mapInArrow(run, "q long, vec_id long, score double").withColumn("pool", rank.cast("long")).where(F.col("pool") <= k)
 
 
 def dot(a: str, b: str) -> Column:
@@ -30,40 +71,58 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The k nearest of unit vectors, ties to the smaller id. The query side is the stated small one and is broadcast."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return corpus.crossJoin(q).select("q", "vec_id", F.round(dot("qe", "embedding"), 6).alias("score")).withColumn("r", rank).where(F.col("r") <= k).select("q", "vec_id", F.col("r").cast("long").alias("rank"))
+def asked(vectors: DataFrame) -> DataFrame:
+    """The stated query set."""
+    return vectors.where(F.col("vec_id") % EVERY == 0)
+
 
+def index(vectors: DataFrame) -> DataFrame:
+    """The index's rows: doc_id, policy_key, clause_id, domain, version, severity and the text that stands for the vector."""
+    domain, version = F.col("vec_id") % 3, F.element_at(F.array(*map(F.lit, VERSIONS)), ((F.col("vec_id") / 3).cast("long") % 3 + 1).cast("int"))
+    severity = F.when(F.col("label") == 9, "critical").when(F.col("label") == 8, "high").when(F.col("label") >= 4, "medium").otherwise("low")
+    rows = vectors.select("vec_id", "label", F.concat(F.lit("d"), domain).alias("domain"), version.alias("version"), F.concat(F.lit("C"), "label").alias("clause_id"), severity.alias("severity"), F.concat(F.lit("tag"), F.col("label") % 4).alias("tag"))
+    rows = rows.withColumn("policy_key", F.concat(F.lit("POL-"), F.upper("domain"), F.lit("@"), "version"))
+    return rows.select("vec_id", F.concat("policy_key", F.lit("::"), "clause_id").alias("doc_id"), "policy_key", "clause_id", "domain", "version", "severity", "tag", F.concat_ws(" ", "domain", F.concat(F.lit("v"), "version"), "clause_id", "tag").alias("text"))
 
-def retrieve(vectors: DataFrame, mode: str, pool: int = POOL, k: int = K) -> DataFrame:
-    """Pool by similarity, then the mode's filter and boost, then the cut at k. The filter stays behind the pool: fewer than k may be left."""
-    drop, boost = MODES[mode]["drop"] == "true", float(MODES[mode]["boost"])
-    q = F.broadcast(vectors.where("vec_id < 24").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql")))
-    by = lambda *c: F.row_number().over(Window.partitionBy("q").orderBy(*c, "vec_id"))
-    hits = vectors.crossJoin(q).where("vec_id <> q").select("q", "vec_id", F.expr("(label div 3) % 3 <> 2").alias("stale"), F.expr("label % 3 = ql % 3").alias("same"), F.round(dot("qe", "embedding"), 6).alias("score"))
-    hits = hits.withColumn("pool", by(F.desc("score"))).where(F.col("pool") <= pool)
-    hits = hits.where("not stale") if drop else hits
-    score = F.round(F.col("score") + boost * (F.when(F.col("same"), 0.15).otherwise(0.0) + F.when(F.col("stale"), -0.35).otherwise(0.25)), 6)
-    return hits.withColumn("s", score).withColumn("rank", by(F.desc("s")).cast("long")).where(F.col("rank") <= k).select("q", "vec_id", "rank", "stale", "same")
 
+def cases(vectors: DataFrame) -> DataFrame:
+    """The queries' cases: domain, version in force, words (tag and clause) and the key expected."""
+    n = (F.col("vec_id") / EVERY).cast("long")
+    rows = asked(vectors).select(F.col("vec_id").alias("q"), F.concat(F.lit("d"), n % 3).alias("q_domain"), F.element_at(F.array(*map(F.lit, VERSIONS)), ((n / 3).cast("long") % 3 + 1).cast("int")).alias("in_force"),
+                                 F.array(F.concat(F.lit("tag"), n % 4), F.concat(F.lit("C"), "label")).alias("words"), F.concat(F.lit("C"), "label").alias("q_clause"))
+    return rows.withColumn("expected", F.concat(F.lit("POL-"), F.upper("q_domain"), F.lit("@"), "in_force"))
 
-def case_rows(vectors: DataFrame, mode: str) -> DataFrame:
-    """Per query (vec_id) whether a right hit is found, the share of stale hits and the first right hit's reciprocal rank."""
-    hits = retrieve(vectors, mode).withColumnRenamed("vec_id", "hit_id")
-    return vectors.where("vec_id < 24").select("vec_id").join(hits, F.col("vec_id") == F.col("q"), "left").groupBy("vec_id").agg(
-        F.max(F.when(F.col("same"), 1.0).otherwise(0.0)).alias("hit"), F.coalesce(F.avg(F.when(F.col("stale"), 1.0).when(F.col("hit_id").isNotNull(), 0.0)), F.lit(0.0)).alias("stale"),
-        F.coalesce(1.0 / F.min(F.when(F.col("same"), F.col("rank"))), F.lit(0.0)).alias("mrr"))
+
+def retrieve(vectors: DataFrame, modes: list[str], pool: int = POOL, k: int = K) -> DataFrame:
+    """mode, q, rank, the hit's vec_id, policy_key and clause_id, stale, and the case's expected key and clause.
+
+    Pool by similarity, then each mode's filter, rerank and preference, then the cut at k. Filters stay behind the pool, so fewer
+    than k may be left. All modes share one search.
+    """
+    hits = nearest(asked(vectors), vectors, pool).join(index(vectors).select("vec_id", "policy_key", "clause_id", "domain", "version", "severity", "text"), "vec_id").join(cases(vectors), "q")
+    hits = hits.withColumn("same", F.col("domain") == F.col("q_domain")).withColumn("stale", F.col("version") != F.col("in_force"))
+    found = F.aggregate("words", F.lit(0), lambda n, w: n + F.contains(F.lower("text"), F.lower(w)).cast("int"))
+    boost = F.when(F.col("same"), SAME).otherwise(0.0) + F.when(F.col("stale"), OLD).otherwise(FRESH) + WORD * found + F.when(F.col("severity").isin("high", "critical"), SEVERE).otherwise(0.0)
+    known = F.array(*[F.struct(F.lit(m).alias("mode"), *(F.lit(x).alias(n) for x, n in zip(MODES[m], ("dated", "rerank", "soft"), strict=True))) for m in modes])
+    hits = hits.withColumn("boost", boost).select("*", F.inline(known)).where("not dated or (same and not stale)")
+    hits = hits.withColumn("some", F.max("same").over(Window.partitionBy("mode", "q"))).where("not soft or same or not some")
+    order = Window.partitionBy("mode", "q").orderBy(F.desc(F.round(F.col("score") + F.when(F.col("rerank"), F.col("boost")).otherwise(0.0), 6)), "pool")
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("mode", "q", "rank", "vec_id", "policy_key", "clause_id", "stale", "expected", "q_clause")
+
+
+def case_rows(vectors: DataFrame, modes: list[str]) -> DataFrame:
+    """Per mode and query: recall of the expected policy and clause, share of stale hits, reciprocal rank of the expected policy, the first hit's key."""
+    right = F.col("policy_key") == F.col("expected")
+    hits = retrieve(vectors, modes).groupBy("mode", "q").agg(
+        F.max(right.cast("double")).alias("recall_policy"), F.max((F.col("clause_id") == F.col("q_clause")).cast("double")).alias("recall_clause"), F.avg(F.col("stale").cast("double")).alias("stale_rate"),
+        (1.0 / F.min(F.when(right, F.col("rank")))).alias("mrr"), F.min(F.when(F.col("rank") == 1, F.col("policy_key"))).alias("top_policy"))
+    rows = cases(vectors).select("q", F.col("expected").alias("expected_policy"), F.explode(F.array(*map(F.lit, modes))).alias("mode")).join(hits, ["mode", "q"], "left")
+    return rows.select("mode", F.col("q").alias("vec_id"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")), "top_policy", "expected_policy")
 
 
 def ablation(vectors: DataFrame) -> DataFrame:
-    """Per mode the means of recall, stale rate and reciprocal rank over all queries."""
-    out = None
-    for mode in MODES:
-        row = case_rows(vectors, mode).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("stale"), 6).alias("stale_rate"), F.round(F.avg("mrr"), 6).alias("mrr")).select(F.lit(mode).alias("mode"), "n", "recall", "stale_rate", "mrr")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Per mode the means over all queries."""
+    return case_rows(vectors, list(MODES)).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")))
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256, seed: int = 0) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import datasets as D
-from palimpsest.operators import retrieval as R
 from palimpsest.operators import temporal as T
 from palimpsest.operators import verify as V
 from palimpsest.plans.catalog_domain import TERMS, total
@@ -29,11 +28,6 @@ query("str09_index_text", "SELECT policy_key, concat_ws(' ', policy_key, domain,
 query("jsn01_key_order", """SELECT case_id, '{"policy":"' || policy_key || '","resolution":"' || expected || '"}' AS json FROM cases""")(
     lambda w: w.cases.select("case_id", F.from_json(F.to_json(F.struct(F.col("expected").alias("resolution"), F.col("policy_key").alias("policy"))), "resolution string, policy string").alias("j")).select("case_id", F.to_json(F.struct("j.policy", "j.resolution")).alias("json")))
 
-# Retrieval rows
-for mode in R.MODES:
-    query(f"ret04_rows_{mode}", f"SELECT vec_id, round(hit, 6)::DOUBLE AS hit, round(stale, 6)::DOUBLE AS stale, round(mrr, 6)::DOUBLE AS mrr FROM ({R.PER_QUERY.format(sql=R.SQL.format(**R.MODES[mode]))})", world=False)(
-        lambda w, m=mode: R.case_rows(w.table("embeddings"), m).select("vec_id", *(F.round(c, 6).alias(c) for c in ("hit", "stale", "mrr"))))
-
 # Agents: the oracle cites the policy in force; the baseline the first of its domain's catalogue, and inspects nothing.
 ACT = {"release": "release_item", "quarantine": "quarantine_item", "request_evidence": "request_missing_evidence"}
 SQL_ACT = "CASE expected " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACT.items()) + " END"

@@ -114,20 +114,39 @@ query("snk05_markdown_table", "SELECT '| key | from |' || chr(10) || '| --- | --
     lambda w: w.policies.select(F.concat(F.lit("| "), F.replace("policy_key", F.lit("|"), F.lit("/")), F.lit(" | "), F.date_format("effective_at", "yyyy-MM-dd"), F.lit(" |")).alias("line")).agg(F.concat(F.lit("| key | from |\n| --- | --- |\n"), F.concat_ws("\n", F.array_sort(F.collect_list("line")))).alias("md")))
 
 # Vectors and retrieval
-query("vec02_dot", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0", world=False)(
-    lambda w: w.table("embeddings").crossJoin(F.broadcast(w.table("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")))).select("vec_id", F.round(R.dot("embedding", "q"), 5).alias("score")))
-TOPK = "SELECT q, vec_id, k AS rank FROM (SELECT q.vec_id AS q, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) DESC, c.vec_id) AS k FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE k <= 5"
-query("jon12_cosine_topk", TOPK, world=False)(lambda w: R.cosine_top(w.table("embeddings").where("vec_id < 20"), w.table("embeddings"), 5))
-query("srt03_topk", TOPK.replace("k <= 5", "k <= 10"), world=False)(lambda w: R.cosine_top(w.table("embeddings").where("vec_id < 20"), w.table("embeddings"), 10))
-query("vec01_hash_embed", """WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_@.-]+') AS t FROM benchmark),
+SCORE = "round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
+TOPK = f"SELECT q, vec_id, k AS rank FROM (SELECT q.vec_id AS q, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE} DESC, c.vec_id) AS k FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0) WHERE k <= 5"
+topk = lambda w, k: R.nearest(R.asked(w.table("embeddings")), w.table("embeddings"), k, own=True).select("q", "vec_id", F.col("pool").alias("rank"))
+query("vec02_dot", f"SELECT q, vec_id, {SCORE} AS score FROM (SELECT q.vec_id AS q, c.vec_id, q.embedding, c.embedding AS e FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id = q.vec_id + 1)".replace("q.embedding, c.embedding), lambda", "embedding, e), lambda"), world=False)(
+    lambda w: R.asked(w.table("embeddings")).select(F.col("vec_id").alias("q"), (F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("e")).join(w.table("embeddings"), "vec_id").select("q", "vec_id", F.round(R.dot("embedding", "e"), 6).alias("score")))
+query("jon12_cosine_topk", TOPK, world=False)(lambda w: topk(w, 5))
+query("srt03_topk", TOPK.replace("k <= 5", "k <= 10"), world=False)(lambda w: topk(w, 10))
+query("vec01_hash_embed", """WITH t AS (SELECT doc_id AS item_id, regexp_extract_all(lower(text), '[a-z0-9_@.-]+') AS t FROM documents),
   f AS (SELECT item_id, unnest(t) AS tok, 1.0 AS v FROM t UNION ALL SELECT item_id, t[i] || '_' || t[i + 1], 0.5 FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM t)),
   h AS (SELECT item_id, v, sha256('0:' || tok) AS s FROM f),
   b AS (SELECT item_id, ('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::BIGINT % 256 AS slot, sum(CASE WHEN ('0x' || substr(s, 9, 2))::BIGINT % 2 = 0 THEN v ELSE -v END)::DOUBLE AS x FROM h GROUP BY 1, 2)
-  SELECT item_id, slot, round(x / greatest(1e-8, sqrt(sum(x * x) OVER (PARTITION BY item_id))), 6) AS x FROM b WHERE x <> 0""", world=False)(lambda w: R.hash_embed(w.table("benchmark"), "item_id", "text"))
+  SELECT item_id AS doc_id, slot, round(x / greatest(1e-8, sqrt(sum(x * x) OVER (PARTITION BY item_id))), 6) AS x FROM b WHERE x <> 0""", world=False)(lambda w: R.hash_embed(w.table("documents"), "doc_id", "text"))
+ENTRY = """e AS (SELECT vec_id, label, embedding, 'd' || (vec_id % 3) AS domain, ['1.0', '1.1', '2.0'][(vec_id // 3) % 3 + 1] AS version, 'C' || label AS clause_id, 'tag' || (label % 4) AS tag,
+  CASE WHEN label = 9 THEN 'critical' WHEN label = 8 THEN 'high' WHEN label >= 4 THEN 'medium' ELSE 'low' END AS severity FROM embeddings),
+i AS (SELECT *, 'POL-' || upper(domain) || '@' || version AS policy_key, domain || ' v' || version || ' ' || clause_id || ' ' || tag AS text FROM e)"""
+query("ret01_index", f"WITH {ENTRY} SELECT vec_id, policy_key || '::' || clause_id AS doc_id, policy_key, clause_id, domain, version, severity, tag, text FROM i", world=False)(lambda w: R.index(w.table("embeddings")))
+HITS = f"""WITH {ENTRY}, c AS (SELECT vec_id AS q, embedding, 'd' || ((vec_id // 20) % 3) AS q_domain, ['1.0', '1.1', '2.0'][(vec_id // 60) % 3 + 1] AS in_force, ['tag' || ((vec_id // 20) % 4), clause_id] AS words, clause_id AS q_clause FROM i WHERE vec_id % 20 = 0),
+cases AS (SELECT *, 'POL-' || upper(q_domain) || '@' || in_force AS expected FROM c),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS pool FROM (SELECT q.q, c.vec_id, {SCORE} AS score FROM cases q, i c WHERE c.vec_id <> q.q)) WHERE pool <= {R.POOL}),
+hits AS (SELECT p.q, p.vec_id, score, pool, i.policy_key, i.clause_id, c.expected, c.q_clause, i.domain = c.q_domain AS same, i.version <> c.in_force AS stale,
+  CASE WHEN i.domain = c.q_domain THEN {R.SAME} ELSE 0 END + CASE WHEN i.version <> c.in_force THEN {R.OLD} ELSE {R.FRESH} END + {R.WORD} * len(list_filter(c.words, lambda x: contains(lower(i.text), lower(x)))) + CASE WHEN i.severity IN ('high', 'critical') THEN {R.SEVERE} ELSE 0 END AS boost
+  FROM pool p JOIN i USING (vec_id) JOIN cases c ON c.q = p.q),
+modes(mode, dated, rerank, soft) AS (VALUES {", ".join(f"('{m}', {d}, {r}, {s})" for m, (d, r, s) in R.MODES.items())}),
+kept AS (SELECT *, bool_or(same) OVER (PARTITION BY mode, q) AS any_same FROM hits, modes WHERE NOT dated OR (same AND NOT stale)),
+ranked AS (SELECT mode, q, row_number() OVER (PARTITION BY mode, q ORDER BY round(score + CASE WHEN rerank THEN boost ELSE 0 END::DOUBLE, 6) DESC, pool) AS rank, vec_id, policy_key, clause_id, stale, expected, q_clause FROM kept WHERE NOT soft OR same OR NOT any_same),
+top AS (SELECT * FROM ranked WHERE rank <= {R.K}),
+per AS (SELECT mode, q, max((policy_key = expected)::INT)::DOUBLE AS recall_policy, max((clause_id = q_clause)::INT)::DOUBLE AS recall_clause, avg(stale::INT) AS stale_rate, 1.0::DOUBLE / min(rank) FILTER (WHERE policy_key = expected) AS mrr, min(policy_key) FILTER (WHERE rank = 1) AS top_policy FROM top GROUP BY 1, 2),
+"rows" AS (SELECT m.mode, c.q AS vec_id, round(coalesce(recall_policy, 0), 6) AS recall_policy, round(coalesce(recall_clause, 0), 6) AS recall_clause, round(coalesce(stale_rate, 0), 6) AS stale_rate, round(coalesce(mrr, 0), 6) AS mrr, top_policy, expected AS expected_policy
+  FROM cases c CROSS JOIN modes m LEFT JOIN per ON per.q = c.q AND per.mode = m.mode)"""
 for mode in R.MODES:
-    query(f"ret02_{mode}", R.SQL.format(**R.MODES[mode]), world=False)(lambda w, m=mode: R.retrieve(w.table("embeddings"), m))
-query("ret03_ablation", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, count(*) AS n, round(avg(hit), 6) AS recall, round(avg(stale), 6) AS stale_rate, round(avg(mrr), 6) AS mrr FROM ({R.PER_QUERY.format(sql=R.SQL.format(**R.MODES[m]))})" for m in R.MODES) + ")", world=False)(
-    lambda w: R.ablation(w.table("embeddings")))
+    query(f"ret02_{mode}", f"{HITS} SELECT * FROM top WHERE mode = '{mode}'", world=False)(lambda w, m=mode: R.retrieve(w.table("embeddings"), [m]))
+    query(f"ret04_rows_{mode}", f"{HITS} SELECT * FROM \"rows\" WHERE mode = '{mode}'", world=False)(lambda w, m=mode: R.case_rows(w.table("embeddings"), [m]))
+query("ret03_ablation", f"{HITS} SELECT mode, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")) + ' FROM "rows" GROUP BY 1', world=False)(lambda w: R.ablation(w.table("embeddings")))
 
 # Datasets and selection
 query("dst03_teacher_filter", f"SELECT case_id, success AS accepted, array_to_string({FAILED}, '; ') AS reasons FROM checked")(lambda w: w.runs.select("case_id", F.col("success").alias("accepted"), F.concat_ws("; ", V.failures()).alias("reasons")))
