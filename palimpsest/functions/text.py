@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a policy key and a token are.
 KEY_PATTERN = r"\b(POL-[A-Z0-9-]+@[0-9]+\.[0-9]+)\b"
 TOKEN_PATTERN = r"([a-z0-9_@.-]+)"
 # The names under which a resolution goes.
@@ -62,10 +63,13 @@ def token_estimate(text: Column) -> Column:
 def resolution_matches(expected: Column, actual: Column) -> Column:
     """Equality, or the same alias set, or either text within the other; so an empty answer matches (kept as the default)."""
     e, a = F.lower(F.trim(expected)), F.lower(F.trim(actual))
-    same = e == a
-    for key, names in ALIASES.items():
-        same = same | (((e == key) | e.isin(names)) & a.isin(names))
-    return same | e.contains(a) | a.contains(e)
+    masks: dict[str, int] = {}  # the sets that a name is in, as bits; each set holds its own key
+    for i, names in enumerate(ALIASES.values()):
+        for n in names:
+            masks[n] = masks.get(n, 0) | 1 << i
+    known = F.create_map(*[F.lit(x) for pair in masks.items() for x in pair])
+    sets = lambda x: F.coalesce(F.try_element_at(known, x), F.lit(0))
+    return (e == a) | (sets(e).bitwiseAND(sets(a)) != 0) | e.contains(a) | a.contains(e)
 
 
 def preference_bucket(text: Column) -> Column:

@@ -35,7 +35,7 @@ query("ver10_failures", f"SELECT case_id, array_to_string({FAILED}, ',') AS fail
 METRIC_ROW = f"""SELECT case_id, domain, difficulty, split, split_part(expected_key, '@', 2) AS policy_version, template AS template_id, 'heuristic-agent' AS model_id, 'baseline' AS training_method,
   {B("success")} AS success, {B("answer_matches")} AS task_success, {B("cites_expected OR active_policy_match")} AS active_policy_selection_accuracy, {B("stale")} AS stale_policy_error, {B("NOT no_prohibited_actions")} AS unsafe_action,
   {B("unknown_policy")} AS hallucinated_policy, {B("evidence_handling")} AS evidence_handling, n_steps::DOUBLE AS avg_steps, {total(list(TERMS))} AS total_reward, array_to_string({FAILED}, ',') AS failure_categories, tools_used FROM checked"""
-query("met01_trajectory_metrics", METRIC_ROW)(lambda w: V.metric_rows(w.runs))
+query("met01_trajectory_metrics", METRIC_ROW)(lambda w: V.metric_rows(w.told_runs))
 RATES = "count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in V.METRICS)
 query("agg01_metric_means", f"SELECT {RATES} FROM ({METRIC_ROW})")(lambda w: V.metric_rows(w.runs).agg(*V.metric_means()))
 query("agg01b_means_of_none", f"SELECT {RATES} FROM ({METRIC_ROW}) WHERE domain = 'none'")(lambda w: V.metric_rows(w.runs).where("domain = 'none'").agg(*V.metric_means()))

@@ -16,6 +16,7 @@ from palimpsest.operators import temporal, verify
 VERSIONS = [("1.0", "1995-01-01", "1997-01-01"), ("1.1", "1997-01-01", "1999-01-01"), ("2.0", "1999-01-01", None)]
 DOMAINS = ["d0", "d1", "d2"]
 TOOLS = ["retrieve_policy", "inspect_evidence", "release_item", "quarantine_item", "finalize_case", "request_missing_evidence", "create_human_review"]
+KEYS = [f"POL-{d.upper()}@{v}" for d in DOMAINS for v, _, _ in VERSIONS]
 
 
 class World:
@@ -66,7 +67,8 @@ class World:
             .when(F.expr("l_returnflag = 'A' and l_linestatus = 'F'"), "quarantine_item").otherwise("ask_oracle").alias("tool"),
         )
         cited = F.when(F.col("supp") % 10 == 1, "9.9").when((F.col("supp") % 10 == 0) & (F.col("version") == "2.0"), "1.1").when(F.col("supp") % 10 == 0, "1.0").otherwise(F.col("version"))
-        return line.join(self.cases, "case_id").withColumn("cited", F.concat_ws("@", "policy_id", cited))
+        place = F.expr("cast(step as decimal(8,0)) * 1e28BD + cast(part as decimal(10,0)) * 1e18BD + cast(supp as decimal(8,0)) * 1e10BD + cast(round(amount * 100) as decimal(10,0))")
+        return line.join(self.cases.hint("merge"), "case_id").withColumn("cited", F.concat_ws("@", "policy_id", cited)).withColumn("place", place.cast("decimal(36,0)"))
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -76,7 +78,12 @@ class World:
     @cached_property
     def runs(self) -> DataFrame:
         """One row per case that has actions: the verdicts on its trajectory."""
-        return verify.verdicts(self.steps, [f"POL-{d.upper()}@{v}" for d in DOMAINS for v, _, _ in VERSIONS], TOOLS)
+        return verify.verdicts(self.steps, KEYS, TOOLS)
+
+    @cached_property
+    def told_runs(self) -> DataFrame:
+        """The same with the tools used, in order."""
+        return verify.verdicts(self.steps, KEYS, TOOLS, calls=True)
 
 
 #: Common table expressions for the same entities.
