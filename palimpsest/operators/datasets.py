@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: No frame whose size (rows times the row bytes stated by the caller) exceeds this is ever broadcast.
@@ -25,18 +25,20 @@ def spaced(text: Column) -> Column:
 def contained(clauses: DataFrame, key: str, texts: DataFrame, text: str = "text", row_bytes: int = 4096) -> DataFrame:
     """Each clause (key, text) with `contained`: whether its words follow each other in any text.
 
-    Texts meet clauses where the clause's first ANCHOR words occur, so no text is compared with all clauses; only (key) leaves
-    a partition, once per hit. Clauses of fewer words anchor on what they have; null or empty clauses and texts hold nothing.
+    Texts meet clauses where the clause's first ANCHOR words occur, so no text is compared with all clauses; row_bytes is what a
+    clause's text may take on average. Clauses of fewer words anchor on what they have; null or empty clauses and texts hold nothing.
     """
     c = clauses.select(key, spaced(F.col(text)).alias("_c")).where("_c <> '  '")
     words = lambda x: F.filter(F.split(F.trim(x), " "), lambda w: w != "")
     c = c.withColumn("_w", F.least(F.size(words(F.col("_c"))), F.lit(ANCHOR)))
     c = c.withColumn("_anchor", F.concat_ws(" ", F.slice(words(F.col("_c")), 1, ANCHOR)))
-    t = texts.select(spaced(F.col(text)).alias("_t")).where("_t <> '  '").withColumn("_words", words(F.col("_t")))
+    t = texts.select(spaced(F.col(text)).alias("_t")).where("_t <> '  '").withColumn("_words", words(F.col("_t"))).withColumn("_h", F.xxhash64("_t"))
     used = [r[0] for r in c.select("_w").distinct().collect()]  # five values at most
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("_words", i, n)))
     grams = F.flatten(F.array(*map(runs, used))) if used else F.array().cast("array<string>")
-    hits = t.select("_t", F.explode(F.array_distinct(grams)).alias("_anchor")).join(bounded(c, row_bytes), "_anchor").where(F.contains("_t", "_c")).select(key).distinct()
+    # First only digests of texts meet anchors; then the few texts that may hold a clause are looked at.
+    met = t.select("_h", F.explode(F.array_distinct(grams)).alias("_anchor")).join(bounded(c.select(key, "_anchor"), 256), "_anchor").select("_h", key).distinct()
+    hits = t.select("_h", "_t").join(bounded(met, 64), "_h").join(bounded(c.select(key, "_c"), row_bytes), key).where(F.contains("_t", "_c")).select(key).distinct()
     return clauses.select(key).join(hits.withColumn("_hit", F.lit(True)), key, "left").select(key, F.col("_hit").isNotNull().alias("contained"))
 
 
@@ -97,3 +99,160 @@ def stamp_events(rows: DataFrame, stamps: DataFrame, key: str, *columns: str) ->
     j = stamp(rows, key, *columns).join(stamps.select(key, F.col("checksum").alias("_old")), key, "left")
     event = F.when(F.col("_old").isNull(), "missing_stamp").when(F.col("_old") != F.col("checksum"), "hash_changed")
     return j.select(key, event.alias("event")).where("event is not null")
+
+
+# The versions that may be trained on and those that are held out, the marks of a held-out version, the gate's events.
+TRAIN_VERSIONS, EVAL_VERSIONS, LEAST_CLAUSE = ["1.0", "1.1"], ["2.0"], 40
+MARKS = ["@2.0", 'version": "2.0"', "version': '2.0'"]
+EVENTS = [
+    "sft_forbidden_version", "dpo_forbidden_version", "eval_version_mismatch", "case_id_overlap", "cross_split_case_ids", "v2_version_marker_in_train", "v2_policy_text_in_train",
+    "eval_reference_in_train", "sft_manifest_hash_mismatch", "dpo_manifest_hash_mismatch", "split_manifest_hash_mismatch", "sft_manifest_path_mismatch", "dpo_manifest_path_mismatch",
+]
+
+
+def leakage_events(sft: DataFrame, dpo: DataFrame, held: DataFrame, clauses: DataFrame, recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """event, n: the thirteen leakage events with the number of rows (versions, ids, data sets) that show each.
+
+    sft, dpo and held (the evaluation set): case_id, policy_version, split, and texts prompt, chosen, rejected, text (null where
+    a set has none), held also expected_resolution. clauses: version and text of all policy clauses, a dimension. recorded and
+    found: name, hash and path of the data sets as their manifests say and as they are; recorded also split_hash, the hash that the
+    split's manifest gives.
+    """
+    fields = ["prompt", "chosen", "rejected", "text"]
+    cols = ["case_id", "policy_version", "split", *fields]
+    train = sft.select(F.lit("sft").alias("side"), *cols).unionByName(dpo.select(F.lit("dpo").alias("side"), *cols))
+    forbidden = ~F.coalesce(F.col("policy_version").isin(TRAIN_VERSIONS), F.lit(False))
+    blob = F.concat_ws("\n", *fields)
+    old = clauses.where(~F.col("version").isin(EVAL_VERSIONS)).select(F.trim("text").alias("snippet"))
+    only = clauses.where(F.col("version").isin(EVAL_VERSIONS)).select(F.trim("text").alias("snippet")).where(F.length("snippet") >= LEAST_CLAUSE).join(old, "snippet", "left_anti").distinct()
+    counts = train.agg(
+        F.count_if((F.col("side") == "sft") & forbidden).alias(EVENTS[0]), F.count_if((F.col("side") == "dpo") & forbidden).alias(EVENTS[1]),
+        F.count_if(F.greatest(*[F.contains(blob, F.lit(m)) for m in MARKS])).alias(EVENTS[5]))
+    versions = held.agg(F.count_if(~F.coalesce(F.col("policy_version").isin(EVAL_VERSIONS), F.lit(False))).alias("other"), F.count_if(F.col("policy_version").isin(EVAL_VERSIONS)).alias("right"))
+    versions = versions.select((F.col("other") + F.when(F.col("right") == 0, 1).otherwise(0)).alias(EVENTS[2]))
+    ids = train.select("case_id", "split").unionByName(held.select("case_id", "split")).groupBy("case_id").agg(F.count_distinct("split").alias("m"))
+    crossed = ids.agg(F.count_if(F.col("m") > 1).alias(EVENTS[4]))
+    overlap = train.select("case_id").distinct().join(held.select("case_id"), "case_id", "left_semi").agg(F.count(F.lit(1)).alias(EVENTS[3]))
+    texts = train.where(blob != "").select(F.monotonically_increasing_id().alias("row"), blob.alias("text"))
+    snippets = contained(only.withColumn("text", F.col("snippet")), "snippet", texts).agg(F.count_if("contained").alias(EVENTS[6]))
+    # Equal strings meet by digest; both sides are digests only.
+    digest = lambda c: F.sha2(F.trim(c), 256)
+    values = train.select(F.explode(F.array(*[F.when(F.trim(c) != "", digest(F.col(c))) for c in fields])).alias("d")).where("d is not null")
+    refs = held.select(F.explode(F.array(*[F.when(F.trim(c) != "", digest(F.col(c))) for c in ("expected_resolution", "prompt")])).alias("d")).where("d is not null").distinct()
+    copied = values.join(refs, "d", "left_semi").agg(F.count(F.lit(1)).alias(EVENTS[7]))
+    j = recorded.select("name", F.col("hash").alias("h"), F.col("path").alias("p"), "split_hash").join(found.select("name", "hash", "path"), "name", "full")
+    named = lambda n, c: F.count_if((F.col("name") == n) & ~c).alias
+    same = F.col("h").eqNullSafe(F.col("hash"))
+    kept = j.agg(
+        named("sft", same)(EVENTS[8]), named("dpo", same)(EVENTS[9]), F.count_if(~F.col("split_hash").eqNullSafe(F.col("hash"))).alias(EVENTS[10]),
+        named("sft", F.col("p").eqNullSafe(F.col("path")))(EVENTS[11]), named("dpo", F.col("p").eqNullSafe(F.col("path")))(EVENTS[12]))
+    row = counts
+    for one in (versions, crossed, overlap, snippets, copied, kept):  # each a single row
+        row = row.crossJoin(one)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("n")) for e in EVENTS])).alias("x")).select("x.event", "x.n")
+
+
+def assert_clean(events: DataFrame) -> DataFrame:
+    """passed (true), or the query fails with the events that were found: the gate before training."""
+    found = events.where("n > 0").agg(F.count(F.lit(1)).alias("m"), F.concat_ws(", ", F.array_sort(F.collect_list("event"))).alias("said"))
+    return found.select(F.when(F.col("m") == 0, True).otherwise(F.raise_error(F.concat(F.lit("leakage: "), "said")).cast("boolean")).alias("passed"))
+
+
+def clean_split(cases: DataFrame, per_domain: int | None = None) -> DataFrame:
+    """case_id, side: held-out cases of the held-out versions as eval; as train those of the training versions that share no customer with them.
+
+    A domain with fewer than `per_domain` training cases is topped up from its cases of other splits, in order of id; eval falls
+    back to all cases of the held-out versions if none of them is in the test split.
+    """
+    held = cases.where(F.col("version").isin(EVAL_VERSIONS))
+    some = held.agg(F.coalesce(F.bool_or(F.col("split") == "test"), F.lit(False)).alias("some"))
+    ev = held.crossJoin(F.broadcast(some)).where((F.col("split") == "test") | ~F.col("some"))
+    free = cases.where(F.col("version").isin(TRAIN_VERSIONS)).join(ev.select("customer"), "customer", "left_anti")
+    if per_domain is None:
+        train = free.select("case_id")
+    else:
+        # Only the first per_domain of a domain can be wanted beyond the training split's own, so each window keeps few.
+        first = free.where("split <> 'train'").withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("case_id"))).where(F.col("k") <= per_domain)
+        n = free.where("split = 'train'").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+        more = first.join(n, "domain", "left").where(F.col("k") <= per_domain - F.coalesce("n", F.lit(0)))
+        train = free.where("split = 'train'").select("case_id").unionByName(more.select("case_id"))
+    return ev.select("case_id", F.lit("eval").alias("side")).unionByName(train.withColumn("side", F.lit("train")))
+
+
+def first_of_each(rows: DataFrame, group: str, most: int, *order: str) -> DataFrame:
+    """The first `most` rows, the first of each group before all others: by order within both."""
+    first = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("_o")).select("_o.*", F.lit(0).alias("_k"))
+    few = first.orderBy(*order).limit(most)
+    rest = rows.select(*order).join(F.broadcast(few.select(*order)), list(order), "left_anti").orderBy(*order).limit(most).withColumn("_k", F.lit(1))  # few: `most` rows
+    return few.unionByName(rest).orderBy("_k", *order).limit(most).drop("_k")
+
+
+def parse_output(text: Column) -> Column:
+    """The answer in a model's output: of its JSON object, else of a line that names one, else its last line, else abstain."""
+    blob = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    raw = F.regexp_extract(blob, r"(?s)\{.*\}", 0)
+    said = lambda k: F.when(F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit("")) != "", F.get_json_object(raw, f"$.{k}"))
+    lines = F.filter(F.transform(F.split(blob, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    named = F.get(F.filter(lines, lambda x: F.lower(x).contains("final_resolution") | F.lower(x).contains("decision")), F.lit(0))
+    scraped = F.regexp_replace(F.trim(F.regexp_replace(named, r"\A[^:]*:", "")), r'\A[",]+|[",]+\z', "")
+    return F.coalesce(said("final_resolution"), said("final_answer"), said("decision"), F.when(scraped != "", scraped), F.substring(F.get(lines, F.size(lines) - 1), 1, 200), F.lit("abstain"))
+
+
+def finalized_as(raw: Column, allowed: list[str]) -> tuple[Column, Column]:
+    """What a finalizing call resolves to, and whether that is allowed: the part behind cite:KEY|, apply_active_policy for a bare citation, else the text."""
+    text = F.trim(raw)
+    rest = F.trim(F.substring(text, 6, 1 << 30))
+    base = F.when(text.startswith("cite:"), F.when(rest.contains("|"), F.trim(F.regexp_replace(rest, r"(?s)\A[^|]*\|", ""))).otherwise("apply_active_policy")).otherwise(text)
+    return base, base.isin(allowed)
+
+
+def round_robin(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """(key, turn): one row of each group in turn, groups in order, until `most` are taken; a group that runs out is left out while the place in the list of
+    groups goes on from where it was, so the order after that is not by (row, group). Only the first `most` rows of a group can be taken.
+    """
+    first = rows.select(group, key).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_k") <= most)
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        queues = {g: x.sort_values("_k")[key].tolist() for g, x in pdf.groupby(group)}
+        names, at, out = sorted(queues), 0, []
+        while len(out) < most and names:
+            own = queues[names[at % len(names)]]
+            if own:
+                out.append(own.pop(0))
+                at += 1
+            else:
+                names = [n for n in names if queues[n]]
+        return pd.DataFrame({key: out, "turn": range(1, len(out) + 1)})
+
+    return first.groupBy(F.lit("all")).applyInPandas(run, f"{key} long, turn long")  # `most` rows of each group at most
+
+
+# How sections of a prompt begin.
+EXAMPLES = r"\n(?:Optional examples|Examples|Few-shot examples)\s*:\s*\n"
+HISTORY = r"\n(?:Policy history|Superseded policies|Older policies|Redundant policy history)\s*:\s*\n"
+CURRENT = r"(?:Retrieved current policies:|Current policy(?: clause)?:|Active policy:)"
+SCHEMA = r"(?:Available tools:|Tool schema:|Tools:\s*\[|tools\s*=\s*\[)"
+
+
+def truncate_prompt(text: Column, most: int) -> Column:
+    """text within `most` estimated tokens (a quarter of its characters): without its examples, then without its policy history, then with
+    its tail cut, while the current policy or else the tool schema and what follows them stay. In that order, as far as needed.
+    """
+    n = lambda x: F.greatest(F.lit(1), F.floor(F.length(x) / 4))
+    later = [rf"\n{CURRENT}", rf"\n{SCHEMA}"]
+    one = drop_section(text, EXAMPLES, [HISTORY, *later])
+    two = drop_section(one, HISTORY, later)
+    mark = F.when(two.rlike(f"(?i){CURRENT}"), F.regexp_extract(two, f"(?is){CURRENT}.*", 0)).when(two.rlike(f"(?i){SCHEMA}"), F.regexp_extract(two, f"(?is){SCHEMA}.*", 0)).otherwise("")
+    body = two.substr(F.lit(1), F.length(two) - F.length(mark))
+    room = F.greatest(F.lit(0), F.lit(4 * most + 3) - F.length(mark) - F.when(mark != "", 1).otherwise(0))
+    cut = F.concat_ws("\n", F.array_compact(F.array(F.regexp_replace(body.substr(F.lit(1), room), r"\s+\z", ""), F.when(mark != "", mark))))
+    return F.when(n(text) <= most, text).when(n(one) <= most, one).when(n(two) <= most, two).otherwise(cut)
+
+
+def budget_pair(prompt: Column, chosen: Column, rejected: Column, most: int = 512, completion: int = 128, prompt_most: int = 384) -> dict[str, Column]:
+    """A preference pair within a budget of estimated tokens: completions are cut to theirs, the prompt to what is left; and whether anything was cut."""
+    cut = lambda x: F.substring(x, 1, 4 * completion)
+    p = truncate_prompt(prompt, min(prompt_most, most - completion))
+    return {"prompt": p, "chosen": cut(chosen), "rejected": cut(rejected), "cut": (p != prompt) | (F.length(chosen) > 4 * completion) | (F.length(rejected) > 4 * completion)}

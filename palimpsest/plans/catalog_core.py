@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.operators import datasets as D
 from palimpsest.operators import temporal as T
 from palimpsest.plans.registry import query
 
@@ -54,9 +55,6 @@ query("flt11_policy_key", "SELECT case_id, policy_id || '@' || version AS policy
 query("flt12_enrich", "SELECT case_id, template, split, version AS policy_version, 'temporal' AS dataset, version = '2.0' AS is_eval FROM cases")(lambda w: w.cases.select("case_id", "template", "split", F.col("version").alias("policy_version"), F.lit("temporal").alias("dataset"), (F.col("version") == "2.0").alias("is_eval")))
 query("flt13_tag_any", "SELECT case_id FROM (SELECT case_id, [difficulty, split] AS tags FROM cases) WHERE len(list_filter(tags, lambda t: contains(t, 'URGENT') OR contains(t, 'test'))) > 0")(
     lambda w: w.orders.where(F.exists(F.array("difficulty", "split"), lambda t: t.contains("URGENT") | t.contains("test"))).select("case_id"))
-query("flt14_decide_resolution", "SELECT case_id, CASE WHEN domain = 'd0' THEN CASE WHEN price > 300000 THEN 'quarantine' WHEN difficulty = '1-URGENT' THEN 'human_review' ELSE 'release' END WHEN domain = 'd1' THEN CASE WHEN difficulty IN ('1-URGENT', '2-HIGH') THEN 'deny' ELSE 'approve' END WHEN version IS NULL THEN 'safe_refusal' WHEN price > 400000 THEN 'incident' ELSE 'allow' END AS decision FROM cases")(
-    lambda w: w.cases.select("case_id", F.when(F.col("domain") == "d0", F.when(F.col("price") > 300000, "quarantine").when(F.col("difficulty") == "1-URGENT", "human_review").otherwise("release"))
-    .when(F.col("domain") == "d1", F.when(F.col("difficulty").isin("1-URGENT", "2-HIGH"), "deny").otherwise("approve")).when(F.col("version").isNull(), "safe_refusal").when(F.col("price") > 400000, "incident").otherwise("allow").alias("decision")))
 query("flt15_pref_bucket", "SELECT item_id, CASE WHEN contains(s, 'stale') THEN 'stale' WHEN contains(s, 'unsafe') THEN 'unsafe' WHEN contains(s, 'invalid_tool') THEN 'invalid_tool' ELSE 'other' END AS bucket FROM (SELECT item_id, lower(text || CASE item_id % 4 WHEN 0 THEN ' Stale unsafe' WHEN 1 THEN ' UNSAFE' WHEN 2 THEN ' invalid_tool' ELSE '' END) AS s FROM benchmark)", world=False)(
     lambda w: w.table("benchmark").select("item_id", X.preference_bucket(F.concat("text", F.when(F.col("item_id") % 4 == 0, " Stale unsafe").when(F.col("item_id") % 4 == 1, " UNSAFE").when(F.col("item_id") % 4 == 2, " invalid_tool").otherwise(""))).alias("bucket")))
 
@@ -97,7 +95,7 @@ query("win06_hash_sample", "SELECT case_id FROM cases ORDER BY ('0x' || substr(s
 query("win07_round_robin", "SELECT case_id, k FROM (SELECT case_id, domain, row_number() OVER (PARTITION BY domain ORDER BY case_id) AS k FROM cases) ORDER BY k, domain LIMIT 60")(
     lambda w: w.orders.withColumn("k", row_n(Window.partitionBy("domain").orderBy("case_id"))).where("k <= 60").orderBy("k", "domain").limit(60).select("case_id", "k"))
 query("win08_diversity", "SELECT case_id FROM (SELECT case_id, domain, row_number() OVER (PARTITION BY template ORDER BY domain, case_id) AS k FROM cases) ORDER BY k > 1, domain, case_id LIMIT 40")(
-    lambda w: w.orders.withColumn("k", F.row_number().over(Window.partitionBy("template").orderBy("domain", "case_id"))).orderBy(F.col("k") > 1, "domain", "case_id").limit(40).select("case_id"))
+    lambda w: D.first_of_each(w.orders, "template", 40, "domain", "case_id").select("case_id"))
 query("win09_first_last_step", "SELECT case_id, max(n) AS n_steps, arg_max(tool, n) AS last_tool, coalesce(min(n) FILTER (WHERE tool = 'finalize_case'), 0) AS first_finalize FROM steps GROUP BY 1")(
     lambda w: w.actions.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("step", "part", "supp", "amount", "tool"))).alias("a")).select("case_id", F.size("a").cast("long").alias("n_steps"), F.element_at("a", -1)["tool"].alias("last_tool"), F.array_position(F.col("a.tool"), "finalize_case").alias("first_finalize")))
 query("win11_first_diff", "WITH t AS (SELECT conv_id, string_split(min(text) FILTER (WHERE turn = 0), ' ') AS a, string_split(min(text) FILTER (WHERE turn = 1), ' ') AS b FROM conversations GROUP BY 1) SELECT conv_id, coalesce((SELECT min(i) FROM range(1, 1 + least(len(a), len(b))) r(i) WHERE a[i] <> b[i]), 0) AS first_diff FROM t WHERE a IS NOT NULL AND b IS NOT NULL", world=False)(

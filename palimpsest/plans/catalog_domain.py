@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.operators import datasets as D
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import verify as V
 from palimpsest.plans.registry import query
@@ -96,12 +97,17 @@ query("str01_key_extraction", r"SELECT case_id, array_to_string(regexp_extract_a
 query("str02_key_split", "SELECT DISTINCT cited, split_part(cited, '@', 1) AS policy_id, split_part(cited, '@', 2) AS version FROM actions")(lambda w: w.actions.select("cited").distinct().select("cited", F.split("cited", "@", 2)[0].alias("policy_id"), F.split("cited", "@", 2)[1].alias("version")))
 query("str04_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_@.-]+')) AS n FROM documents", world=False)(lambda w: w.table("documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n")))
 query("str05_resolution_matches", "SELECT DISTINCT expected, answer, answer_matches FROM checked")(lambda w: w.runs.select("expected", "answer", "answer_matches").distinct())
-query("str06_resolution_parse", "SELECT case_id, split_part(raw, '|', 2) AS resolution, split_part(raw, '|', 2) IN ('release', 'quarantine') AS allowed FROM (SELECT case_id, 'cite:' || policy_key || '|' || expected AS raw FROM cases)")(
-    lambda w: w.cases.select("case_id", F.concat(F.lit("cite:"), "policy_key", F.lit("|"), "expected").alias("raw")).select("case_id", F.split_part("raw", F.lit("|"), F.lit(2)).alias("resolution")).withColumn("allowed", F.col("resolution").isin("release", "quarantine")))
+RAW = "CASE case_id % 3 WHEN 0 THEN 'cite:' || policy_key || '|' || expected WHEN 1 THEN 'cite:' || policy_key ELSE ' escalate ' END"
+query("str06_resolution_parse", "SELECT case_id, base AS resolution, base IN (" + ", ".join(f"'{x}'" for x in X.ALIASES) + ") AS allowed FROM (SELECT case_id, CASE case_id % 3 WHEN 0 THEN expected WHEN 1 THEN 'apply_active_policy' ELSE 'escalate' END AS base FROM cases)")(
+    lambda w: (lambda found: w.cases.withColumn("raw", F.expr(RAW)).select("case_id", found[0].alias("resolution"), found[1].alias("allowed")))(D.finalized_as(F.col("raw"), list(X.ALIASES))))
 query("str07_query_text", "SELECT case_id, concat_ws(' ', domain, difficulty, expected, CASE WHEN price > 200000 THEN 'True' ELSE 'False' END) AS q FROM cases")(lambda w: w.orders.select("case_id", F.concat_ws(" ", "domain", "difficulty", "expected", F.when(F.col("price") > 200000, "True").otherwise("False")).alias("q")))
 query("str10_token_estimate", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents", world=False)(lambda w: w.table("documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")))
-query("str12_markers", "SELECT doc_id, regexp_matches(text, '(?i)licen[sc]e') AS marked FROM documents", world=False)(lambda w: w.table("documents").select("doc_id", F.col("text").rlike("(?i)licen[sc]e").alias("marked")))
-query("str14_output_parse", "SELECT event_id, coalesce(json_extract_string(props, '$.resolution'), json_extract_string(props, '$.k'), 'abstain') AS parsed FROM events", world=False)(lambda w: w.table("events").select("event_id", F.coalesce(F.get_json_object("props", "$.resolution"), F.get_json_object("props", "$.k"), F.lit("abstain")).alias("parsed")))
+query("str12_markers", "SELECT doc_id, doc_id % 3 = 0 AS has_policy, doc_id % 4 = 0 AS has_tools FROM documents", world=False)(
+    lambda w: w.table("documents").select("doc_id", F.concat(F.lit("Case"), F.when(F.col("doc_id") % 3 == 0, "\nCURRENT policy: keep").otherwise(""), F.when(F.col("doc_id") % 4 == 0, "\nTool schema: {}").otherwise("")).alias("t"))
+    .select("doc_id", F.col("t").rlike(f"(?i){D.CURRENT}").alias("has_policy"), F.col("t").rlike(f"(?i){D.SCHEMA}").alias("has_tools")))
+OUTPUTS = ['Thinking.\n{"final_answer": "", "decision": "release"}', 'So:\nFinal_Resolution: "deny",\nend', "first\n\n  last line  ", "  ", 'x {"cites": []} y', '{"final_resolution": "approve"']
+query("str14_output_parse", "SELECT event_id, ['release', 'deny', 'last line', 'abstain', 'x {\"cites\": []} y', 'approve\"'][event_id % 6 + 1] AS parsed FROM events".replace("'approve\"'", "'approve'"), world=False)(
+    lambda w: w.table("events").select("event_id", D.parse_output(F.element_at(F.array(*map(F.lit, OUTPUTS)), (F.col("event_id") % 6 + 1).cast("int"))).alias("parsed")))
 query("str15_minted_ids", "SELECT case_id, 'traj-' || substr(sha256(case_id::VARCHAR), 1, 12) AS id FROM cases")(lambda w: w.orders.select("case_id", X.minted("traj-", F.col("case_id").cast("string")).alias("id")))
 query("hsh01_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents", world=False)(lambda w: w.table("documents").select("doc_id", F.sha2("text", 256).alias("sha")))
 query("hsh05_spread", "SELECT DISTINCT template, round(('0x' || substr(sha256(template), 1, 4))::BIGINT / 65535.0, 6) AS spread FROM cases")(lambda w: w.orders.select("template").distinct().select("template", F.round(X.hash_spread(F.col("template")), 6).alias("spread")))
@@ -156,14 +162,12 @@ query("dst05_pairs", f"SELECT case_id, kind, CASE kind WHEN 'stale' THEN 1.0 WHE
     lambda w: w.runs.where("success").select("case_id", F.round(V.reward(), 6).alias("r"), F.explode(F.array(*map(F.lit, ("stale", "unsupported", "unsafe")))).alias("kind")).select("case_id", "kind", F.when(F.col("kind") == "stale", 1.0).when(F.col("kind") == "unsupported", F.greatest(F.lit(0.1), F.col("r") + 1.0)).otherwise(F.greatest(F.lit(0.1), F.col("r") + 1.5)).alias("margin")))
 query("dst07_rl_pairs", f"SELECT customer, max(r) AS good, min(r) AS bad FROM (SELECT customer, {total(list(TERMS))} AS r FROM checked) GROUP BY 1 HAVING max(r) > min(r)")(
     lambda w: w.runs.select("customer", F.round(V.reward(), 6).alias("r")).groupBy("customer").agg(F.max("r").alias("good"), F.min("r").alias("bad")).where("good > bad"))
-query("dst08_clean_split", "SELECT case_id, CASE WHEN version = '2.0' AND split = 'test' THEN 'eval' ELSE 'train' END AS side FROM cases WHERE version = '2.0' AND split = 'test' OR version <> '2.0' AND customer NOT IN (SELECT customer FROM cases WHERE version = '2.0' AND split = 'test')")(
-    lambda w: (lambda ev: ev.select("case_id", F.lit("eval").alias("side")).unionByName(w.cases.where("version <> '2.0'").join(ev.select("customer"), "customer", "left_anti").select("case_id", F.lit("train").alias("side"))))(w.cases.where("version = '2.0' and split = 'test'")))
-query("dst09_leakage_events", "SELECT 'forbidden_version' AS event, count(*) AS n FROM cases WHERE split = 'train' AND version = '2.0' UNION ALL SELECT 'shared_customer', count(*) FROM (SELECT customer FROM cases WHERE split = 'train' INTERSECT SELECT customer FROM cases WHERE split = 'test') UNION ALL SELECT 'no_version', count(*) FROM cases WHERE version IS NULL")(
-    lambda w: w.cases.where("split = 'train' and version = '2.0'").agg(N().alias("n")).select(F.lit("forbidden_version").alias("event"), "n")
-    .unionByName(w.orders.where("split = 'train'").select("customer").intersect(w.orders.where("split = 'test'").select("customer")).agg(N().alias("n")).select(F.lit("shared_customer").alias("event"), "n"))
-    .unionByName(w.cases.where("version is null").agg(N().alias("n")).select(F.lit("no_version").alias("event"), "n")))
 query("dst10_version_gate", "SELECT split, count(*) FILTER (WHERE version = '2.0') = 0 AS clean FROM cases GROUP BY 1")(lambda w: w.cases.groupBy("split").agg((F.count_if(F.col("version") == "2.0") == 0).alias("clean")))
-query("dst12_token_budget", "SELECT conv_id, turn, array_to_string(string_split(text, ' ')[:16], ' ') AS head FROM conversations", world=False)(lambda w: w.table("conversations").select("conv_id", "turn", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 16)).alias("head")))
+query("dst12_token_budget", f"""SELECT doc_id, length(text) > 512 OR length(p) // 4 > 96 AS cut, CASE WHEN length(p) // 4 <= 96 THEN p ELSE 'Case ' || doc_id || chr(10) ||
+  CASE WHEN length(p2) // 4 <= 96 THEN 'Policy history:' || chr(10) || h || chr(10) ELSE '' END || 'Current policy: keep records' END AS prompt FROM (SELECT *, 'Case ' || doc_id || chr(10) || 'Policy history:' || chr(10) || h || chr(10) || 'Current policy: keep records' AS p2,
+  'Case ' || doc_id || chr(10) || 'Examples:' || chr(10) || e || chr(10) || 'Policy history:' || chr(10) || h || chr(10) || 'Current policy: keep records' AS p FROM (SELECT doc_id, text, repeat('ab', 20 + (doc_id % 100)::INT) AS e, repeat('cd', 20 + (doc_id % 150)::INT) AS h FROM documents)) WHERE text IS NOT NULL""", world=False)(
+    lambda w: (lambda b: w.table("documents").where("text is not null").withColumn("p", F.concat(F.lit("Case "), "doc_id", F.lit("\nExamples:\n"), F.expr("repeat('ab', cast(20 + doc_id % 100 as int))"), F.lit("\nPolicy history:\n"), F.expr("repeat('cd', cast(20 + doc_id % 150 as int))"), F.lit("\nCurrent policy: keep records")))
+               .select("doc_id", b["cut"].alias("cut"), b["prompt"].alias("prompt")))(D.budget_pair(F.col("p"), F.col("text"), F.lit("no"), 224, 128, 96)))
 query("dst13_replay_random", "SELECT case_id FROM cases WHERE split = 'train' ORDER BY ('0x' || substr(sha256('7:' || case_id), 1, 8))::BIGINT, case_id LIMIT 64")(lambda w: w.orders.where("split = 'train'").orderBy(X.hash_order(7, F.col("case_id")), "case_id").limit(64).select("case_id"))
 FAIL, UNC = "(CASE WHEN success THEN 0.0 ELSE 1.0 END)", "(0.6 * (CASE WHEN success THEN 0.0 ELSE 1.0 END) + 0.4 * (CASE WHEN answer_matches <> success THEN 1.0 ELSE 0.0 END))"
 fail = lambda: one(~F.col("success"))
@@ -180,4 +184,5 @@ for name, (sql, col) in STRATEGIES.items():
     query(f"dst14_budget_{name}", f"SELECT case_id FROM checked ORDER BY round({sql}, 6) DESC, case_id {limit}")(lambda w, c=col, n=name: w.runs.select("case_id") if n == "label_all" else w.runs.orderBy(F.desc(F.round(c(), 6)), "case_id").limit(60).select("case_id"))
 query("dst14_budget_random", "SELECT case_id FROM checked ORDER BY ('0x' || substr(sha256('42:' || case_id), 1, 8))::BIGINT, case_id LIMIT 60")(lambda w: w.runs.orderBy(X.hash_order(42, F.col("case_id")), "case_id").limit(60).select("case_id"))
 query("dst14_budget_diversity", "SELECT case_id FROM (SELECT case_id, domain, row_number() OVER (PARTITION BY template ORDER BY domain, case_id) AS k FROM checked) ORDER BY k > 1, domain, case_id LIMIT 60")(
-    lambda w: w.runs.withColumn("k", F.row_number().over(Window.partitionBy("template").orderBy("domain", "case_id"))).orderBy(F.col("k") > 1, "domain", "case_id").limit(60).select("case_id"))
+    lambda w: D.first_of_each(w.runs.select("template", "domain", "case_id"), "template", 60, "domain", "case_id").select("case_id"))
+query("dst13_replay_version_aware")(lambda w: D.round_robin(w.cases.where("version in ('1.0', '1.1') and split = 'train'"), "domain", "case_id", 64))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,7 +53,61 @@ def manifest(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row).cast("string").alias("checksum")).select(F.lit(name).alias("name"), "rows", "checksum")
 
 
+def clip(json: Column, most: int = 200_000) -> Column:
+    """A JSON text of at most `most` characters as it is; a larger one becomes a stub that gives its size."""
+    return F.when(F.length(json) > most, F.to_json(F.struct(F.lit(True).alias("truncated"), F.length(json).alias("size")))).otherwise(json)
+
+
 def clipped(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """Each row as JSON; larger ones than `most` characters become a stub."""
-    j = F.to_json(F.struct(*df.columns))
-    return df.select(F.when(F.length(j) > most, F.to_json(F.struct(F.lit(True).alias("truncated"), F.length(j).alias("size")))).otherwise(j).alias("json"))
+    """Each row as JSON, clipped."""
+    return df.select(clip(F.to_json(F.struct(*df.columns)), most).alias("json"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One document, a list of objects in each part file."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(_listed, "value string").write.mode("overwrite").text(path)
+
+
+def _listed(batches):  # noqa: ANN001, ANN202
+    import pyarrow as pa
+
+    first = True
+    for b in batches:
+        for v in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_pydict({"value": [("[" if first else ",") + v]})
+            first = False
+    if not first:
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """A configuration file, which must hold a mapping (an empty one counts as an empty mapping). It is read through Spark, so any of its file systems will do."""
+    import yaml
+
+    texts = spark.read.text(path, wholetext=True).take(2)
+    if len(texts) > 1:
+        raise ValueError(f"several files: {path}")
+    data = yaml.safe_load(texts[0][0]) if texts else None
+    if not isinstance(data or {}, dict):
+        raise ValueError(f"no mapping: {path}")
+    return data or {}
+
+
+def catalogue(spark: SparkSession, root: str) -> DataFrame:
+    """folder, n_files, n_bytes, sha256 (of the folder's files' digests, or of its only file) and names for each folder below root; hidden and empty files don't count."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0")
+    part = F.split("path", "/")
+    files = files.select(F.element_at(part, -2).alias("folder"), F.element_at(part, -1).alias("name"), "length", F.sha2("content", 256).alias("sha"))
+    found = files.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("name", "sha"))).alias("a"))
+    return found.select("folder", "n_files", "n_bytes", F.when(F.col("n_files") == 1, F.col("a")[0]["sha"]).otherwise(F.sha2(F.concat_ws("", F.col("a.sha")), 256)).alias("sha256"), F.col("a.name").alias("names"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one, in local mode only."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+    return spark.sparkContext.getCheckpointDir()

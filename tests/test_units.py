@@ -92,3 +92,41 @@ def test_containment_cases(spark):
     got = {r.id: r.contained for r in D.contained(clauses, "id", texts).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
     assert not any(r.contained for r in D.contained(clauses, "id", texts.limit(0)).collect())
+
+
+def test_prompt_truncation_keeps_the_policy(spark):
+    from palimpsest.operators import datasets as D
+
+    text = "Case " + "x" * 400 + "\nExamples:\n" + "e" * 100 + "\nPolicy history:\n" + "h" * 100 + "\nCurrent policy: keep\nTool schema: {}"
+    df = spark.createDataFrame([(text,)], "t string")
+    got = {n: df.select(D.truncate_prompt(F.col("t"), n)).first()[0] for n in (1000, 145, 120, 40)}
+    assert got[1000] == text and "Examples" not in got[145] and "history" in got[145]
+    assert got[120] == "Case " + "x" * 400 + "\nCurrent policy: keep\nTool schema: {}"
+    assert got[40].startswith("Case xx") and got[40].endswith("Current policy: keep\nTool schema: {}") and len(got[40]) // 4 <= 40
+
+
+def test_round_robin_after_exhaustion(spark):
+    from palimpsest.operators import datasets as D
+
+    rows = [("a", 1), *(("b", i) for i in (2, 3, 4)), *(("c", i) for i in (5, 6, 7))]
+    got = D.round_robin(spark.createDataFrame(rows, "g string, k long"), "g", "k", 7).orderBy("turn").collect()
+    at = dict((k, g) for g, k in rows)
+    assert [at[r.k] for r in got] == ["a", "b", "c", "c", "b", "c", "b"]
+
+
+def test_gate_fails_on_leaks(spark):
+    from palimpsest.operators import datasets as D
+
+    events = spark.createDataFrame([("case_id_overlap", 2), ("sft_forbidden_version", 0)], "event string, n long")
+    with pytest.raises(Exception, match="case_id_overlap"):
+        D.assert_clean(events).collect()
+
+
+def test_yaml_mapping(spark, tmp_path):
+    from palimpsest.sources import files as S
+
+    (tmp_path / "a.yaml").write_text("k: 1\nl: [a, b]\n")
+    (tmp_path / "b.yaml").write_text("- 1\n")
+    assert S.read_yaml(spark, str(tmp_path / "a.yaml")) == {"k": 1, "l": ["a", "b"]}
+    with pytest.raises(ValueError):
+        S.read_yaml(spark, str(tmp_path / "b.yaml"))
