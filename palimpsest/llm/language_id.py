@@ -6,8 +6,9 @@ and its language is that of the mean log-probability of its windows, weighted by
 
 Since inputs are discrete, applying the network needs no multiplication: the responses to byte pairs are tables.
 
-Training takes at most PER_LANGUAGE documents (in expectation; chosen by a hash of doc_id) of each of the LANGUAGES most
-frequent languages, and PER_DOCUMENT windows of each, spread over the whole text.
+Training takes at most PER_LANGUAGE documents (in expectation; chosen by a hash of doc_id) of each language, fewer if so many
+languages would give more than DOCUMENTS in all, and PER_DOCUMENT windows of each, spread over the whole text. Every language
+that has labels is learned.
 
 Defined results: `und` with score 0 where text is null or has no letter, or where nothing could be learned; null doc_id is never
 learned from and counts as not held out; repeated rows repeat; an empty table gives no rows.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm._shared import ready
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 8, 8
-PER_LANGUAGE, LANGUAGES, PER_DOCUMENT = 1200, 64, 4
+PER_LANGUAGE, DOCUMENTS, PER_DOCUMENT = 1200, 76_800, 4
 PREDICTED = "doc_id long, lang_pred string, score double"
 _LATIN = re.compile("[a-zA-Z]")
 
@@ -164,11 +165,12 @@ def in_training(doc_id="doc_id"):  # noqa: ANN001, ANN201
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
 
 
-def train(documents: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, per_document: int = PER_DOCUMENT) -> ByteNet:
+def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most: int = DOCUMENTS, per_document: int = PER_DOCUMENT) -> ByteNet:
     """Learn from text and non-null lang of the documents outside the held-out third."""
     ready(documents.sparkSession)
     usable = documents.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = usable.groupBy("lang").count().collect()
+    per_language = min(per_language, most // max(1, len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))]) if counts else F.lit(None)
     names = sorted(r["lang"] for r in counts)
     if not names:

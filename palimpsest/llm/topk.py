@@ -5,7 +5,8 @@ value, read from the top if the query is positive there and from the bottom if n
 row they meet; the bound of what is unseen is the query's product with the values the lists have come to. The search of a
 block ends when that bound is below the k-th best score so far, which a task carries from block to block.
 
-Queries reach the blocks packed too: broadcast while their size is proven small, else by shuffle. Each task passes on k rows
+Queries reach the blocks packed too: broadcast while their size is proven small, else by a shuffle in which each part of the
+blocks gets all packs. Each task passes on k rows
 a query at most, and a window picks the best of them.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; components are floor(256 x); ties
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import bounded, ready, stored
+from palimpsest.llm._shared import BROADCAST_BYTES, ready, stored
 
 K, BLOCK, QUERIES, STEP, SCALE = 5, 2048, 256, 16, 256
 
@@ -119,7 +120,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, block: int = BLOCK
     blocks = clean(vectors).mapInArrow(_blocks(block), packed)
     size = asked.agg(F.sum(F.length("q"))).first()[0] or 0
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    pairs = blocks.join(bounded(asked, 1, size), F.col("dim") == F.col("q_dim"))
+    if size <= BROADCAST_BYTES:
+        pairs = blocks.join(F.broadcast(asked), F.col("dim") == F.col("q_dim"))
+    else:  # packs meet the blocks of each of some parts, as one dimension alone would be one task
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = asked.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = blocks.withColumn("part", F.expr(f"cast(pmod(xxhash64(block), {parts}) as int)")).join(spread, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
     found = pairs.select("block", "dim", "ids", "vectors", "q_ids", "q").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

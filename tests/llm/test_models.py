@@ -75,6 +75,30 @@ def test_language(spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (900, 901)").count() == 0
 
 
+def test_tables_equal_the_direct_network(spark):
+    """Predictions from tables against convolution, maximum and softmax written out."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh ñß"), 300)) for _ in range(12)]
+    words = {"aa": "alpha beta gamma delta ", "bb": "zwö drü fööf süben ", "cc": "uno due tre quattro "}
+    rows = [(i, words[k] * (5 + i % 7), k) for i in range(90) for k in [("aa", "bb", "cc")[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r.doc_id for r in docs.where(L.in_training()).collect()]
+    assert learned and all(__import__("zlib").crc32(str(i).encode()) % 3 != 1 for i in learned)
+    net = L.train(docs)
+    held = L.identify(docs, net).where("held_out")
+    assert held.count() == len(rows) - len(learned) and held.join(docs, "doc_id").where("lang <> lang_pred").count() == 0
+    assert [x for x, _ in net.predict_all(texts)] == [x for t in texts for x, _ in net.predict_all([t])]
+    x, _ = L.windows([t.encode() for t in texts])
+    emb, span, pooled = net.p["e"][x], x.shape[1] - 3, []
+    for w in L.WIDTHS:  # at the places that all widths have
+        pooled.append(sum(emb[:, j : j + span] @ net.p[f"w{w}"][j] for j in range(w)).max(1))
+    logit = np.maximum(np.concatenate(pooled, 1) + net.p["b"], 0) @ net.p["d"] + net.p["c"]
+    direct = logit - np.log(np.exp(logit - logit.max(1, keepdims=True)).sum(1, keepdims=True)) - logit.max(1, keepdims=True)
+    assert np.allclose(net.log_probabilities(x), direct, atol=1e-3)
+    many = spark.createDataFrame([(i, f"w{i % 80}x " * 30, f"l{i % 80}") for i in range(800)], "doc_id long, text string, lang string")
+    assert len(L.train(many, per_language=4, most=240).languages) == 80
+
+
 def test_toxicity(spark):
     rows = [(i, "a plain text of words " + "awful nasty " * (i % 3 if i % 4 == 0 else 0)) for i in range(200)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from palimpsest.llm.packing import BestFit, document_ids, pack
 from palimpsest.llm.queries import op7_topk, tokenizer
@@ -140,6 +141,16 @@ def test_top_k_edges(spark):
     assert top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_by_shuffle(spark, monkeypatch):
+    from palimpsest.llm import topk
+
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("score", F.lit("x"))
+    assert sorted(map(tuple, top_k(df.where("vec_id % 50 = 0"), df, block=16).collect())) == sorted(brute(rows))
+
+
 def test_top_k_table(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, op7_topk(spark, sf).collect())) == sorted(brute(rows))
