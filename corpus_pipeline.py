@@ -1,8 +1,12 @@
 """A training corpus from documents: each stage works on all that the one before it kept.
 
-language: documents whose language the byte network doesn't know go. exact: of equal texts the largest doc_id stays. near: of
-near copies (Jaccard similarity of five-word shingle sets of 0.8 or more) the smallest doc_id stays. secrets: found parts are masked in the
-text. pack: token pieces packed into sequences; only this stage returns other columns than those of documents.
+language: documents whose language the byte network doesn't know go. exact: of equal texts one row of the largest doc_id stays.
+near: of near copies (covering SimHash finds them, a Jaccard similarity of five-word shingle sets of 0.8 or more confirms them) one
+row of the smallest doc_id stays. secrets: found parts are masked in the text. pack: token pieces packed into sequences; only this
+stage returns other columns than those of documents.
+
+Defined results: null texts have no language and go in the first stage; rows with null doc_id take part, and of copies without any
+id one stays; repeated rows are copies; a doc_id that occurs with several texts keeps each of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", mask), ("pack", pack)]
 
-#: A trained network, fingerprint components and bin packing have no SQL form; the tests compare each stage to brute force.
+#: A trained network, fingerprint components and bin packing have no SQL form; the tests compare the whole to brute force.
 ORACLE_SQL = None
 
 
