@@ -13,6 +13,7 @@ from palimpsest.plans.registry import query
 day = lambda c, alias=None: F.date_format(c, "yyyy-MM-dd").alias(alias or c)
 joined = lambda c: F.concat_ws(",", F.array_sort(F.collect_list(c)))
 row_n = lambda w: F.row_number().over(w).cast("long")
+digest = lambda c: F.unhex(F.sha2(c, 256)).alias("sha")  # equal texts meet by digest, so that no text is shuffled
 STEPS = lambda: Window.partitionBy("case_id").orderBy("step", "part", "supp", "amount")
 
 
@@ -69,7 +70,8 @@ query("jon07_replay_or_fallback", "SELECT c.case_id, coalesce(r.answer, 'fallbac
 query("jon08_train_minus_eval_anti", "SELECT case_id FROM cases WHERE version <> '2.0' AND customer NOT IN (SELECT customer FROM cases WHERE version = '2.0' AND split = 'test')")(
     lambda w: w.cases.where("version <> '2.0'").join(w.cases.where("version = '2.0' and split = 'test'").select("customer"), "customer", "left_anti").select("case_id"))
 query("jon09_cross_split_semi", "SELECT customer, count(DISTINCT split) AS n_splits FROM cases GROUP BY 1 HAVING count(DISTINCT split) > 1")(lambda w: w.orders.groupBy("customer").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1"))
-query("jon11_exact_reference", "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.text = b.text", world=False)(lambda w: w.table("documents").join(w.table("benchmark"), "text").select("item_id", "doc_id").distinct())
+query("jon11_exact_reference", "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.text = b.text", world=False)(
+    lambda w: w.table("documents").select("doc_id", digest("text")).join(w.table("benchmark").select("item_id", digest("text")), "sha").select("item_id", "doc_id").distinct())
 query("jon13_grid_cross", "SELECT version, s.split, t.mode, count(*) AS n FROM cases JOIN (VALUES ('naive'), ('date_filtered')) t(mode) ON true JOIN (SELECT DISTINCT split FROM cases) s ON s.split = cases.split GROUP BY ALL")(
     lambda w: w.cases.crossJoin(F.broadcast(w.spark.createDataFrame([("naive",), ("date_filtered",)], "mode string"))).groupBy("version", "split", "mode").agg(F.count(F.lit(1)).alias("n")))
 query("jon14_clause_fallback", "SELECT a.case_id, a.step, a.part, coalesce(p.policy_key, q.policy_key) AS found FROM actions a JOIN cases c USING (case_id) LEFT JOIN policies p ON p.policy_key = a.cited LEFT JOIN policies q ON q.policy_key = c.policy_key")(
@@ -88,7 +90,7 @@ query("set04_union_all", "SELECT case_id, 'baseline' AS agent FROM cases WHERE s
 query("set05_merge_priority", "SELECT customer, max_by(price, case_id) AS price FROM cases GROUP BY 1")(lambda w: w.orders.withColumn("k", F.row_number().over(Window.partitionBy("customer").orderBy(F.desc("case_id")))).where("k = 1").select("customer", "price"))
 query("set06_set_equality", "SELECT domain, count(DISTINCT version) = 3 AS complete FROM cases GROUP BY 1")(lambda w: w.cases.groupBy("domain").agg(F.collect_set("version").alias("v")).select("domain", (F.size(F.array_except(F.array(F.lit("1.0"), F.lit("1.1"), F.lit("2.0")), "v")) == 0).alias("complete")))
 query("set07_unique_texts", "SELECT doc_id FROM documents d WHERE source = 'src1' AND length(text) >= 40 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.source <> 'src1' AND o.text = d.text)", world=False)(
-    lambda w: w.table("documents").where("source = 'src1' and length(text) >= 40").join(w.table("documents").where("source <> 'src1'").select("text"), "text", "left_anti").select("doc_id"))
+    lambda w: w.table("documents").where("source = 'src1' and length(text) >= 40").select("doc_id", digest("text")).join(w.table("documents").where("source <> 'src1'").select(digest("text")).distinct(), "sha", "left_anti").select("doc_id"))
 
 # Windows, sorts, limits
 query("win06_hash_sample", "SELECT case_id FROM cases ORDER BY ('0x' || substr(sha256('42:' || case_id), 1, 8))::BIGINT, case_id LIMIT 100")(lambda w: w.orders.orderBy(X.hash_order(42, F.col("case_id")), "case_id").limit(100).select("case_id"))
