@@ -12,7 +12,7 @@ What is wanted: each byte covered by a string of LENGTH bytes that also starts i
 4. Equal windows have equal anchors, so a segment that is the only text under its anchor is in a class by itself. An owner
    builds the suffix order of all others column by column, for CHUNK segments of whole anchors at a time: each round puts one more symbol in front of every
    segment's suffix and passes over the Burrows-Wheeler transform and the common-prefix lengths of the round before, which lie
-   in files that are read and written in sequence. Suffixes with a common prefix of LENGTH or more form a class; its smallest
+   in files that are read and written in sequence, BUFFER entries at a time. Suffixes with a common prefix of LENGTH or more form a class; its smallest
    doc_id goes back to the blocks, which mark, merge and cut.
 
 Defined results: null text counts as empty; matches never cross documents, and a document never matches itself or rows with
@@ -36,72 +36,132 @@ from palimpsest.llm._shared import BROADCAST_BYTES, bounded, ready, stored, with
 LENGTH, ANCHOR, BLOCK, OWNED, CHUNK = 50, 24, 2 << 20, 64 << 20, 4000
 SPAN = LENGTH - ANCHOR + 1  # anchors in a window; a segment has this many windows at most
 MAX_SEGMENT = LENGTH + SPAN - 1
+BUFFER = 1 << 18  # entries of the transform in memory at a time
+SYMBOLS = 257  # bytes plus one, and 0
+COLUMNS = (np.uint16, np.uint8, np.int32, np.uint8)  # transform, common prefix, segment, suffix size
 NONE = np.iinfo(np.int64).max
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def suffix_classes(segments: np.ndarray, sizes: np.ndarray, length: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_classes(segments: np.ndarray, sizes: np.ndarray, length: int = LENGTH, folder: str | None = None, buffer: int = BUFFER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, suffix size, class) for each suffix of at least `length` bytes; equal first `length` bytes, equal class.
 
     segments: a row of bytes for each segment, padded. The list of suffixes in order starts with the empty ones. Each round puts
     in the suffixes that are one symbol longer, one for each segment that isn't whole yet: sorted by their first symbol, ties by
-    the place of the rest, that is by a stable sort of the transform. Two neighbours under one symbol share one more byte than
-    the least common prefix between their rests, so only the new suffixes and their successors get a common prefix anew.
+    the place of the rest. The transform (what precedes each suffix: the byte plus one, 0 in front of a whole segment), the
+    common prefixes and the suffixes themselves lie in files, each read and written in sequence, `buffer` entries at a time. In
+    memory are those entries, one record for each segment that isn't whole, and the result.
     """
     n = len(sizes)
-    seg, size = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.uint8)
 
-    def symbols(seg: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """What precedes each suffix: the byte plus one, 0 in front of a whole segment."""
+    def before(seg: np.ndarray, size: int) -> np.ndarray:
         return np.where(size < sizes[seg], segments[seg, np.maximum(sizes[seg] - size - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
 
-    with tempfile.TemporaryFile(dir=folder) as bwt_file, tempfile.TemporaryFile(dir=folder) as lcp_file:
-
-        def put(file, values: np.ndarray) -> None:  # noqa: ANN001
-            file.seek(0)
-            file.write(values.data)
-            file.flush()
-
-        def get(file, kind: type, count: int) -> np.ndarray:  # noqa: ANN001
-            file.seek(0)
-            return np.frombuffer(file.read(count * np.dtype(kind).itemsize), kind)
-
-        put(bwt_file, symbols(seg, size))
-        put(lcp_file, size)
-        pending = np.ones(n, dtype=bool)  # suffixes whose extension isn't in the list yet
-        while True:
-            bwt, lcp = get(bwt_file, np.uint16, len(seg)), get(lcp_file, np.uint8, len(seg))
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.searchsorted(bwt, 1, sorter=order) :]
-            t = np.flatnonzero(pending[order])
-            if not len(t):
-                break
-            old = order[t]
-            place = n + t
-            prefix = np.zeros(len(t), dtype=np.uint8)
-            same = np.flatnonzero((t > 0) & (bwt[order[t - 1]] == bwt[old]))
-            after = np.flatnonzero(t + 1 < len(order))
-            after = after[(bwt[order[t[after] + 1]] == bwt[old[after]]) & ~pending[order[t[after] + 1]]]
-            least = _range_min(lcp, np.concatenate((order[t[same] - 1], old[after])) + 1, np.concatenate((old[same], order[t[after] + 1]))) + np.uint8(1)
-            prefix[same] = least[: len(same)]
-            stay = np.ones(n + len(order), dtype=bool)
-            stay[place] = False
-
-            def merged(before: np.ndarray, new: np.ndarray) -> np.ndarray:
-                out = np.empty(len(stay), dtype=before.dtype)  # noqa: B023
-                out[stay], out[place] = before, new  # noqa: B023
-                return out
-
-            seg_new, size_new = seg[old], size[old] + np.uint8(1)
-            symbol = symbols(seg_new, size_new)
-            lcp = merged(lcp, prefix)
-            lcp[place[after] + 1] = least[len(same) :]
-            put(lcp_file, lcp)
-            put(bwt_file, merged(bwt, symbol))
-            seg, size, pending = merged(seg, seg_new), merged(size, size_new), merged(np.zeros(len(seg), dtype=bool), symbol > 0)
-    classes = np.cumsum(lcp < length)
-    kept = size >= length
-    return seg[kept], size[kept], classes[kept]
+    def create() -> list:
+        return [tempfile.TemporaryFile(dir=folder) for _ in COLUMNS]
+
+    def read(files: list, count: int) -> list[np.ndarray]:
+        return [np.frombuffer(f.read(count * np.dtype(k).itemsize), k) for f, k in zip(files, COLUMNS, strict=False)]
+
+    def write(files: list, columns: tuple) -> None:
+        for f, c, k in zip(files, columns, COLUMNS, strict=True):
+            f.write(np.ascontiguousarray(c, dtype=k).data)
+
+    seg = np.arange(n, dtype=np.int32)  # of the suffixes whose extension isn't in the list yet, by place
+    at, symbol, total, rounds = seg.astype(np.int64), before(seg, 0), n, 0
+    counts = np.bincount(symbol, minlength=SYMBOLS)
+    files = create()
+    try:
+        write(files, (symbol, np.zeros(n), seg, np.zeros(n)))
+        at, seg = at[symbol > 0], seg[symbol > 0]
+        while len(at):
+            rounds += 1
+            for f in files:
+                f.seek(0)
+            start = n + np.concatenate(([0, 0], np.cumsum(counts[1:-1])))  # a symbol's first place in the new list
+            place, prefix, own = _new_places(lambda k: read(files[:2], k), total, at, start, buffer)  # noqa: B023
+            by = np.argsort(place[own], kind="stable")
+            fresh, fresh_prefix, seg = place[own][by], prefix[own][by], seg[by]
+            by = np.argsort(place[~own], kind="stable")
+            mended, mended_prefix = place[~own][by], prefix[~own][by]
+            symbol = before(seg, rounds)
+            total = n + int(counts[1:].sum())
+            counts = counts + np.bincount(symbol, minlength=SYMBOLS)
+            for f in files:
+                f.seek(0)
+            new = create()
+            for a in range(0, total, buffer):
+                e = min(total, a + buffer)
+                x, y = np.searchsorted(fresh, (a, e))
+                i, j = np.searchsorted(mended, (a, e))
+                stay = np.ones(e - a, dtype=bool)
+                stay[fresh[x:y] - a] = False
+                merged = []
+                for old, add in zip(read(files, e - a - (y - x)), (symbol[x:y], fresh_prefix[x:y], seg[x:y], rounds), strict=True):
+                    out = np.empty(e - a, dtype=old.dtype)
+                    out[stay], out[fresh[x:y] - a] = old, add
+                    merged.append(out)
+                merged[1][mended[i:j] - a] = mended_prefix[i:j]
+                write(new, tuple(merged))
+            for f in files:
+                f.close()
+            files = new
+            at, seg = fresh[symbol > 0], seg[symbol > 0]
+        for f in files:
+            f.seek(0)
+        out, number = [], 0
+        for a in range(0, total, buffer):
+            _, lcp, of, size = read(files, min(total, a + buffer) - a)
+            classes = number + np.cumsum(lcp < length)
+            number, kept = int(classes[-1]), size >= length
+            out.append((of[kept], size[kept], classes[kept]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    finally:
+        for f in files:
+            f.close()
+
+
+def _new_places(read, total: int, at: np.ndarray, start: np.ndarray, buffer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """One pass over the transform and the common prefixes: (place, common prefix, own) of extensions in the new list.
+
+    at: places of the suffixes that are extended now. Two suffixes next to each other under one symbol have extensions that share
+    one more byte than the least common prefix between them. So the extension of each suffix in `at` gets a prefix (own, in the
+    order of at), and that of the next suffix under its symbol is mended (not own). What passes from buffer to buffer is, for each
+    symbol, how often it came, whether its last suffix is in `at`, and the least common prefix since.
+    """
+    seen, last, since = np.zeros(SYMBOLS, dtype=np.int64), np.zeros(SYMBOLS, dtype=bool), np.full(SYMBOLS, 255, dtype=np.uint8)
+    places, prefixes, owns = [], [], []
+    for a in range(0, total, buffer):
+        bwt, lcp = read(min(total, a + buffer) - a)
+        extended = np.zeros(len(bwt), dtype=bool)
+        extended[at[slice(*np.searchsorted(at, (a, a + len(bwt))))] - a] = True
+        order = np.argsort(bwt, kind="stable")
+        of = bwt[order]
+        head = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        many = np.diff(np.append(head, len(of)))
+        kinds = of[head]
+        row = start[of] + seen[of] + np.arange(len(of)) - np.repeat(head, many)
+        back = np.concatenate(([False], extended[order[:-1]]))  # the one before under the same symbol is in `at`
+        back[head] = last[kinds]
+        wanted = np.flatnonzero((of > 0) & (extended[order] | back))
+        inner = np.ones(len(of), dtype=bool)
+        inner[head] = False
+        inside, edge = wanted[inner[wanted]], wanted[~inner[wanted]]
+        value = np.zeros(len(of), dtype=np.uint8)
+        value[inside] = _range_min(lcp, order[inside - 1] + 1, order[inside]) + np.uint8(1)
+        edge = edge[seen[of[edge]] > 0]
+        value[edge] = np.minimum(since[of[edge]], np.minimum.accumulate(lcp)[order[edge]]) + np.uint8(1)
+        own = extended[order[wanted]]
+        turn = np.concatenate((wanted[own][np.argsort(order[wanted[own]])], wanted[~own]))
+        places.append(row[turn])
+        prefixes.append(value[turn])
+        owns.append(np.arange(len(turn)) < own.sum())
+        tail = order[head + many - 1]
+        rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
+        since = np.minimum(since, rest[0])
+        since[kinds], last[kinds] = rest[tail + 1], extended[tail]
+        seen[kinds] += many
+    return tuple(np.concatenate(c) for c in (places, prefixes, owns))
 
 
 def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

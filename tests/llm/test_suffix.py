@@ -33,12 +33,12 @@ def brute(rows):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.binary(min_size=4, max_size=12).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12), st.integers(2, 4))
-def test_suffix_classes(parts, length):
+@given(st.lists(st.binary(min_size=4, max_size=12).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12), st.integers(2, 4), st.sampled_from([1, 3, 7, 1 << 18]))
+def test_suffix_classes(parts, length, buffer):
     wide = np.zeros((len(parts), MAX_SEGMENT), dtype=np.uint8)
     for row, p in zip(wide, parts):
         row[: len(p)] = np.frombuffer(p, np.uint8)
-    seg, size, classes = suffix_classes(wide, np.array([len(p) for p in parts]), length)
+    seg, size, classes = suffix_classes(wide, np.array([len(p) for p in parts]), length, buffer=buffer)
     head = [parts[s][len(parts[s]) - n :][:length] for s, n in zip(seg, size)]
     assert len(head) == sum(len(p) - length + 1 for p in parts)
     by = {}
