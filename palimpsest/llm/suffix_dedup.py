@@ -36,7 +36,7 @@ from palimpsest.llm._shared import BROADCAST_BYTES, bounded, ready, stored, with
 LENGTH, ANCHOR, BLOCK, OWNED, CHUNK = 50, 24, 2 << 20, 64 << 20, 4000
 SPAN = LENGTH - ANCHOR + 1  # anchors in a window; a segment has this many windows at most
 MAX_SEGMENT = LENGTH + SPAN - 1
-BUFFER = 1 << 18  # entries of the transform in memory at a time
+BUFFER = 1 << 16  # entries of the transform in memory at a time
 SYMBOLS = 257  # bytes plus one, and 0
 COLUMNS = (np.uint16, np.uint8, np.int32, np.uint8)  # transform, common prefix, segment, suffix size
 NONE = np.iinfo(np.int64).max
@@ -136,31 +136,34 @@ def _new_places(read, total: int, at: np.ndarray, start: np.ndarray, buffer: int
         extended = np.zeros(len(bwt), dtype=bool)
         extended[at[slice(*np.searchsorted(at, (a, a + len(bwt))))] - a] = True
         order = np.argsort(bwt, kind="stable")
-        of = bwt[order]
-        head = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        many = np.diff(np.append(head, len(of)))
-        kinds = of[head]
-        row = start[of] + seen[of] + np.arange(len(of)) - np.repeat(head, many)
-        back = np.concatenate(([False], extended[order[:-1]]))  # the one before under the same symbol is in `at`
-        back[head] = last[kinds]
-        wanted = np.flatnonzero((of > 0) & (extended[order] | back))
-        inner = np.ones(len(of), dtype=bool)
-        inner[head] = False
-        inside, edge = wanted[inner[wanted]], wanted[~inner[wanted]]
-        value = np.zeros(len(of), dtype=np.uint8)
-        value[inside] = _range_min(lcp, order[inside - 1] + 1, order[inside]) + np.uint8(1)
-        edge = edge[seen[of[edge]] > 0]
-        value[edge] = np.minimum(since[of[edge]], np.minimum.accumulate(lcp)[order[edge]]) + np.uint8(1)
-        own = extended[order[wanted]]
-        turn = np.concatenate((wanted[own][np.argsort(order[wanted[own]])], wanted[~own]))
-        places.append(row[turn])
-        prefixes.append(value[turn])
-        owns.append(np.arange(len(turn)) < own.sum())
-        tail = order[head + many - 1]
-        rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
-        since = np.minimum(since, rest[0])
-        since[kinds], last[kinds] = rest[tail + 1], extended[tail]
-        seen[kinds] += many
+        many = np.bincount(bwt, minlength=SYMBOLS)
+        head = np.cumsum(many) - many
+        kinds = np.flatnonzero(many)
+        first, tail = order[head[kinds]], order[head[kinds] + many[kinds] - 1]
+        mine = np.flatnonzero(extended[order])
+        follow = mine[mine + 1 < len(order)] + 1
+        follow = follow[(bwt[order[follow]] == bwt[order[follow - 1]]) & ~extended[order[follow]]]
+        follow = np.concatenate((follow, head[kinds[last[kinds] & ~extended[first]]]))
+        mine = mine[np.argsort(order[mine])]
+        turn = np.concatenate((mine, follow))
+        spot = order[turn]
+        symbol = bwt[spot]
+        nth = turn - head[symbol]
+        lead = nth == 0  # the one before under the same symbol, if any, came in an earlier buffer
+        open_tail = np.flatnonzero(tail + 1 < len(bwt))
+        low = np.concatenate((np.where(lead, 0, order[turn - 1] + 1), tail[open_tail] + 1))
+        least = _range_min(lcp, low, np.concatenate((spot, np.full(len(open_tail), len(bwt) - 1))))
+        value = least[: len(turn)]
+        value[lead] = np.minimum(value[lead], since[symbol[lead]])
+        value = np.where(lead & (seen[symbol] == 0), 0, value + np.uint8(1)).astype(np.uint8)
+        places.append(start[symbol] + seen[symbol] + nth)
+        prefixes.append(value)
+        owns.append(np.arange(len(turn)) < len(mine))
+        since = np.minimum(since, lcp.min())
+        since[kinds] = 255
+        since[kinds[open_tail]] = least[len(turn) :]
+        last[kinds] = extended[tail]
+        seen += many
     return tuple(np.concatenate(c) for c in (places, prefixes, owns))
 
 
