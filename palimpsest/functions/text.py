@@ -80,3 +80,13 @@ def preference_bucket(text: Column) -> Column:
 
 def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def iso_instant(text: Column) -> Column:
+    """The instant of an ISO 8601 text; without an offset it is UTC, whatever the session's time zone."""
+    return F.to_timestamp(F.when(text.rlike(r"(?:[zZ]|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+def same_instant(a: Column, b: Column) -> Column:
+    """Whether two instants are less than a second apart."""
+    return F.abs(F.unix_micros(a) - F.unix_micros(b)) < 1_000_000

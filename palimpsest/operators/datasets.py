@@ -43,8 +43,17 @@ def contained(clauses: DataFrame, key: str, texts: DataFrame, text: str = "text"
 
 
 def canonical_json(*columns: str) -> Column:
-    """The columns as one JSON object with sorted keys and no spaces (text beyond ASCII stays as it is)."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """The columns as one JSON object with sorted keys, no spaces, and ASCII only: all else as lower-case \\u escapes of UTF-16 units."""
+    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    low = text
+    for digit in "ABCDEF":  # Spark writes control characters with upper-case digits
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    text = F.when(text.rlike(r"\\u00[01][A-F]"), low).otherwise(text)
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    unit = lambda i: units.substr(4 * i + 1, F.lit(4))
+    plain = lambda u: F.decode(F.unhex(u), "UTF-16BE")
+    escaped = F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), lambda i: F.when(unit(i).between("0020", "007E"), plain(unit(i))).otherwise(F.concat(F.lit("\\u"), F.lower(unit(i)))))
+    return F.when(text.rlike(r"[^ -~]"), F.array_join(escaped, "")).otherwise(text)
 
 
 def drop_section(text: Column, marker: str, ends: list[str]) -> Column:
@@ -54,14 +63,19 @@ def drop_section(text: Column, marker: str, ends: list[str]) -> Column:
     return F.when(text.rlike(f"(?i){marker}"), F.regexp_replace(cut, r"\A\s+|\s+\z", "")).otherwise(text)
 
 
-def byte_bag(text: Column, dim: int = 16, most: int = 256) -> Column:
-    """Unit vector of byte sums by place modulo dim, over the first `most` bytes (the feature's definition)."""
+def byte_bag(text: Column, dim: int = 16, most: int = 256, decay: bool = False) -> Column:
+    """Unit vector of byte sums by place modulo dim, over the first `most` bytes (the feature's definition).
+
+    With decay a byte counts by one over its row number, the rows being `dim` bytes long.
+    """
     h = F.hex(F.encode(text, "UTF-8"))
     n = F.least(F.lit(most), (F.length(h) / 2).cast("int"))
-    byte = lambda i: F.coalesce(F.conv(h.substr(2 * i + 1, F.lit(2)), 16, 10).cast("double"), F.lit(0.0)) / 255.0
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (i % dim == s) & (i < n)), F.lit(0.0), lambda a, i: a + byte(i)))
+    weight = lambda i: F.lit(1.0) / (1 + F.floor(i / dim)) if decay else F.lit(1.0)
+    byte = lambda i: F.conv(h.substr(2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * weight(i)
+    places = lambda s: F.when(s < n, F.sequence(s, n - 1, F.lit(dim))).otherwise(F.array().cast("array<int>"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.aggregate(places(s), F.lit(0.0), lambda a, i: a + byte(i)))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.round(x / F.when(norm == 0, 1.0).otherwise(norm), 6))
+    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
 
 def agent_trace(cases: DataFrame, cited: Column, act: dict[str, str], careful: Column) -> DataFrame:

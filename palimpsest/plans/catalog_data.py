@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import temporal as T
 from palimpsest.operators import verify as V
@@ -14,13 +15,20 @@ query("jon10_text_containment", r"""SELECT item_id, bool_or(coalesce(contains(t,
   (SELECT ' ' || trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) || ' ' AS t FROM documents) GROUP BY 1""", world=False)(lambda w: D.contained(w.table("benchmark"), "item_id", w.table("documents")))
 query("hsh02_canonical_json", """SELECT case_id, sha256('{"case_id":' || case_id || ',"domain":"' || domain || '","expected":"' || expected || '"}') AS sha FROM cases""")(
     lambda w: w.orders.select("case_id", F.sha2(D.canonical_json("expected", "case_id", "domain"), 256).alias("sha")))
-query("hsh04_document_checksum", """SELECT policy_key, sha256('{"domain":"' || domain || '","policy_id":"' || policy_id || '","version":"' || version || '"}') AS checksum FROM policies""")(
-    lambda w: w.policies.select("policy_key", F.sha2(D.canonical_json("policy_id", "version", "domain"), 256).alias("checksum")))
+STAMPED = """'{"domain":"' || domain || '","effective_at":"' || strftime(effective_at, '%Y-%m-%dT%H:%M:%SZ') || '","expires_at":' || coalesce('"' || strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') || '"', 'null')
+  || ',"policy_id":"' || policy_id || '","policy_key":"' || policy_key || '","version":"' || version || '"}'"""
+query("hsh04_document_checksum", f"SELECT policy_key, sha256({STAMPED}) AS checksum FROM policies")(
+    lambda w: w.policies.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("effective_at", "expires_at")})
+    .select("policy_key", F.sha2(D.canonical_json("policy_id", "version", "domain", "policy_key", "effective_at", "expires_at"), 256).alias("checksum")))
 query("vec04_byte_bag", """WITH h AS (SELECT item_id, hex(text) AS h FROM benchmark), b AS (SELECT item_id, i % 16 AS slot, sum(('0x' || substr(h, (2 * i + 1)::INT, 2))::INT / 255.0::DOUBLE) AS x FROM h, range(256) r(i) WHERE i < length(h) // 2 GROUP BY 1, 2)
   SELECT item_id, slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 4) AS x FROM b""", world=False)(
     lambda w: w.table("benchmark").select("item_id", F.posexplode(D.byte_bag(F.col("text"))).alias("slot", "x")).select("item_id", F.col("slot").cast("long").alias("slot"), F.round("x", 4).alias("x")))
-query("dat01_iso_parse", "SELECT case_id, epoch_us(occurred_at) // 1000000 AS seconds FROM cases")(
-    lambda w: w.orders.select("case_id", F.unix_seconds(F.to_timestamp(F.concat(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))).alias("seconds")))
+query("vec04_byte_bag_decay", """WITH h AS (SELECT item_id, hex(text) AS h FROM benchmark), b AS (SELECT item_id, i % 32 AS slot, sum(('0x' || substr(h, (2 * i + 1)::INT, 2))::INT / 255.0::DOUBLE / (1 + i // 32)) AS x FROM h, range(512) r(i) WHERE i < length(h) // 2 GROUP BY 1, 2)
+  SELECT item_id, slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 4) AS x FROM b""", world=False)(
+    lambda w: w.table("benchmark").select("item_id", F.posexplode(D.byte_bag(F.col("text"), 32, 512, decay=True)).alias("slot", "x")).select("item_id", F.col("slot").cast("long").alias("slot"), F.round("x", 4).alias("x")))
+query("dat01_iso_parse", "SELECT case_id, epoch_us(occurred_at) // 1000000 - CASE case_id % 3 WHEN 1 THEN 7200 WHEN 2 THEN -19800 ELSE 0 END AS seconds FROM cases")(
+    lambda w: w.orders.select("case_id", F.concat(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(*map(F.lit, ("", "+02:00", "-05:30"))), (F.col("case_id") % 3).cast("int") + 1)).alias("text"))
+    .select("case_id", F.unix_seconds(X.iso_instant(F.col("text"))).alias("seconds")))
 query("str08_completion", """SELECT case_id, '{"resolution": "' || expected || '", "cites": "' || policy_key || '"}' AS completion FROM cases""")(
     lambda w: w.cases.select("case_id", F.format_string('{"resolution": "%s", "cites": "%s"}', "expected", "policy_key").alias("completion")))
 query("str09_index_text", "SELECT policy_key, concat_ws(' ', policy_key, domain, strftime(effective_at, '%Y-%m-%d')) AS text FROM policies")(

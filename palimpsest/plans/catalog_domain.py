@@ -112,7 +112,9 @@ query("str15_minted_ids", "SELECT case_id, 'traj-' || substr(sha256(case_id::VAR
 query("hsh01_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents", world=False)(lambda w: w.table("documents").select("doc_id", F.sha2("text", 256).alias("sha")))
 query("hsh05_spread", "SELECT DISTINCT template, round(('0x' || substr(sha256(template), 1, 4))::BIGINT / 65535.0, 6) AS spread FROM cases")(lambda w: w.orders.select("template").distinct().select("template", F.round(X.hash_spread(F.col("template")), 6).alias("spread")))
 query("dat02_boundary", "SELECT case_id, strftime(occurred_at + INTERVAL 6 HOURS - INTERVAL 3 DAYS, '%Y-%m-%d %H:%M') AS shifted FROM cases")(lambda w: w.orders.select("case_id", F.date_format(F.expr("occurred_at + interval 6 hours - interval 3 days"), "yyyy-MM-dd HH:mm").alias("shifted")))
-query("dat03_same_instant", "SELECT event_id, abs(epoch_us(ts) - epoch_us(date_trunc('second', ts))) < 500000 AS same FROM events", world=False)(lambda w: w.table("events").select("event_id", (F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.date_trunc("second", "ts").cast("timestamp"))) < 500000).alias("same")))
+query("dat03_same_instant", "SELECT event_id, abs(epoch_us(ts) - epoch_us(date_trunc('second', ts)) - (event_id % 4 - 1) * 500000) < 1000000 AS same FROM events", world=False)(
+    lambda w: w.table("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("claim", F.timestamp_micros(F.unix_micros(F.date_trunc("second", "ts")) + (F.col("event_id") % 4 - 1) * 500000))
+    .select("event_id", X.same_instant(F.col("ts"), F.col("claim")).alias("same")))
 query("arr01_first_match", "SELECT case_id, list_contains(list_distinct(list(tool)), 'finalize_case') AS finalized FROM actions GROUP BY 1")(lambda w: w.actions.groupBy("case_id").agg(F.array_contains(F.collect_set("tool"), "finalize_case").alias("finalized")))
 query("jsn02_argument_validation", "SELECT event_id, array_to_string(list_filter(json_keys(props), lambda x: x <> 'k'), ',') AS extra, json_extract_string(props, '$.k') IS NOT NULL AS complete FROM events", world=False)(
     lambda w: w.table("events").select("event_id", F.concat_ws(",", F.array_except(F.json_object_keys("props"), F.array(F.lit("k")))).alias("extra"), F.get_json_object("props", "$.k").isNotNull().alias("complete")))

@@ -1,10 +1,15 @@
 """Boundaries, traps and round trips."""
 
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions.text import iso_instant
 from palimpsest.operators import temporal as T
+from palimpsest.operators.datasets import canonical_json
 from palimpsest.plans.projection import World
 from palimpsest.sources import files
 from palimpsest.streaming.audit import tumbling
@@ -130,3 +135,32 @@ def test_yaml_mapping(spark, tmp_path):
     assert S.read_yaml(spark, str(tmp_path / "a.yaml")) == {"k": 1, "l": ["a", "b"]}
     with pytest.raises(ValueError):
         S.read_yaml(spark, str(tmp_path / "b.yaml"))
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    """Spark drops rows behind the watermark that the batch before had, and emits windows once the watermark has passed them."""
+    rows = [[("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0), ("a", "2024-01-01 05:00:00", 4.0)], [("a", "2024-01-01 04:30:00", 16.0)], [("a", "2024-01-01 00:20:00", 8.0), ("a", "2024-01-01 09:00:00", 32.0)]]
+    schema = "event_type string, ts timestamp, value double"
+    for r in rows:
+        spark.createDataFrame(r, "event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read by their time
+    stream = tumbling(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), late="1 hour")
+    q = stream.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.start.hour, r.n, r.total) for r in spark.table("late").collect()) == [(0, 2, 3.0), (4, 1, 16.0), (5, 1, 4.0)]
+
+
+def test_canonical_json_as_python(spark):
+    texts = ["plain", "", None, 'quo"te\\ and / slash', "tab\tnew\nline\r\b\f", "\x01\x0b\x0e\x1a\x1f \x7f", "\\u001F stays \x1f", "ünïcödé ß 漢字", "😀 pair \u2028", "\\\x1f"]
+    got = spark.createDataFrame(list(enumerate(texts)), "b long, a string").select("b", canonical_json("b", "a").alias("j")).collect()
+    assert [r.j for r in sorted(got)] == [json.dumps({"a": t, "b": i}, sort_keys=True, separators=(",", ":")) for i, t in enumerate(texts)]
+
+
+def test_naive_times_are_utc(spark):
+    texts = ["2024-03-01T12:00:00", "2024-03-01T12:00:00Z", "2024-03-01T14:00:00+02:00", "2024-03-01T06:30:00-0530", None]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_seconds(iso_instant(F.col("t")))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r[0] for r in got] == [1709294400] * 4 + [None]
