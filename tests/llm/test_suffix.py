@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.suffix_dedup import MAX_SEGMENT, cut_repeats, suffix_classes
+from palimpsest.llm.suffix_dedup import BLOCK, CHUNK, MAX_SEGMENT, cut_repeats, suffix_classes
 
 SCHEMA = "doc_id long, text string"
 
@@ -58,3 +58,19 @@ def test_edges(spark):
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert sorted(map(repr, map(tuple, cut_repeats(docs.repartition(5)).collect()))) == brute([tuple(r) for r in docs.collect()])
+
+
+def test_several_blocks_and_extra_columns(spark):
+    """One partition of more than two blocks of long periodic texts, some of which share their period; columns of other names stay out."""
+    periods = [" ".join(f"{i} {j * j + i}" for j in range(90)) + " " for i in range(9)]
+    rows = [(i, (periods[i % 9] + str(i % 12)) * (250_000 // len(periods[i % 9]))) for i in range(24)]
+    assert sum(len(t) for _, t in rows) > 2 * BLOCK
+    docs = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], SCHEMA + ", block string, data string, owner int, sha int").coalesce(1)
+    assert sorted(map(repr, map(tuple, cut_repeats(docs).collect()))) == brute(rows)
+
+
+def test_common_phrase(spark):
+    """More contexts of one phrase than a chunk has segments; a few contexts come twice."""
+    rows = [(i, f"{i % (CHUNK + 300):08d} a phrase that every one of them holds {(i % (CHUNK + 300)) * 7919:010d} and its end") for i in range(CHUNK + 400)]
+    rows = [(d, t + ("" if d < CHUNK + 300 else " x")) for d, t in rows]
+    assert sorted(map(repr, map(tuple, cut_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()))) == brute(rows)
