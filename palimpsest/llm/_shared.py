@@ -38,17 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+def new_folder(spark: SparkSession, what: str) -> str:
+    """The address of a new folder in the shared one; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/palimpsest-{what}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
-    The table goes when the driver's JVM ends.
-    """
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet in a new folder of the shared one and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, what) + "/table"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm._shared import new_folder
 from palimpsest.llm.licenses import oracle
 
 
@@ -81,7 +82,15 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_piece_codec, op7_topk, op8_packing, op9_secrets, op10_exact_dedup)}
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.records import digests, read_documents, write_documents
+
+    path = new_folder(spark, "records")
+    write_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path)
+    return digests(read_documents(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_piece_codec, op7_topk, op8_packing, op9_secrets, op10_exact_dedup, op13_token_records)}
 
 ORACLES = {
     "op5_license_scan": oracle(),
