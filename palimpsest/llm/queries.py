@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import divergence, licenses
 from palimpsest.llm._shared import new_folder
-from palimpsest.llm.licenses import oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,18 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.periodic_runs import find_runs
+
+    return find_runs(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.records import digests, read_documents, write_documents
 
@@ -90,10 +102,11 @@ def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_documents(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_piece_codec, op7_topk, op8_packing, op9_secrets, op10_exact_dedup, op13_token_records)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_piece_codec, op7_topk, op8_packing, op9_secrets, op10_exact_dedup, op11_periodic_runs, op12_source_divergence, op13_token_records)}
 
 ORACLES = {
-    "op5_license_scan": oracle(),
+    "op5_license_scan": licenses.oracle(),
+    "op12_source_divergence": divergence.oracle(),
     "op7_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
