@@ -2,7 +2,7 @@
 
 A record is framed as: length (unsigned 64 bits), masked checksum of those 8 bytes (32 bits), data, masked checksum of the data
 (32 bits), all little-endian. The checksum is CRC-32C; masked: rotated right by 15 bits, plus 0xa282ead8. The data are doc_id
-(64 bits), flags (32 bits; 1: doc_id is null) and the ids (32 bits each). Beside each data file lies an index file with 32 bytes a
+(64 bits), flags (32 bits; 1: doc_id is null; 2: narrow) and the ids (32 bits each, or 16 in a narrow record, which all ids below 65536 make). Beside each data file lies an index file with 32 bytes a
 record: offset, size of the frame, ids before it in the file, number of ids (64 bits each). A manifest lists the files in order.
 
 A task writes files of names of its own; only the manifest, written last and put in place by one rename, says which of them count. So
@@ -123,9 +123,20 @@ def _files(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _data(doc_id: int | None, ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, dtype="<u4")
+    narrow = wide.max(initial=0) < 65536
+    flags = (doc_id is None) + 2 * bool(narrow)
+    return (doc_id or 0).to_bytes(8, "little", signed=True) + flags.to_bytes(4, "little") + (wide.astype("<u2").tobytes() if narrow else ids)
+
+
+def _ids(data: bytes) -> bytes:
+    return np.frombuffer(data, dtype="<u2", offset=HEAD).astype("<u4").tobytes() if data[8] & 2 else data[HEAD:]
+
+
 def frames(doc_ids: list[int | None], ids: list[bytes]) -> list[bytes]:
     """The framed record of each sequence."""
-    data = [(d or 0).to_bytes(8, "little", signed=True) + (b"\1\0\0\0" if d is None else b"\0\0\0\0") + i for d, i in zip(doc_ids, ids, strict=True)]
+    data = list(map(_data, doc_ids, ids))
     lengths = [len(d).to_bytes(8, "little") for d in data]
     of_length, of_data = masked(crc32c(lengths)).astype("<u4"), masked(crc32c(data)).astype("<u4")
     return [n + a.tobytes() + d + b.tobytes() for n, a, d, b in zip(lengths, of_length, data, of_data, strict=True)]
@@ -250,7 +261,7 @@ class _Reader(DataSourceReader):
                 known = [None if d[8] & 1 else int.from_bytes(d[:8], "little", signed=True) for d in data]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([partition.file] * len(rows)), pa.array(partition.first + rows), pa.array(known, pa.int64()), pa.array((partition.start + index["before"][rows]).astype(np.int64)),
-                    pa.array(index["n"][rows].astype(np.int64)), pa.array([d[HEAD:] for d in data], pa.binary()),
+                    pa.array(index["n"][rows].astype(np.int64)), pa.array(map(_ids, data), pa.binary()),
                 ], names=[x.split()[0] for x in READ.split(", ")])
 
     def _groups(self, index: np.ndarray, partition: Slice) -> Iterator[np.ndarray]:

@@ -31,9 +31,11 @@ def test_checksum():
 
 
 def test_frames_say_when_bytes_change():
-    made = R.frames([5, None, -1], [b"", b"\1\0\0\0", b"\2\0\0\0" * 50])
+    ids = [b"", b"\1\0\0\0", b"\2\0\0\0" * 50, b"\xff\xff\0\0\0\0\1\0"]
+    made = R.frames([5, None, -1, 0], ids)
     sizes = [len(m) for m in made]
-    assert [d[R.HEAD :] for d in R.unframed(b"".join(made), sizes)] == [b"", b"\1\0\0\0", b"\2\0\0\0" * 50]
+    assert sizes == [28, 30, 128, 36]  # ids of 65536 and more make a record wide
+    assert [R._ids(d) for d in R.unframed(b"".join(made), sizes)] == ids
     for at in (0, 9, 20, sizes[0] + 3, sum(sizes) - 1):
         block = bytearray(b"".join(made))
         block[at] ^= 16
