@@ -5,42 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: No frame whose size (rows times the row bytes stated by the caller) exceeds this is ever broadcast.
-BROADCAST_BYTES = 32 << 20
-#: Words that anchor a passage: texts are only compared where these agree.
-ANCHOR = 5
-SPACE = r"[ \t\n\r\f]+"
-
-
-def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its size is within BROADCAST_BYTES, else df; then Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
-def spaced(text: Column) -> Column:
-    """Words with a single space around each."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SPACE, " ")), F.lit(" "))
-
-
-def contained(clauses: DataFrame, key: str, texts: DataFrame, text: str = "text", row_bytes: int = 4096) -> DataFrame:
-    """Each clause (key, text) with `contained`: whether its words follow each other in any text.
-
-    Texts meet clauses where the clause's first ANCHOR words occur, so no text is compared with all clauses; row_bytes is what a
-    clause's text may take on average. Clauses of fewer words anchor on what they have; null or empty clauses and texts hold nothing.
-    """
-    c = clauses.select(key, spaced(F.col(text)).alias("_c")).where("_c <> '  '")
-    words = lambda x: F.filter(F.split(F.trim(x), " "), lambda w: w != "")
-    c = c.withColumn("_w", F.least(F.size(words(F.col("_c"))), F.lit(ANCHOR)))
-    c = c.withColumn("_anchor", F.concat_ws(" ", F.slice(words(F.col("_c")), 1, ANCHOR)))
-    t = texts.select(spaced(F.col(text)).alias("_t")).where("_t <> '  '").withColumn("_words", words(F.col("_t"))).withColumn("_h", F.xxhash64("_t"))
-    used = [r[0] for r in c.select("_w").distinct().collect()]  # five values at most
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("_words", i, n)))
-    grams = F.flatten(F.array(*map(runs, used))) if used else F.array().cast("array<string>")
-    # First only digests of texts meet anchors; then the few texts that may hold a clause are looked at.
-    met = t.select("_h", F.explode(F.array_distinct(grams)).alias("_anchor")).join(bounded(c.select(key, "_anchor"), 256), "_anchor").select("_h", key).distinct()
-    hits = t.select("_h", "_t").join(bounded(met, 64), "_h").join(bounded(c.select(key, "_c"), row_bytes), key).where(F.contains("_t", "_c")).select(key).distinct()
-    return clauses.select(key).join(hits.withColumn("_hit", F.lit(True)), key, "left").select(key, F.col("_hit").isNotNull().alias("contained"))
-
+from palimpsest.operators.containment import contained
+from palimpsest.operators.frames import stored
 
 def canonical_json(*columns: str) -> Column:
     """The columns as one JSON object with sorted keys, no spaces, and ASCII only: all else as lower-case \\u escapes of UTF-16 units."""
@@ -124,46 +90,58 @@ EVENTS = [
 ]
 
 
-def leakage_events(sft: DataFrame, dpo: DataFrame, held: DataFrame, clauses: DataFrame, recorded: DataFrame, found: DataFrame) -> DataFrame:
-    """event, n: the thirteen leakage events with the number of rows (versions, ids, data sets) that show each.
+TEXTS = ["prompt", "chosen", "rejected", "text"]
+
+
+def together(sft: DataFrame, dpo: DataFrame, held: DataFrame) -> DataFrame:
+    """The three sets in one stored table: name (sft, dpo, eval), case_id, policy_version, split, TEXTS, expected_resolution; what a set lacks is null."""
+    full = None
+    for name, rows in (("sft", sft), ("dpo", dpo), ("eval", held)):
+        text = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in (*TEXTS, "expected_resolution")]
+        one = rows.select(F.lit(name).alias("name"), "case_id", "policy_version", "split", *text)
+        full = one if full is None else full.unionByName(one)
+    return stored(full, "sets")
+
+
+def leakage_events(sets: DataFrame, clauses: DataFrame, recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """event, n: the thirteen leakage events with the number of rows (versions, ids, clauses, data sets) that show each.
+
+    sets as `together` makes them. clauses: version and text of all policy clauses. recorded and found: name, hash and path of
+    the data sets as their manifests say and as they are; recorded also split_hash, the hash that the split's manifest gives.
 
-    sft, dpo and held (the evaluation set): case_id, policy_version, split, and texts prompt, chosen, rejected, text (null where
-    a set has none), held also expected_resolution. clauses: version and text of all policy clauses, a dimension. recorded and
-    found: name, hash and path of the data sets as their manifests say and as they are; recorded also split_hash, the hash that the
-    split's manifest gives.
+    What a row shows by itself and what a case shows is counted in one aggregation by case. A clause leaks if a text holds it,
+    character for character; only clauses of LEAST_CLAUSE characters or more that no other version has are looked for.
     """
-    fields = ["prompt", "chosen", "rejected", "text"]
-    cols = ["case_id", "policy_version", "split", *fields]
-    train = sft.select(F.lit("sft").alias("side"), *cols).unionByName(dpo.select(F.lit("dpo").alias("side"), *cols))
-    forbidden = ~F.coalesce(F.col("policy_version").isin(TRAIN_VERSIONS), F.lit(False))
-    blob = F.concat_ws("\n", *fields)
-    old = clauses.where(~F.col("version").isin(EVAL_VERSIONS)).select(F.trim("text").alias("snippet"))
-    only = clauses.where(F.col("version").isin(EVAL_VERSIONS)).select(F.trim("text").alias("snippet")).where(F.length("snippet") >= LEAST_CLAUSE).join(old, "snippet", "left_anti").distinct()
-    counts = train.agg(
-        F.count_if((F.col("side") == "sft") & forbidden).alias(EVENTS[0]), F.count_if((F.col("side") == "dpo") & forbidden).alias(EVENTS[1]),
-        F.count_if(F.greatest(*[F.contains(blob, F.lit(m)) for m in MARKS])).alias(EVENTS[5]))
-    versions = held.agg(F.count_if(~F.coalesce(F.col("policy_version").isin(EVAL_VERSIONS), F.lit(False))).alias("other"), F.count_if(F.col("policy_version").isin(EVAL_VERSIONS)).alias("right"))
-    versions = versions.select((F.col("other") + F.when(F.col("right") == 0, 1).otherwise(0)).alias(EVENTS[2]))
-    ids = train.select("case_id", "split").unionByName(held.select("case_id", "split")).groupBy("case_id").agg(F.count_distinct("split").alias("m"))
-    crossed = ids.agg(F.count_if(F.col("m") > 1).alias(EVENTS[4]))
-    overlap = train.select("case_id").distinct().join(held.select("case_id"), "case_id", "left_semi").agg(F.count(F.lit(1)).alias(EVENTS[3]))
-    texts = train.where(blob != "").select(F.monotonically_increasing_id().alias("row"), blob.alias("text"))
-    snippets = contained(only.withColumn("text", F.col("snippet")), "snippet", texts).agg(F.count_if("contained").alias(EVENTS[6]))
+    train = F.col("name") != "eval"
+    version = lambda of: F.coalesce(F.col("policy_version").isin(of), F.lit(False))
+    blob = F.concat_ws("\n", *TEXTS)
+    count = lambda c: F.count_if(c)
+    split = F.coalesce("split", F.lit("None"))
+    of_case = sets.groupBy("case_id").agg(
+        count((F.col("name") == "sft") & ~version(TRAIN_VERSIONS)).alias("a"), count((F.col("name") == "dpo") & ~version(TRAIN_VERSIONS)).alias("b"),
+        count(~train & ~version(EVAL_VERSIONS)).alias("other"), count(~train & version(EVAL_VERSIONS)).alias("right"),
+        count(train).alias("in_train"), count(~train).alias("in_eval"), (F.min(split) != F.max(split)).alias("crossed"),
+        count(train & F.greatest(*[F.contains(blob, F.lit(m)) for m in MARKS])).alias("marked"))
+    summed = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    row = of_case.agg(
+        summed("a").alias(EVENTS[0]), summed("b").alias(EVENTS[1]), (summed("other") + F.when(summed("right") == 0, 1).otherwise(0)).alias(EVENTS[2]),
+        count((F.col("in_train") > 0) & (F.col("in_eval") > 0)).alias(EVENTS[3]), count("crossed").alias(EVENTS[4]), summed("marked").alias(EVENTS[5]))
+    listed = lambda df, names: df.select(F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).cast("long").alias("n")) for e in names])).alias("x")).select("x.*")
+    old = clauses.where(~F.coalesce(F.col("version").isin(EVAL_VERSIONS), F.lit(False)))
+    only = clauses.where(F.col("version").isin(EVAL_VERSIONS)).select(F.trim("text").alias("text")).where(F.length("text") >= LEAST_CLAUSE)
+    only = only.join(old.select(F.trim("text").alias("text")), "text", "left_anti").distinct().withColumn("clause", F.xxhash64("text"))
+    snippets = contained(only, "clause", sets.where(train).select(blob.alias("text"))).agg(count("contained").alias("n")).select(F.lit(EVENTS[6]).alias("event"), "n")
     # Equal strings meet by digest; both sides are digests only.
-    digest = lambda c: F.sha2(F.trim(c), 256)
-    values = train.select(F.explode(F.array(*[F.when(F.trim(c) != "", digest(F.col(c))) for c in fields])).alias("d")).where("d is not null")
-    refs = held.select(F.explode(F.array(*[F.when(F.trim(c) != "", digest(F.col(c))) for c in ("expected_resolution", "prompt")])).alias("d")).where("d is not null").distinct()
-    copied = values.join(refs, "d", "left_semi").agg(F.count(F.lit(1)).alias(EVENTS[7]))
+    digests = lambda *cols: F.explode(F.array_compact(F.array(*[F.when(F.trim(c) != "", F.sha2(F.trim(c), 256)) for c in cols]))).alias("d")
+    refs = sets.where(~train).select(digests("expected_resolution", "prompt")).distinct()
+    copied = sets.where(train).select(digests(*TEXTS)).groupBy("d").agg(F.count(F.lit(1)).alias("m")).join(refs, "d", "left_semi")
+    copied = copied.agg(summed("m").alias("n")).select(F.lit(EVENTS[7]).alias("event"), "n")
     j = recorded.select("name", F.col("hash").alias("h"), F.col("path").alias("p"), "split_hash").join(found.select("name", "hash", "path"), "name", "full")
-    named = lambda n, c: F.count_if((F.col("name") == n) & ~c).alias
-    same = F.col("h").eqNullSafe(F.col("hash"))
+    named = lambda n, c: count((F.col("name") == n) & ~c).alias
+    same, there = F.col("h").eqNullSafe(F.col("hash")), F.col("p").eqNullSafe(F.col("path"))
     kept = j.agg(
-        named("sft", same)(EVENTS[8]), named("dpo", same)(EVENTS[9]), F.count_if(~F.col("split_hash").eqNullSafe(F.col("hash"))).alias(EVENTS[10]),
-        named("sft", F.col("p").eqNullSafe(F.col("path")))(EVENTS[11]), named("dpo", F.col("p").eqNullSafe(F.col("path")))(EVENTS[12]))
-    row = counts
-    for one in (versions, crossed, overlap, snippets, copied, kept):  # each a single row
-        row = row.crossJoin(one)
-    return row.select(F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("n")) for e in EVENTS])).alias("x")).select("x.event", "x.n")
+        named("sft", same)(EVENTS[8]), named("dpo", same)(EVENTS[9]), count(~F.col("split_hash").eqNullSafe(F.col("hash"))).alias(EVENTS[10]), named("sft", there)(EVENTS[11]), named("dpo", there)(EVENTS[12]))
+    return listed(row, EVENTS[:6]).unionByName(snippets).unionByName(copied).unionByName(listed(kept, EVENTS[8:]))
 
 
 def assert_clean(events: DataFrame) -> DataFrame:

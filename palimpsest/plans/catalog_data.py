@@ -8,11 +8,12 @@ from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import temporal as T
 from palimpsest.operators import verify as V
+from palimpsest.operators.containment import contained
 from palimpsest.plans.catalog_domain import TERMS, total
 from palimpsest.plans.registry import query
 
-query("jon10_text_containment", r"""SELECT item_id, bool_or(coalesce(contains(t, c), false)) AS contained FROM (SELECT item_id, ' ' || trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) || ' ' AS c FROM benchmark),
-  (SELECT ' ' || trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) || ' ' AS t FROM documents) GROUP BY 1""", world=False)(lambda w: D.contained(w.table("benchmark"), "item_id", w.table("documents")))
+query("jon10_text_containment", """SELECT item_id, b.text <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""", world=False)(
+    lambda w: contained(w.table("benchmark"), "item_id", w.table("documents")))
 query("hsh02_canonical_json", """SELECT case_id, sha256('{"case_id":' || case_id || ',"domain":"' || domain || '","expected":"' || expected || '"}') AS sha FROM cases""")(
     lambda w: w.orders.select("case_id", F.sha2(D.canonical_json("expected", "case_id", "domain"), 256).alias("sha")))
 STAMPED = """'{"domain":"' || domain || '","effective_at":"' || strftime(effective_at, '%Y-%m-%dT%H:%M:%SZ') || '","expires_at":' || coalesce('"' || strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') || '"', 'null')
