@@ -40,3 +40,12 @@ def importable(spark: SparkSession) -> None:
     """Let Python workers import this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with each row's place in the order, from 1: sorted by ranges, and the rows of the ranges before added to the place in its own."""
+    placed = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    return part.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") % F.lit(1 << 33) + 1).drop("_at", "_part", "_before")

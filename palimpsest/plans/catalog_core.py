@@ -30,20 +30,13 @@ query("jon03_policy_lookup", "SELECT a.case_id, a.step, a.part, a.cited, strftim
 query("jon15_stale_alternative", """SELECT case_id, coalesce(other, policy_id || '@0.0-stale') AS alternative FROM (SELECT c.case_id, c.policy_id, p.policy_key AS other,
   row_number() OVER (PARTITION BY c.case_id ORDER BY p.effective_at, p.version) AS k FROM cases c LEFT JOIN policies p ON p.domain = c.domain AND p.policy_key <> c.policy_key) WHERE k = 1""")(
     lambda w: T.stale_alternative(w.cases, w.policies).select("case_id", "alternative"))
-query("jon16_supersession", "SELECT policy_key, lag(version) OVER (PARTITION BY domain ORDER BY effective_at, version) AS supersedes FROM policies")(lambda w: T.lead_expiry(w.policies).select("policy_key", "supersedes"))
-query("win10_lead_expiry", "SELECT policy_key, strftime(lead(effective_at) OVER (PARTITION BY domain ORDER BY effective_at, version), '%Y-%m-%d') AS next_start FROM policies")(lambda w: T.lead_expiry(w.policies).select("policy_key", day("next_start")))
 query("flt01_effective_window", "SELECT c.case_id, p.policy_key, p.effective_at <= c.occurred_at AND (p.expires_at IS NULL OR c.occurred_at < p.expires_at) AS effective FROM cases0 c JOIN policies p USING (domain)")(
     lambda w: w.orders.join(F.broadcast(w.policies), "domain").select("case_id", "policy_key", T.in_force(F.col("occurred_at"), F.col("effective_at"), F.col("expires_at")).alias("effective")))
-query("flt02_domain_filter", "SELECT policy_key, strftime(effective_at, '%Y-%m-%d') AS effective_at FROM policies WHERE domain = 'd1'")(lambda w: w.policies.where("domain = 'd1'").select("policy_key", day("effective_at")))
-query("flt03_available_policies", "SELECT policy_key FROM policies WHERE domain = 'd1' AND effective_at <= TIMESTAMP '1998-01-01' AND (expires_at IS NULL OR TIMESTAMP '1998-01-01' < expires_at)")(
-    lambda w: w.policies.where((F.col("domain") == "d1") & T.in_force(F.lit("1998-01-01").cast("timestamp_ntz"), F.col("effective_at"), F.col("expires_at"))).select("policy_key"))
 query("win05_latest_effective", "SELECT case_id, version FROM cases")(lambda w: T.latest_active(w.orders, w.policies).select("case_id", "version"))
 
 # Filters and projections
 query("flt04_select_cases", "SELECT case_id, version, split FROM cases WHERE split = 'validation' AND version IN ('1.0', '1.1') ORDER BY case_id LIMIT 200")(
     lambda w: w.cases.where("split = 'validation' and version in ('1.0', '1.1')").orderBy("case_id").limit(200).select("case_id", "version", "split"))
-query("flt05_parse_versions", "SELECT id, array_to_string(list_filter(v, lambda x, i: x <> '' AND list_position(v, x) = i), ',') AS versions FROM (SELECT id, list_transform(string_split(raw, ','), lambda x: trim(x)) AS v FROM (VALUES (1, '1.0, 1.1'), (2, '2.0,1.0,2.0,, '), (3, '')) t(id, raw))", world=False)(
-    lambda w: w.spark.createDataFrame([(1, "1.0, 1.1"), (2, "2.0,1.0,2.0,, "), (3, "")], "id int, raw string").select("id", F.concat_ws(",", F.array_distinct(F.filter(F.transform(F.split("raw", ","), lambda x: F.trim(x)), lambda x: x != ""))).alias("versions")))
 query("flt06_metadata_fallback", "SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN 'v' || (user_id % 3) END, json_extract_string(props, '$.k')) AS version FROM events", world=False)(
     lambda w: w.table("events").select("event_id", F.coalesce(F.when(F.col("event_type") == "view", F.concat(F.lit("v"), F.col("user_id") % 3)), F.get_json_object("props", "$.k")).alias("version")))
 query("flt07_version_filter", "SELECT case_id, version FROM cases WHERE version IN ('1.0', '1.1')")(lambda w: w.cases.where(F.col("version").isin("1.0", "1.1")).select("case_id", "version"))
@@ -105,7 +98,6 @@ query("win11_first_diff", "WITH t AS (SELECT conv_id, string_split(min(text) FIL
     .select("conv_id", F.expr("array_position(zip_with(slice(a, 1, least(size(a), size(b))), slice(b, 1, least(size(a), size(b))), (x, y) -> x <> y), true)").alias("first_diff")))
 query("win12_bigrams", "SELECT item_id, i, t[i] || '_' || t[i + 1] AS bigram FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_@.-]+') AS t FROM benchmark))", world=False)(
     lambda w: w.table("benchmark").select("item_id", F.posexplode(X.bigrams(X.tokens(F.col("text")))).alias("p", "bigram")).select("item_id", (F.col("p") + 1).cast("long").alias("i"), "bigram"))
-query("srt01_catalogue", "SELECT policy_key, row_number() OVER (ORDER BY domain, effective_at, version) AS ord FROM policies")(lambda w: w.policies.select("policy_key", row_n(Window.orderBy("domain", "effective_at", "version")).alias("ord")))
 query("srt02_keyword_top10", "WITH q AS (SELECT unnest(['the', 'and', 'thing', 'la']) AS w) SELECT doc_id, score FROM (SELECT doc_id, round(count(*) FILTER (WHERE contains(lower(text), w)) / 4.0, 6) AS score FROM documents, q GROUP BY 1) ORDER BY score DESC, doc_id LIMIT 10", world=False)(
     lambda w: w.table("documents").select("doc_id", F.round(sum(F.lower("text").contains(t).cast("int") for t in ("the", "and", "thing", "la")) / 4.0, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10))
 query("srt06_budget_topn", "SELECT case_id, version FROM cases ORDER BY CASE version WHEN '1.0' THEN 0.2 WHEN '1.1' THEN 0.6 ELSE 1.0 END DESC, case_id LIMIT 50")(

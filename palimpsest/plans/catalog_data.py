@@ -16,11 +16,6 @@ query("jon10_text_containment", """SELECT item_id, b.text <> '' AND EXISTS (SELE
     lambda w: contained(w.table("benchmark"), "item_id", w.table("documents")))
 query("hsh02_canonical_json", """SELECT case_id, sha256('{"case_id":' || case_id || ',"domain":"' || domain || '","expected":"' || expected || '"}') AS sha FROM cases""")(
     lambda w: w.orders.select("case_id", F.sha2(D.canonical_json("expected", "case_id", "domain"), 256).alias("sha")))
-STAMPED = """'{"domain":"' || domain || '","effective_at":"' || strftime(effective_at, '%Y-%m-%dT%H:%M:%SZ') || '","expires_at":' || coalesce('"' || strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') || '"', 'null')
-  || ',"policy_id":"' || policy_id || '","policy_key":"' || policy_key || '","version":"' || version || '"}'"""
-query("hsh04_document_checksum", f"SELECT policy_key, sha256({STAMPED}) AS checksum FROM policies")(
-    lambda w: w.policies.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("effective_at", "expires_at")})
-    .select("policy_key", F.sha2(D.canonical_json("policy_id", "version", "domain", "policy_key", "effective_at", "expires_at"), 256).alias("checksum")))
 query("vec04_byte_bag", """WITH h AS (SELECT item_id, hex(text) AS h FROM benchmark), b AS (SELECT item_id, i % 16 AS slot, sum(('0x' || substr(h, (2 * i + 1)::INT, 2))::INT / 255.0::DOUBLE) AS x FROM h, range(256) r(i) WHERE i < length(h) // 2 GROUP BY 1, 2)
   SELECT item_id, slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 4) AS x FROM b""", world=False)(
     lambda w: w.table("benchmark").select("item_id", F.posexplode(D.byte_bag(F.col("text"))).alias("slot", "x")).select("item_id", F.col("slot").cast("long").alias("slot"), F.round("x", 4).alias("x")))
@@ -32,8 +27,6 @@ query("dat01_iso_parse", "SELECT case_id, epoch_us(occurred_at) // 1000000 - CAS
     .select("case_id", F.unix_seconds(X.iso_instant(F.col("text"))).alias("seconds")))
 query("str08_completion", """SELECT case_id, '{"resolution": "' || expected || '", "cites": "' || policy_key || '"}' AS completion FROM cases""")(
     lambda w: w.cases.select("case_id", F.format_string('{"resolution": "%s", "cites": "%s"}', "expected", "policy_key").alias("completion")))
-query("str09_index_text", "SELECT policy_key, concat_ws(' ', policy_key, domain, strftime(effective_at, '%Y-%m-%d')) AS text FROM policies")(
-    lambda w: w.policies.select("policy_key", F.concat_ws(" ", "policy_key", "domain", F.date_format("effective_at", "yyyy-MM-dd")).alias("text")))
 query("jsn01_key_order", """SELECT case_id, '{"policy":"' || policy_key || '","resolution":"' || expected || '"}' AS json FROM cases""")(
     lambda w: w.cases.select("case_id", F.from_json(F.to_json(F.struct(F.col("expected").alias("resolution"), F.col("policy_key").alias("policy"))), "resolution string, policy string").alias("j")).select("case_id", F.to_json(F.struct("j.policy", "j.resolution")).alias("json")))
 

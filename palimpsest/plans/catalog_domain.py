@@ -118,8 +118,12 @@ query("dat03_same_instant", "SELECT event_id, abs(epoch_us(ts) - epoch_us(date_t
 query("arr01_first_match", "SELECT case_id, list_contains(list_distinct(list(tool)), 'finalize_case') AS finalized FROM actions GROUP BY 1")(lambda w: w.actions.groupBy("case_id").agg(F.array_contains(F.collect_set("tool"), "finalize_case").alias("finalized")))
 query("jsn02_argument_validation", "SELECT event_id, array_to_string(list_filter(json_keys(props), lambda x: x <> 'k'), ',') AS extra, json_extract_string(props, '$.k') IS NOT NULL AS complete FROM events", world=False)(
     lambda w: w.table("events").select("event_id", F.concat_ws(",", F.array_except(F.json_object_keys("props"), F.array(F.lit("k")))).alias("extra"), F.get_json_object("props", "$.k").isNotNull().alias("complete")))
-query("snk05_markdown_table", "SELECT '| key | from |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(policy_key, '|', '/') || ' | ' || strftime(effective_at, '%Y-%m-%d') || ' |', chr(10) ORDER BY policy_key) AS md FROM policies")(
-    lambda w: w.policies.select(F.concat(F.lit("| "), F.replace("policy_key", F.lit("|"), F.lit("/")), F.lit(" | "), F.date_format("effective_at", "yyyy-MM-dd"), F.lit(" |")).alias("line")).agg(F.concat(F.lit("| key | from |\n| --- | --- |\n"), F.concat_ws("\n", F.array_sort(F.collect_list("line")))).alias("md")))
+# One table a segment, one line a nation.
+query("snk05_markdown_table", """SELECT segment, '| nation | customers |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS md
+  FROM (SELECT c_mktsegment AS segment, '| ' || replace(n_name, '|', '/') || ' | ' || count(*) || ' |' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_name) GROUP BY segment""", world=False)(
+    lambda w: w.table("customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n")).join(w.table("nation"), "n_nationkey")
+    .select("segment", F.concat(F.lit("| "), F.replace("n_name", F.lit("|"), F.lit("/")), F.lit(" | "), "n", F.lit(" |")).alias("line"))
+    .groupBy("segment").agg(F.concat(F.lit("| nation | customers |\n| --- | --- |\n"), F.concat_ws("\n", F.array_sort(F.collect_list("line")))).alias("md")))
 
 # Vectors and retrieval
 SCORE = "round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"

@@ -115,8 +115,8 @@ round_trip("src05_jsonl_version_filter", S.write_jsonl, lambda s, p: S.read_json
 round_trip("snk03_partitioned", lambda df, p: S.write_jsonl(df, p, ["split"]), lambda s, p: s.read.schema(CASE).json(p).select("case_id", "policy_version", "split"), versions, VERSIONS)
 round_trip("snk04_csv", lambda df, p: S.write_csv(df, p, ["n_name", "n_nationkey"]), lambda s, p: s.read.option("header", True).schema("n_name string, n_nationkey long").csv(p), nations, "SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation", False)
 round_trip("src02_directory", lambda df, p: [S.write_json(df, f"{p}/a"), S.write_json(df.withColumn("n_name", F.upper("n_name")), f"{p}/b")], lambda s, p: S.read_directory(s, p, NATION, ["n_nationkey"]), nations, NATIONS.replace("n_name,", "upper(n_name) AS n_name,"), False)
-round_trip("hsh03_src08_file_digests", lambda df, p: [df.coalesce(1).write.text(f"{p}/{x}") for x in ("run1", "run2")], lambda s, p: S.catalogue(s, p).select("folder", "n_files", "n_bytes", "sha256"), lambda w: w.policies.select("policy_key").orderBy("policy_key"),
-           "SELECT folder, 1::BIGINT AS n_files, length(t)::BIGINT AS n_bytes, sha256(t) AS sha256 FROM (SELECT string_agg(policy_key || chr(10), '' ORDER BY policy_key) AS t FROM policies), (VALUES ('run1'), ('run2')) v(folder)")
+round_trip("hsh03_src08_file_digests", lambda df, p: [df.coalesce(1).write.text(f"{p}/{x}") for x in ("run1", "run2")], lambda s, p: S.catalogue(s, p).select("folder", "n_files", "n_bytes", "sha256"), lambda w: w.table("supplier").select("s_name").orderBy("s_name"),
+           "SELECT folder, 1::BIGINT AS n_files, length(t)::BIGINT AS n_bytes, sha256(t) AS sha256 FROM (SELECT string_agg(s_name || chr(10), '' ORDER BY s_name) AS t FROM supplier), (VALUES ('run1'), ('run2')) v(folder)")
 query("snk07_manifest", "SELECT 'nation' AS name, count(*) AS rows FROM nation", world=False)(lambda w: S.manifest(nations(w), "nation").select("name", "rows"))
 query("snk09_size_cap", """SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN length(j) > 50 THEN '{"truncated":true,"size":' || length(j) || '}' ELSE j END AS json FROM (SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS j FROM nation)""", world=False)(
     lambda w: nations(w).select("n_nationkey", S.clip(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")), 50).alias("json")))
