@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences.
 
 Bounded-space online best-fit: at most OPEN bins are open; a bitset has a bit for each free space that some open bin has, so
-the tightest bin that holds a piece is found by one shift and one lowest-bit test. With all bins open, the fullest closes.
+the tightest bin that holds a piece is found by one shift and one lowest-bit test. With all bins open, the fullest closes. OPEN is as
+large as a bin has tokens: with half of it, a window's long pieces close each other's bins before the short ones come to fill them.
 Each partition packs its own documents: nothing is shuffled. Pieces wait in a window of WINDOW and enter longest first; only
 their numbers are held, never their tokens.
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from palimpsest.llm._shared import ready
 
-CAPACITY, OPEN, WINDOW, SEPARATOR, CACHE = 2048, 1024, 65536, 0, 600_000
+CAPACITY, OPEN, WINDOW, SEPARATOR, CACHE = 2048, 2048, 65536, 0, 600_000
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
