@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import environment as E
+from palimpsest.operators.frames import stored
 from palimpsest.plans.projection import KEYS, SQL, TOOLS, World
 from palimpsest.plans.registry import query
 from palimpsest.sources import files as S
+from palimpsest.streaming.calls import fold_stream
 
 # Domain d0 stands for materials, d1 for the laboratory, d2 for AI governance. Calls of customers divisible by 7 lack the permission
 # to escalate; an amount over 90000 stands for damaged packaging.
@@ -48,6 +50,29 @@ f AS (SELECT case_id, 0::BIGINT AS n, NULL::VARCHAR AS tool, NULL::VARCHAR AS co
 FOLD = SQL.replace("WITH versions", "WITH RECURSIVE versions", 1) + ", " + CALLS
 query("env06_call_fold", f"{FOLD} SELECT case_id, n, tool, code, status, finalized FROM f WHERE n > 0", world=False)(lambda w: E.fold(calls(w), "case_id", "step", "part", "supp", "amount"))
 query("env07_call_codes", f"{FOLD} SELECT tool, code, count(*) AS n FROM f WHERE n > 0 GROUP BY 1, 2", world=False)(lambda w: E.fold(calls(w), "case_id", "step", "part", "supp", "amount").groupBy("tool", "code").agg(F.count(F.lit(1)).alias("n")))
+def streamed(w: World) -> DataFrame:
+    """The same fold by a stream: calls come in three files of later and later steps, every fifth one a file late, and a last file moves the watermark on."""
+    rows = calls(w).select("case_id", "step", "part", "supp", "amount", "tool", *E.CALL).withColumn("at", F.expr("timestamp'2020-01-01 00:00:00' + make_dt_interval(0, step)"))
+    batch = F.least(F.ceil(F.col("step") / 3) + F.when(F.col("part") % 5 == 0, 1).otherwise(0), F.lit(3))
+    at = place(w, "calls")
+    rows = stored(rows.withColumn("batch", batch), "calls")
+    for n in range(1, 4):
+        rows.where(F.col("batch") == n).drop("batch").write.parquet(f"{at}/in/{n}")
+    rows.limit(1).drop("batch").withColumns({"case_id": F.lit(-1).cast("long"), "at": F.expr("timestamp'2021-01-01'")}).coalesce(1).write.parquet(f"{at}/in/4")
+    name, needed = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = w.spark.conf.get(name)
+    w.spark.conf.set(name, needed)
+    try:
+        for n in range(1, 5):  # each start goes on from the checkpoint of the one before
+            stream = w.spark.readStream.schema(rows.drop("batch").schema).parquet(f"{at}/in/[1-{n}]")
+            out = fold_stream(stream, "case_id", "at", ["step", "part", "supp", "amount"], "4 hours").writeStream.format("parquet").option("path", f"{at}/out")
+            out.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        w.spark.conf.set(name, before)
+    return w.spark.read.schema("case_id long, n long, tool string, code string, status string, finalized boolean").parquet(f"{at}/out").where("case_id >= 0")
+
+
+query("env08_stream_fold", f"{FOLD} SELECT case_id, n, tool, code, status, finalized FROM f WHERE n > 0", world=False)(streamed)
 query("env05_required_fields", """SELECT case_id, array_to_string(list_filter(f, lambda x: t[x]), ',') AS present, array_to_string(list_filter(f, lambda x: NOT t[x]), ',') AS missing FROM (SELECT case_id, ['certificate', 'log', 'seal'] AS f,
   map {'certificate': NOT lacks_evidence AND has_evidence, 'log': has_evidence AND case_id % 4 <> 0, 'seal': difficulty NOT IN ('1-URGENT', '2-HIGH')} AS t FROM cases)""")(
     lambda w: (lambda parts: w.cases.select("case_id", F.concat_ws(",", parts[0]).alias("present"), F.concat_ws(",", parts[1]).alias("missing")))(E.required_fields(
