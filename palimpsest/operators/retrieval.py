@@ -3,21 +3,20 @@
 The index has a row per clause vector: vec_id % 3 is its policy's domain, (vec_id // 3) % 3 the version, label the clause, label % 4
 its tag, and clauses of label 8 and 9 are of high or critical severity. Queries are the vectors whose vec_id is divisible by 20,
 against all rows: n = vec_id // 20 is the case, n % 3 its domain, (n // 3) % 3 the version in force, n % 4 its tag, label the clause
-it lacks evidence for. Search compares blocks of vectors to blocks of queries.
+it lacks evidence for. Vectors are searched through an inverted file (`vector_index`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import exp, factorial
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bigrams, tokens
+from palimpsest.operators.vector_index import Index, search
 
-POOL, K, EVERY, BLOCK = 30, 5, 20, 1024
+POOL, K, EVERY = 30, 5, 20
 VERSIONS = ["1.0", "1.1", "2.0"]
 # Whether a mode keeps effective hits of the case's domain only, reranks by metadata, and prefers the case's domain where it can.
 MODES = {
@@ -27,45 +26,6 @@ MODES = {
 SAME, FRESH, OLD, WORD, SEVERE = 0.15, 0.25, -0.35, 0.05, 0.03
 
 
-def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """items: up to `size` neighbouring ids with their vectors, as one row. Null ids and vectors take no part."""
-    rows = vectors.where("vec_id is not null and embedding is not null")
-    return rows.groupBy(F.floor(F.col("vec_id") / size).alias("_b"), F.size("embedding").alias("dim")).agg(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))).alias("items"))
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, own: bool = False) -> DataFrame:
-    """q, vec_id, score (inner product, six digits), pool (from 1): the k best of corpus for each query, ties to the smaller id.
-
-    Blocks meet blocks, as both sides may grow; a pair of blocks passes on k rows a query at most.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def side(items: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-            ids, x = (items.values.field(i) for i in (0, 1))
-            ids = ids.to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            return ids[order], x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
-
-        for b in batches:
-            for r in range(b.num_rows):
-                (q_ids, q), (ids, x) = side(b.column(0)[r]), side(b.column(1)[r])
-                score = np.round(q @ x.T, 6)
-                if not own:
-                    score[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(score, best, 1)
-                good = found > -np.inf
-                cols = [np.broadcast_to(q_ids[:, None], best.shape)[good], ids[best][good], found[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "vec_id", "score"])
-
-    left = blocks(queries, BLOCK * EVERY).select("dim", F.col("items").alias("asked"))
-    pairs = left.join(blocks(corpus), "dim").select("asked", "items")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return pairs.mapInArrow(run, "q long, vec_id long, score double").withColumn("pool", rank.cast("long")).where(F.col("pool") <= k)
-
-
 def dot(a: str, b: str) -> Column:
     """Inner product in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -93,13 +53,13 @@ def cases(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("expected", F.concat(F.lit("POL-"), F.upper("q_domain"), F.lit("@"), "in_force"))
 
 
-def retrieve(vectors: DataFrame, modes: list[str], pool: int = POOL, k: int = K) -> DataFrame:
+def retrieve(vectors: DataFrame, searched: Index, modes: list[str], pool: int = POOL, k: int = K) -> DataFrame:
     """mode, q, rank, the hit's vec_id, policy_key and clause_id, stale, and the case's expected key and clause.
 
     Pool by similarity, then each mode's filter, rerank and preference, then the cut at k. Filters stay behind the pool, so fewer
-    than k may be left. All modes share one search.
+    than k may be left. All modes share one search of the vectors' inverted file.
     """
-    hits = nearest(asked(vectors), vectors, pool).join(index(vectors).select("vec_id", "policy_key", "clause_id", "domain", "version", "severity", "text"), "vec_id").join(cases(vectors), "q")
+    hits = search(asked(vectors), searched, pool).join(index(vectors).select("vec_id", "policy_key", "clause_id", "domain", "version", "severity", "text"), "vec_id").join(cases(vectors), "q")
     hits = hits.withColumn("same", F.col("domain") == F.col("q_domain")).withColumn("stale", F.col("version") != F.col("in_force"))
     found = F.aggregate("words", F.lit(0), lambda n, w: n + F.contains(F.lower("text"), F.lower(w)).cast("int"))
     boost = F.when(F.col("same"), SAME).otherwise(0.0) + F.when(F.col("stale"), OLD).otherwise(FRESH) + WORD * found + F.when(F.col("severity").isin("high", "critical"), SEVERE).otherwise(0.0)
@@ -110,19 +70,19 @@ def retrieve(vectors: DataFrame, modes: list[str], pool: int = POOL, k: int = K)
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("mode", "q", "rank", "vec_id", "policy_key", "clause_id", "stale", "expected", "q_clause")
 
 
-def case_rows(vectors: DataFrame, modes: list[str]) -> DataFrame:
+def case_rows(vectors: DataFrame, searched: Index, modes: list[str]) -> DataFrame:
     """Per mode and query: recall of the expected policy and clause, share of stale hits, reciprocal rank of the expected policy, the first hit's key."""
     right = F.col("policy_key") == F.col("expected")
-    hits = retrieve(vectors, modes).groupBy("mode", "q").agg(
+    hits = retrieve(vectors, searched, modes).groupBy("mode", "q").agg(
         F.max(right.cast("double")).alias("recall_policy"), F.max((F.col("clause_id") == F.col("q_clause")).cast("double")).alias("recall_clause"), F.avg(F.col("stale").cast("double")).alias("stale_rate"),
         (1.0 / F.min(F.when(right, F.col("rank")))).alias("mrr"), F.min(F.when(F.col("rank") == 1, F.col("policy_key"))).alias("top_policy"))
     rows = cases(vectors).select("q", F.col("expected").alias("expected_policy"), F.explode(F.array(*map(F.lit, modes))).alias("mode")).join(hits, ["mode", "q"], "left")
     return rows.select("mode", F.col("q").alias("vec_id"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")), "top_policy", "expected_policy")
 
 
-def ablation(vectors: DataFrame) -> DataFrame:
+def ablation(vectors: DataFrame, searched: Index) -> DataFrame:
     """Per mode the means over all queries."""
-    return case_rows(vectors, list(MODES)).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")))
+    return case_rows(vectors, searched, list(MODES)).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")))
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import verify as V
+from palimpsest.operators.vector_index import search
 from palimpsest.plans.registry import query
 
 one = lambda c: F.when(F.col(c) if isinstance(c, str) else c, 1.0).otherwise(0.0)
@@ -128,8 +129,9 @@ query("snk05_markdown_table", """SELECT segment, '| nation | customers |' || chr
 # Vectors and retrieval
 SCORE = "round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
 TOPK = f"SELECT q, vec_id, k AS rank FROM (SELECT q.vec_id AS q, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE} DESC, c.vec_id) AS k FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0) WHERE k <= 5"
-topk = lambda w, k: R.nearest(R.asked(w.table("embeddings")), w.table("embeddings"), k, own=True).select("q", "vec_id", F.col("pool").alias("rank"))
-query("vec02_dot", f"SELECT q, vec_id, {SCORE} AS score FROM (SELECT q.vec_id AS q, c.vec_id, q.embedding, c.embedding AS e FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id = q.vec_id + 1)".replace("q.embedding, c.embedding), lambda", "embedding, e), lambda"), world=False)(
+topk = lambda w, k: search(R.asked(w.table("embeddings")), w.vector_index, k, own=True).select("q", "vec_id", F.col("pool").alias("rank"))
+# The inner product of each query with the vector of the next id.
+query("vec02_next_dot", f"SELECT q, vec_id, {SCORE} AS score FROM (SELECT q.vec_id AS q, c.vec_id, q.embedding, c.embedding AS e FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id = q.vec_id + 1)".replace("q.embedding, c.embedding), lambda", "embedding, e), lambda"), world=False)(
     lambda w: R.asked(w.table("embeddings")).select(F.col("vec_id").alias("q"), (F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("e")).join(w.table("embeddings"), "vec_id").select("q", "vec_id", F.round(R.dot("embedding", "e"), 6).alias("score")))
 query("jon12_cosine_topk", TOPK, world=False)(lambda w: topk(w, 5))
 query("srt03_topk", TOPK.replace("k <= 5", "k <= 10"), world=False)(lambda w: topk(w, 10))
@@ -156,9 +158,9 @@ per AS (SELECT mode, q, max((policy_key = expected)::INT)::DOUBLE AS recall_poli
 "rows" AS (SELECT m.mode, c.q AS vec_id, round(coalesce(recall_policy, 0), 6) AS recall_policy, round(coalesce(recall_clause, 0), 6) AS recall_clause, round(coalesce(stale_rate, 0), 6) AS stale_rate, round(coalesce(mrr, 0), 6) AS mrr, top_policy, expected AS expected_policy
   FROM cases c CROSS JOIN modes m LEFT JOIN per ON per.q = c.q AND per.mode = m.mode)"""
 for mode in R.MODES:
-    query(f"ret02_{mode}", f"{HITS} SELECT * FROM top WHERE mode = '{mode}'", world=False)(lambda w, m=mode: R.retrieve(w.table("embeddings"), [m]))
-    query(f"ret04_rows_{mode}", f"{HITS} SELECT * FROM \"rows\" WHERE mode = '{mode}'", world=False)(lambda w, m=mode: R.case_rows(w.table("embeddings"), [m]))
-query("ret03_ablation", f"{HITS} SELECT mode, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")) + ' FROM "rows" GROUP BY 1', world=False)(lambda w: R.ablation(w.table("embeddings")))
+    query(f"ret02_{mode}", f"{HITS} SELECT * FROM top WHERE mode = '{mode}'", world=False)(lambda w, m=mode: R.retrieve(w.table("embeddings"), w.vector_index, [m]))
+    query(f"ret04_rows_{mode}", f"{HITS} SELECT * FROM \"rows\" WHERE mode = '{mode}'", world=False)(lambda w, m=mode: R.case_rows(w.table("embeddings"), w.vector_index, [m]))
+query("ret03_ablation", f"{HITS} SELECT mode, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall_policy", "recall_clause", "stale_rate", "mrr")) + ' FROM "rows" GROUP BY 1', world=False)(lambda w: R.ablation(w.table("embeddings"), w.vector_index))
 
 # Datasets and selection
 query("dst03_teacher_filter", f"SELECT case_id, success AS accepted, array_to_string({FAILED}, '; ') AS reasons FROM checked")(lambda w: w.runs.select("case_id", F.col("success").alias("accepted"), F.concat_ws("; ", V.failures()).alias("reasons")))

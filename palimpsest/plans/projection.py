@@ -11,13 +11,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import temporal, verify
+from palimpsest.operators import temporal, vector_index, verify
 
 VERSIONS = [("1.0", "1995-01-01", "1997-01-01"), ("1.1", "1997-01-01", "1999-01-01"), ("2.0", "1999-01-01", None)]
 DOMAINS = ["d0", "d1", "d2"]
 TOOLS = ["retrieve_policy", "inspect_evidence", "release_item", "quarantine_item", "finalize_case", "request_missing_evidence", "create_human_review"]
 KEYS = [f"POL-{d.upper()}@{v}" for d in DOMAINS for v, _, _ in VERSIONS]
 
+_indexes: dict[tuple[str, str], vector_index.Index] = {}
+
 
 class World:
     """Frames over one folder of tables."""
@@ -80,6 +82,14 @@ class World:
         """One row per case that has actions: the verdicts on its trajectory."""
         return verify.verdicts(self.steps, KEYS, TOOLS)
 
+    @cached_property
+    def vector_index(self) -> vector_index.Index:
+        """The inverted file of the embeddings, built once in an application for each folder, as an index is built ahead of its queries."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _indexes:
+            _indexes[key] = vector_index.build(self.table("embeddings"))
+        return _indexes[key]
+
     @cached_property
     def told_runs(self) -> DataFrame:
         """The same with the tools used, in order."""
