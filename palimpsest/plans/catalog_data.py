@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import temporal as T
+from palimpsest.operators import keyword_search
 from palimpsest.operators import verify as V
 from palimpsest.operators.containment import contained
 from palimpsest.plans.catalog_domain import TERMS, total
@@ -14,6 +15,11 @@ from palimpsest.plans.registry import query
 
 query("jon10_text_containment", """SELECT item_id, b.text <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""", world=False)(
     lambda w: contained(w.table("benchmark"), "item_id", w.table("documents")))
+# Each benchmark text as a query of words.
+query("srt02b_keyword_search", r"""WITH d AS (SELECT doc_id, lower(concat_ws(' ', text, source)) AS hay FROM documents), q AS (SELECT item_id AS q, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS words FROM benchmark),
+s AS (SELECT q, doc_id, len(list_filter(words, lambda w: contains(hay, w))) AS hits, len(words) AS n FROM q, d), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, doc_id) AS rank FROM s)
+SELECT q, doc_id, hits / n AS score, rank FROM r WHERE rank <= 10 AND hits > 0""", world=False)(
+    lambda w: keyword_search.search(w.table("benchmark"), "item_id", "text", keyword_search.build(w.table("documents"), "doc_id", "text", "source")))
 query("hsh02_canonical_json", """SELECT case_id, sha256('{"case_id":' || case_id || ',"domain":"' || domain || '","expected":"' || expected || '"}') AS sha FROM cases""")(
     lambda w: w.orders.select("case_id", F.sha2(D.canonical_json("expected", "case_id", "domain"), 256).alias("sha")))
 query("vec04_byte_bag", """WITH h AS (SELECT item_id, hex(text) AS h FROM benchmark), b AS (SELECT item_id, i % 16 AS slot, sum(('0x' || substr(h, (2 * i + 1)::INT, 2))::INT / 255.0::DOUBLE) AS x FROM h, range(256) r(i) WHERE i < length(h) // 2 GROUP BY 1, 2)
