@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The columns of a call that the fold reads: the error of the gates before any state, that of the domain and that of the handler's
-#: last checks (null: none), what a success does to the state, and whether the call changes the case.
-CALL = ["gate", "domain_error", "late_error", "effect", "selects_stale", "mutates", "finalizes"]
+#: last checks (null: none), what a success does to the state, whether the call changes the case, and whether it must rest on no stale policy.
+CALL = ["gate", "domain_error", "late_error", "effect", "selects_stale", "mutates", "rests", "finalizes"]
 
 
 def fold(calls: DataFrame, key: str, *order: str) -> DataFrame:
@@ -22,7 +22,7 @@ def fold(calls: DataFrame, key: str, *order: str) -> DataFrame:
 
     def step(s: Column, c: Column) -> Column:
         shut = F.when(c["mutates"] & s["finalized"], F.when(c["finalizes"], "already_finalized").otherwise("case_finalized"))
-        code = F.coalesce(c["gate"], shut, c["domain_error"], F.when(c["mutates"] & s["stale"], "expired_policy_action"), c["late_error"], F.lit("ok"))
+        code = F.coalesce(c["gate"], shut, c["domain_error"], F.when(c["rests"] & s["stale"], "expired_policy_action"), c["late_error"], F.lit("ok"))
         ok = code == "ok"
         status, closed = F.when(ok, F.coalesce(c["effect"], s["status"])).otherwise(s["status"]), s["finalized"] | (ok & c["finalizes"])
         seen = F.struct(c["tool"].alias("tool"), code.alias("code"), status.alias("status"), closed.alias("finalized"))

@@ -30,7 +30,7 @@ def calls(w: World) -> DataFrame:
     )
     return w.steps.withColumns({
         "gate": gate, "domain_error": F.when(tool.isin("release_item", "quarantine_item") & (F.col("domain") != "d0"), "wrong_domain"), "late_error": late, "effect": F.coalesce(*[F.when(tool == k, v) for k, v in EFFECTS.items()]),
-        "selects_stale": F.when(tool == "retrieve_policy", ~current), "mutates": tool.isin(MUTATING), "finalizes": tool == "finalize_case",
+        "selects_stale": F.when(tool == "retrieve_policy", ~current), "mutates": tool.isin(MUTATING), "rests": tool.isin(MUTATING), "finalizes": tool == "finalize_case",
     })
 
 

@@ -20,7 +20,7 @@ def take_call(state: tuple, call: Any) -> tuple[tuple, str]:
     """(state after the call, code), as `environment.fold` has it for one call; state: status, finalized, selects a stale policy."""
     status, finalized, stale = state
     shut = ("already_finalized" if call.finalizes else "case_finalized") if call.mutates and finalized else None
-    code = call.gate or shut or call.domain_error or ("expired_policy_action" if call.mutates and stale else None) or call.late_error or "ok"
+    code = call.gate or shut or call.domain_error or ("expired_policy_action" if call.rests and stale else None) or call.late_error or "ok"
     if code == "ok":
         state = (call.effect or status, bool(finalized or call.finalizes), stale if call.selects_stale is None else bool(call.selects_stale))
     return state, code

@@ -57,10 +57,10 @@ def test_batches_restart_and_late_calls(spark, sf, rocks, tmp_path):
 
 
 def test_closed_cases_are_forgotten(spark, rocks, tmp_path):
-    call = lambda case, hour, tool, **k: (case, 0, 0, 0, 0.0, tool, *[{"mutates": True, "finalizes": False, **k}.get(c) for c in E.CALL], hour)
+    call = lambda case, hour, tool, **k: (case, 0, 0, 0, 0.0, tool, *[{"mutates": True, "rests": True, "finalizes": False, **k}.get(c) for c in E.CALL], hour)
     rows = [call(1, 0, "finalize_case", effect="finalized", finalizes=True), call(2, 0, "release_item", effect="released")]
     later = [call(9, 30, "x")], [call(9, 31, "x")], [call(9, 32, "x")], [call(1, 40, "release_item", effect="released"), call(2, 40, "finalize_case", effect="finalized", finalizes=True)], [call(9, 400, "x")]
-    schema = "case_id long, step int, part long, supp long, amount double, tool string, gate string, domain_error string, late_error string, effect string, selects_stale boolean, mutates boolean, finalizes boolean, hour int"
+    schema = "case_id long, step int, part long, supp long, amount double, tool string, gate string, domain_error string, late_error string, effect string, selects_stale boolean, mutates boolean, rests boolean, finalizes boolean, hour int"
     made = None
     for n, part in enumerate((rows, *later)):
         made = spark.createDataFrame(part, schema).withColumn("at", F.expr("timestamp'2020-01-01 00:00:00' + make_dt_interval(0, hour)"))
