@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions.canonical import canonical
 from palimpsest.operators import datasets as D
-from palimpsest.operators import temporal as T
 from palimpsest.operators import keyword_search
+from palimpsest.operators import temporal as T
 from palimpsest.operators import verify as V
 from palimpsest.operators.containment import contained
 from palimpsest.plans.catalog_domain import TERMS, total
+from palimpsest.plans.projection import World
 from palimpsest.plans.registry import query
 
 query("jon10_text_containment", """SELECT item_id, b.text <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""", world=False)(
     lambda w: contained(w.table("benchmark"), "item_id", w.table("documents")))
+def nested(w: World) -> DataFrame:
+    """A document for each conversation: its turns in order, and sizes by turn."""
+    size = F.length("text")
+    rows = w.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", size.alias("size")))).alias("a"))
+    turns = F.transform("a", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), (t["size"] / 1e6).alias("share")))
+    sizes = F.map_from_entries(F.transform("a", lambda t: F.struct(t["turn"].cast("string"), F.array(t["size"].cast("double"), t["size"] / 8))))
+    return rows.select("conv_id", F.struct(turns.alias("turns"), "conv_id", sizes.alias("sizes")).alias("doc"))
+
+
+# Conversations as nested documents. The oracle writes each text's characters beyond ASCII as UTF-16 units.
+ASCII = lambda c: rf"""list_aggregate(list_transform(string_split(to_json({c})::VARCHAR, ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN format('\u{{:04x}}', unicode(c))
+  ELSE format('\u{{:04x}}\u{{:04x}}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), 'string_agg', '')"""
+query("hsh02b_nested_json", f"""SELECT conv_id, sha256('{{"conv_id":' || conv_id || ',"sizes":{{' || string_agg('"' || turn || '":[' || length(text)::DOUBLE || ',' || length(text) / 8 || ']', ',' ORDER BY turn::VARCHAR) || '}},"turns":[' || string_agg('{{"role":' || {ASCII("role")} || ',"share":' || length(text) / 1e6 || ',"text":' || {ASCII("text")} || '}}', ',' ORDER BY turn) || ']}}') AS sha
+  FROM conversations GROUP BY conv_id""", world=False)(lambda w: nested(w).select("conv_id", F.sha2(canonical(F.col("doc"), nested(w).schema["doc"].dataType), 256).alias("sha")))
 # Each benchmark text as a query of words.
 query("srt02b_keyword_search", r"""WITH d AS (SELECT doc_id, lower(concat_ws(' ', text, source)) AS hay FROM documents), q AS (SELECT item_id AS q, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS words FROM benchmark),
 s AS (SELECT q, doc_id, len(list_filter(words, lambda w: contains(hay, w))) AS hits, len(words) AS n FROM q, d), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, doc_id) AS rank FROM s)
