@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import datasets as D
+from palimpsest.operators.frames import new_folder
 from palimpsest.plans.projection import World
 from palimpsest.plans.registry import query
+from palimpsest.sources import bundle as B
+from palimpsest.sources import files as S
 
 CLAUSE = "Under {key} every decision of the domain is kept on record for ten years"
 
@@ -102,3 +105,32 @@ SELECT case_id, 'eval' AS side FROM ev UNION ALL SELECT case_id, 'train' FROM fr
 query("dst08c_manifests", f"{SETS}{FOUND} SELECT * FROM found")(lambda w: found(D.together(sft(w), dpo(w), held(w))))
 query("dst11b_stamp_events", f"""{SETS}{FOUND}
 SELECT f.name, CASE WHEN s.name IS NULL THEN 'missing_stamp' ELSE 'hash_changed' END AS event FROM found f LEFT JOIN (SELECT * FROM recorded WHERE name <> 'eval') s USING (name) WHERE s.hash IS DISTINCT FROM f.hash""")(changed_stamps)
+
+
+# Bundles of files. Small parts are one sorted file, whose digest the oracle knows; large ones are many.
+def bundled(w: World) -> DataFrame:
+    one = lambda df, order: df.orderBy(order).coalesce(1)
+    customers = w.table("customer")
+    parts = {
+        "nation": (one(w.table("nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey"), S.write_jsonl),
+        "segments": (one(customers.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n")), "segment"), lambda df, p: S.write_csv(df, p, ["segment", "n"])),
+        "customers": (customers.select("c_custkey", "c_name", "c_mktsegment").repartition(8), S.write_jsonl),
+    }
+    root = new_folder(w.spark, "bundles")
+    B.write_bundle(w.spark, root, "tables", parts)
+    files = B.digests(w.spark, B.current(w.spark, root, "tables"))
+    return files.groupBy("part").agg(F.sum("n_bytes").alias("n_bytes"), F.when(F.count(F.lit(1)) == 1, F.min("sha256")).alias("sha256"))
+
+
+def changed_bundle(w: World) -> DataFrame:
+    """What is found in a bundle of the sets after one of them was written again in place."""
+    root = new_folder(w.spark, "bundles")
+    version = B.write_bundle(w.spark, root, "sets", {n: (df, S.write_jsonl) for n, df in (("sft", sft(w)), ("dpo", dpo(w)), ("eval", held(w)))})
+    S.write_jsonl(dpo(w).withColumn("chosen", F.lit("other")), f"{version}/dpo")
+    return B.changes(w.spark, version).select("part", "event").distinct()
+
+
+query("snk08_bundle", """WITH t AS (SELECT 'nation' AS part, string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' || chr(10), '' ORDER BY n_nationkey) AS t FROM nation
+  UNION ALL SELECT 'segments', 'segment,n' || chr(10) || string_agg(s || ',' || n || chr(10), '' ORDER BY s) FROM (SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1))
+SELECT part, strlen(t)::BIGINT AS n_bytes, sha256(t) AS sha256 FROM t UNION ALL SELECT 'customers', sum(strlen('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}') + 1)::BIGINT, NULL FROM customer""", world=False)(bundled)
+query("dst11c_changed_bundle", f"{SETS} SELECT DISTINCT 'dpo' AS part, event FROM dpo, (VALUES ('missing_file'), ('unknown_file')) e(event)")(changed_bundle)
