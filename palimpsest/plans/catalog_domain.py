@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import budgets
 from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import retrieval as R
@@ -171,6 +172,18 @@ query("dst05_pairs", f"SELECT case_id, kind, CASE kind WHEN 'stale' THEN 1.0 WHE
 query("dst07_rl_pairs", f"SELECT customer, max(r) AS good, min(r) AS bad FROM (SELECT customer, {total(list(TERMS))} AS r FROM checked) GROUP BY 1 HAVING max(r) > min(r)")(
     lambda w: w.runs.select("customer", F.round(V.reward(), 6).alias("r")).groupBy("customer").agg(F.max("r").alias("good"), F.min("r").alias("bad")).where("good > bad"))
 query("dst10_version_gate", "SELECT split, count(*) FILTER (WHERE version = '2.0') = 0 AS clean FROM cases GROUP BY 1")(lambda w: w.cases.groupBy("split").agg((F.count_if(F.col("version") == "2.0") == 0).alias("clean")))
+def token_pairs(w):  # noqa: ANN001, ANN201
+    """Preference pairs around every document, within token budgets. No SQL: the lengths are those of a tokenizer."""
+    import public_tokenizers
+
+    text = F.coalesce("text", F.lit(""))
+    prompt = F.concat(F.lit(budgets.SYSTEM + "\nCase "), "doc_id", F.lit("\n"), text, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nPolicy history:\n"), text)).otherwise(""), F.lit("\nCurrent policy: keep records\nTool schema: release_item"))
+    rows = w.table("documents").select("doc_id", prompt.alias("prompt"), F.concat(F.lit("release "), text).alias("chosen"), F.concat(text, F.lit(" quarantine")).alias("rejected"))
+    return budgets.fit_pairs(rows, "doc_id", budgets.Budget(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
+
+
+query("dst12b_token_pairs", world=False)(token_pairs)
+query("agg11b_token_report", world=False)(lambda w: budgets.report(token_pairs(w)))
 query("dst12_token_budget", f"""SELECT doc_id, length(text) > 512 OR length(p) // 4 > 96 AS cut, CASE WHEN length(p) // 4 <= 96 THEN p ELSE 'Case ' || doc_id || chr(10) ||
   CASE WHEN length(p2) // 4 <= 96 THEN 'Policy history:' || chr(10) || h || chr(10) ELSE '' END || 'Current policy: keep records' END AS prompt FROM (SELECT *, 'Case ' || doc_id || chr(10) || 'Policy history:' || chr(10) || h || chr(10) || 'Current policy: keep records' AS p2,
   'Case ' || doc_id || chr(10) || 'Examples:' || chr(10) || e || chr(10) || 'Policy history:' || chr(10) || h || chr(10) || 'Current policy: keep records' AS p FROM (SELECT doc_id, text, repeat('ab', 20 + (doc_id % 100)::INT) AS e, repeat('cd', 20 + (doc_id % 150)::INT) AS h FROM documents)) WHERE text IS NOT NULL""", world=False)(
