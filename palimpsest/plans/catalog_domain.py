@@ -10,6 +10,7 @@ from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import verify as V
+from palimpsest.operators.bootstrap import interval
 from palimpsest.operators.vector_index import search
 from palimpsest.plans.registry import query
 
@@ -60,6 +61,8 @@ query("agg07_bootstrap_ci", f""", h AS (SELECT domain, CASE WHEN success THEN 1.
   u AS (SELECT domain, x, r * 16 + i AS b, [{DRAWS}][i + 1] AS u FROM h, range(16) s(i)),
   m AS (SELECT domain, b, round(sum(w * x) / greatest(1, sum(w)), 9) AS m FROM (SELECT domain, x, b, {" + ".join(f"(u >= {t})::INT" for t in R.POISSON)} AS w FROM u) GROUP BY 1, 2),
   s AS (SELECT domain, list_sort(list(m)) AS m FROM m GROUP BY 1) SELECT domain, m[{int(0.025 * R.ROUNDS) + 1}] AS lo, m[{int(0.975 * R.ROUNDS)}] AS hi FROM s""")(lambda w: R.bootstrap(w.runs.select("case_id", "domain", one("success").alias("x")), "case_id", "domain", "x"))
+# A thousand rounds of exact multinomial draws; random numbers have no SQL.
+query("agg07b_multinomial_ci")(lambda w: interval(w.runs.select("case_id", "domain", one("success").alias("x")), "case_id", "domain", "x"))
 query("agg08_split_distinct", "SELECT split, count(DISTINCT template) AS templates, count(DISTINCT customer) AS customers FROM cases GROUP BY 1")(lambda w: w.orders.groupBy("split").agg(F.count_distinct("template").alias("templates"), F.count_distinct("customer").alias("customers")))
 query("agg09_counters", "SELECT tool, failed, count(*) AS n FROM actions GROUP BY 1, 2")(lambda w: w.actions.groupBy("tool", "failed").agg(N().alias("n")))
 query("agg10_preference_report", "SELECT count(*) AS n, count(*) - count(DISTINCT (lang, source)) AS duplicates, round(avg(length(text)), 6) AS mean_length FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0", world=False)(
