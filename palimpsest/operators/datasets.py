@@ -198,27 +198,42 @@ def finalized_as(raw: Column, allowed: list[str]) -> tuple[Column, Column]:
     return base, base.isin(allowed)
 
 
+def turns(sizes: list[int], most: int) -> list[tuple[int, int, int, int, int]]:
+    """(group, visits before, visits, first turn, step) of stretches in which the groups, numbered in order, take turns evenly.
+
+    A group's rows get the turns first, first + step, ... A stretch ends when a turn falls on a group that has run out; all groups that
+    have run out are then left out, and the place in the list stays the number of turns taken so far.
+    """
+    names, left, taken, done, out = list(range(len(sizes))), list(sizes), [0] * len(sizes), 0, []
+    while done < most and names:
+        n = len(names)
+        place = {g: (i - done) % n for i, g in enumerate(names)}  # turns until a group's next one
+        span = min(min(left[g] * n + place[g] for g in names), most - done)
+        for g in names:
+            visits = max(0, -(-(span - place[g]) // n))
+            if visits:
+                out.append((g, taken[g], visits, done + place[g] + 1, n))
+                taken[g] += visits
+                left[g] -= visits
+        done += span
+        names = [g for g in names if left[g]]
+    return out
+
+
 def round_robin(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """(key, turn): one row of each group in turn, groups in order, until `most` are taken; a group that runs out is left out while the place in the list of
     groups goes on from where it was, so the order after that is not by (row, group). Only the first `most` rows of a group can be taken.
+
+    The turns follow from the groups' sizes alone (a number a group on the driver; groups are classes); each row's turn is then a product.
+    Null groups take no part.
     """
-    first = rows.select(group, key).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_k") <= most)
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        queues = {g: x.sort_values("_k")[key].tolist() for g, x in pdf.groupby(group)}
-        names, at, out = sorted(queues), 0, []
-        while len(out) < most and names:
-            own = queues[names[at % len(names)]]
-            if own:
-                out.append(own.pop(0))
-                at += 1
-            else:
-                names = [n for n in names if queues[n]]
-        return pd.DataFrame({key: out, "turn": range(1, len(out) + 1)})
-
-    return first.groupBy(F.lit("all")).applyInPandas(run, f"{key} long, turn long")  # `most` rows of each group at most
+    first = rows.where(F.col(group).isNotNull()).select(group, key).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_k") <= most)
+    sizes = first.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(group).collect()
+    found = [(sizes[g][0], before, visits, start, step) for g, before, visits, start, step in turns([r.n for r in sizes], most)]
+    kind = dict(rows.dtypes)[group]
+    plan = rows.sparkSession.createDataFrame(found, f"_g {kind}, _before long, _visits long, _first long, _step long")
+    met = first.join(F.broadcast(plan), (F.col(group) == F.col("_g")) & (F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_visits")))  # a few rows a group
+    return met.select(key, (F.col("_first") + (F.col("_k") - F.col("_before") - 1) * F.col("_step")).alias("turn"))
 
 
 # How sections of a prompt begin.

@@ -12,6 +12,7 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import verify as V
 from palimpsest.operators.bootstrap import interval
 from palimpsest.operators.vector_index import search
+from palimpsest.plans.projection import SQL
 from palimpsest.plans.registry import query
 
 one = lambda c: F.when(F.col(c) if isinstance(c, str) else c, 1.0).otherwise(0.0)
@@ -209,4 +210,13 @@ for name, (sql, col) in STRATEGIES.items():
 query("dst14_budget_random", "SELECT case_id FROM checked ORDER BY ('0x' || substr(sha256('42:' || case_id), 1, 8))::BIGINT, case_id LIMIT 60")(lambda w: w.runs.orderBy(X.hash_order(42, F.col("case_id")), "case_id").limit(60).select("case_id"))
 query("dst14_budget_diversity", "SELECT case_id FROM (SELECT case_id, domain, row_number() OVER (PARTITION BY template ORDER BY domain, case_id) AS k FROM checked) ORDER BY k > 1, domain, case_id LIMIT 60")(
     lambda w: D.first_of_each(w.runs.select("template", "domain", "case_id"), "template", 60, "domain", "case_id").select("case_id"))
-query("dst13_replay_version_aware")(lambda w: D.round_robin(w.cases.where("version in ('1.0', '1.1') and split = 'train'"), "domain", "case_id", 64))
+# The loop itself, turn by turn: q holds the groups that are left with what they have.
+LOOP = lambda group, most: f""", k AS (SELECT case_id, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY case_id) AS k FROM cases WHERE version IN ('1.0', '1.1') AND split = 'train'),
+  n AS (SELECT g, least(count(*), {most}) AS n FROM k GROUP BY 1),
+  s AS (SELECT 0::BIGINT AS turn, (SELECT list({{'g': g, 'n': n, 'rest': n}} ORDER BY g) FROM n) AS q, NULL::VARCHAR AS g, NULL::BIGINT AS k
+    UNION ALL SELECT CASE WHEN c.rest > 0 THEN turn + 1 ELSE turn END, CASE WHEN c.rest > 0 THEN list_transform(q, lambda x, i: CASE WHEN i = turn % len(q) + 1 THEN {{'g': x.g, 'n': x.n, 'rest': x.rest - 1}} ELSE x END) ELSE list_filter(q, lambda x: x.rest > 0) END,
+      CASE WHEN c.rest > 0 THEN c.g END, CASE WHEN c.rest > 0 THEN c.n - c.rest + 1 END FROM (SELECT *, q[turn % len(q) + 1] AS c FROM s WHERE turn < {most} AND len(q) > 0))
+  SELECT case_id, turn FROM s JOIN k USING (g, k)"""
+eligible = lambda w: w.cases.where("version in ('1.0', '1.1') and split = 'train'")
+for name, group, most in (("dst13_replay_version_aware", "domain", 64), ("dst13b_replay_all_templates", "template", 20_000)):
+    query(name, SQL.replace("WITH versions", "WITH RECURSIVE versions", 1) + LOOP(group, most), world=False)(lambda w, group=group, most=most: D.round_robin(eligible(w), group, "case_id", most))

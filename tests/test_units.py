@@ -110,6 +110,26 @@ def test_prompt_truncation_keeps_the_policy(spark):
     assert got[40].startswith("Case xx") and got[40].endswith("Current policy: keep\nTool schema: {}") and len(got[40]) // 4 <= 40
 
 
+def test_turns_as_the_loop():
+    import random
+
+    from palimpsest.operators.datasets import turns
+
+    rng = random.Random(7)
+    for _ in range(400):
+        sizes, most = [rng.randrange(0, rng.choice([3, 8, 30])) for _ in range(rng.randrange(0, 9))], rng.choice([1, 5, 20, 1000])
+        names, left, at, want = list(range(len(sizes))), list(sizes), 0, []
+        while at < most and names:
+            g = names[at % len(names)]
+            if left[g]:
+                want.append((at + 1, g, sizes[g] - left[g] + 1))
+                left[g], at = left[g] - 1, at + 1
+            else:
+                names = [g for g in names if left[g]]
+        got = [(first + i * step, g, before + i + 1) for g, before, visits, first, step in turns(sizes, most) for i in range(visits)]
+        assert sorted(got) == want
+
+
 def test_round_robin_after_exhaustion(spark):
     from palimpsest.operators import datasets as D
 
