@@ -150,6 +150,13 @@ def assert_clean(events: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("m") == 0, True).otherwise(F.raise_error(F.concat(F.lit("leakage: "), "said")).cast("boolean")).alias("passed"))
 
 
+def assert_versions(rows: DataFrame, column: str, allowed: list[str], most: int = 20) -> DataFrame:
+    """passed (true), or the query fails with the versions found that may not be trained on; a null version may not either."""
+    other = rows.where(~F.coalesce(F.col(column).isin(allowed), F.lit(False))).groupBy(F.coalesce(F.col(column), F.lit("none")).alias("v")).count()
+    found = other.orderBy("v").limit(most).agg(F.count(F.lit(1)).alias("m"), F.concat_ws(", ", F.array_sort(F.collect_list("v"))).alias("said"))
+    return found.select(F.when(F.col("m") == 0, True).otherwise(F.raise_error(F.concat(F.lit("forbidden versions: "), "said")).cast("boolean")).alias("passed"))
+
+
 def clean_split(cases: DataFrame, per_domain: int | None = None) -> DataFrame:
     """case_id, side: held-out cases of the held-out versions as eval; as train those of the training versions that share no customer with them.
 

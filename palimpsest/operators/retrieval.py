@@ -8,15 +8,22 @@ it lacks evidence for. Vectors are searched through an inverted file (`vector_in
 
 from __future__ import annotations
 
-from math import exp, factorial
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import sha256
+from math import exp, factorial, sqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import bigrams, tokens
+from palimpsest.functions.text import tokens
+from palimpsest.operators.frames import importable
 from palimpsest.operators.vector_index import Index, search
 
 POOL, K, EVERY = 30, 5, 20
+#: Digests of features that a task keeps.
+CACHE = 500_000
 VERSIONS = ["1.0", "1.1", "2.0"]
 # Whether a mode keeps effective hits of the case's domain only, reranks by metadata, and prefers the case's domain where it can.
 MODES = {
@@ -86,13 +93,42 @@ def ablation(vectors: DataFrame, searched: Index) -> DataFrame:
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256, seed: int = 0) -> DataFrame:
-    """Feature hashing as (key, slot, x): words count 1, adjacent pairs 0.5, signs by hash, L2-normalised."""
-    t = rows.select(key, tokens(F.col(text)).alias("t"))
-    f = t.select(key, F.explode("t").alias("tok")).withColumn("v", F.lit(1.0)).unionByName(t.select(key, F.explode(bigrams(F.col("t"))).alias("tok")).withColumn("v", F.lit(0.5)))
-    s = F.sha2(F.concat(F.lit(f"{seed}:"), "tok"), 256)
-    number = F.conv(F.concat(*[F.substring("s", i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
-    b = f.withColumn("s", s).groupBy(key, (number % dim).alias("slot")).agg(F.sum(F.when(F.conv(F.substring("s", 9, 2), 16, 10).cast("int") % 2 == 0, F.col("v")).otherwise(-F.col("v"))).alias("x")).where("x <> 0")
-    return b.select(key, "slot", F.round(F.col("x") / F.greatest(F.lit(1e-8), F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))), 6).alias("x"))
+    """Feature hashing as (key, slot, x): words count 1, adjacent pairs 0.5, signs by hash, L2-normalised.
+
+    A text's features are counted and summed where it is read: nothing is exploded or shuffled. Digests of features are kept from text to
+    text in a table of bounded size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(feature: str) -> tuple[int, float]:
+            if feature not in known:
+                if len(known) >= CACHE:
+                    known.clear()
+                digest = sha256(f"{seed}:{feature}".encode()).digest()
+                known[feature] = int.from_bytes(digest[:4], "little") % dim, 1.0 if digest[4] % 2 == 0 else -1.0
+            return known[feature]
+
+        for b in batches:
+            sizes, slots, values = [], [], []
+            for words in b.column(1).to_pylist():
+                x: dict[int, float] = {}
+                for weight, features in ((1.0, words or []), (0.5, map("_".join, zip(words or [], (words or [])[1:], strict=False)))):
+                    for feature, n in Counter(features).items():
+                        slot, sign = place(feature)
+                        x[slot] = x.get(slot, 0.0) + weight * sign * n
+                kept = [(s, v) for s, v in sorted(x.items()) if v]
+                norm = max(1e-8, sqrt(sum(v * v for _, v in kept)))
+                sizes.append(len(kept))
+                slots += [s for s, _ in kept]
+                values += [v / norm for _, v in kept]
+            keys = b.column(0).take(pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(slots, pa.int64()), pa.array(values, pa.float64())], names=[key, "slot", "x"])
+
+    importable(rows.sparkSession)
+    found = rows.select(key, tokens(F.col(text)).alias("t")).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, slot long, x double")
+    return found.withColumn("x", F.round("x", 6))
 
 
 def f1(precision: Column, recall: Column) -> Column:

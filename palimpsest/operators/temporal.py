@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import asof
+from palimpsest.operators.frames import BROADCAST_BYTES
+
 
 def in_force(at: Column, start: Column, end: Column) -> Column:
     """Half-open window: start <= at < end, a null end is open."""
     return (start <= at) & (end.isNull() | (at < end))
 
 
-def resolve_active(cases: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each case with the policy of its domain in force at occurred_at (null if none).
+def resolve_active(cases: DataFrame, policies: DataFrame, few: bool = False) -> DataFrame:
+    """Each case with the policy of its domain in force at occurred_at (null if none); windows of a domain don't overlap.
 
-    The calendar is a dimension of literal size, so it is broadcast; windows of a domain don't overlap, so no aggregate is needed.
+    A calendar within a checked size, or one that the caller knows to be literal (`few`), is broadcast, as a domain's versions are then
+    few; any other is met by an as-of join.
     """
-    p = F.broadcast(policies.select(F.col("domain").alias("_d"), "policy_id", "version", "policy_key", F.col("effective_at").alias("_a"), F.col("expires_at").alias("_b")))
-    return cases.join(p, (F.col("domain") == F.col("_d")) & in_force(F.col("occurred_at"), F.col("_a"), F.col("_b")), "left").drop("_d", "_a", "_b")
+    if few or policies.count() * 256 <= BROADCAST_BYTES:
+        p = F.broadcast(policies.select(F.col("domain").alias("_d"), "policy_id", "version", "policy_key", F.col("effective_at").alias("_a"), F.col("expires_at").alias("_b")))
+        return cases.join(p, (F.col("domain") == F.col("_d")) & in_force(F.col("occurred_at"), F.col("_a"), F.col("_b")), "left").drop("_d", "_a", "_b")
+    return asof.in_force(cases, policies, ["domain"], "occurred_at", "effective_at", "expires_at", ["policy_id", "version", "policy_key"])
 
 
 def latest_active(cases: DataFrame, policies: DataFrame) -> DataFrame:

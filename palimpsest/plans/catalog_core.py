@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import datasets as D
 from palimpsest.operators import temporal as T
+from palimpsest.operators.frames import stored
 from palimpsest.plans.registry import query
 
 day = lambda c, alias=None: F.date_format(c, "yyyy-MM-dd").alias(alias or c)
@@ -41,6 +42,8 @@ query("flt06_metadata_fallback", "SELECT event_id, coalesce(CASE WHEN event_type
     lambda w: w.table("events").select("event_id", F.coalesce(F.when(F.col("event_type") == "view", F.concat(F.lit("v"), F.col("user_id") % 3)), F.get_json_object("props", "$.k")).alias("version")))
 query("flt07_version_filter", "SELECT case_id, version FROM cases WHERE version IN ('1.0', '1.1')")(lambda w: w.cases.where(F.col("version").isin("1.0", "1.1")).select("case_id", "version"))
 query("flt08_forbidden_versions", "SELECT case_id, version FROM cases WHERE split = 'train' AND version IN ('2.0') ORDER BY case_id LIMIT 50")(lambda w: w.cases.where("split = 'train'").where(F.col("version").isin("2.0")).orderBy("case_id").limit(50).select("case_id", "version"))
+query("flt08b_version_gate", "SELECT count(*) FILTER (WHERE version IS NULL OR version NOT IN ('1.0', '1.1')) = 0 AS passed FROM cases WHERE occurred_at < TIMESTAMP '1999-01-01'")(
+    lambda w: D.assert_versions(w.cases.where("occurred_at < timestamp_ntz'1999-01-01'"), "version", ["1.0", "1.1"]))
 query("flt09_field_present", "SELECT case_id, count(*) FILTER (WHERE tool = 'inspect_evidence' AND NOT failed) > 0 OR bool_or(amount > 90000) AS present FROM actions GROUP BY 1")(
     lambda w: w.actions.groupBy("case_id").agg((F.count_if((F.col("tool") == "inspect_evidence") & ~F.col("failed")) > 0).alias("a"), F.bool_or(F.col("amount") > 90000).alias("b")).select("case_id", (F.col("a") | F.col("b")).alias("present")))
 query("flt10_first_match", "SELECT case_id, min(n) FILTER (WHERE cited LIKE '%@9.9') AS first_bad FROM steps GROUP BY 1")(
@@ -53,9 +56,15 @@ query("flt15_pref_bucket", "SELECT item_id, CASE WHEN contains(s, 'stale') THEN
     lambda w: w.table("benchmark").select("item_id", X.preference_bucket(F.concat("text", F.when(F.col("item_id") % 4 == 0, " Stale unsafe").when(F.col("item_id") % 4 == 1, " UNSAFE").when(F.col("item_id") % 4 == 2, " invalid_tool").otherwise(""))).alias("bucket")))
 
 # Joins
+def pairs_of(runs):  # noqa: ANN001, ANN201
+    """Each success with each failure of the same customer and template; runs are made once."""
+    failed = runs.where("not success").select("customer", "template", F.col("case_id").alias("rejected"))
+    return runs.where("success").join(failed, ["customer", "template"]).select("customer", F.col("case_id").alias("chosen"), "rejected", "expected")
+
+
 query("jon04_traj_case_inner", "SELECT a.case_id, count(*) AS n_steps FROM actions a JOIN cases USING (case_id) GROUP BY 1")(lambda w: w.actions.join(w.orders.select("case_id"), "case_id").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_steps")))
 query("jon05_pair_three_way", "SELECT a.customer, a.case_id AS chosen, b.case_id AS rejected, c.expected FROM checked a JOIN checked b ON a.customer = b.customer AND a.success AND NOT b.success AND a.template = b.template JOIN cases c ON c.case_id = a.case_id")(
-    lambda w: w.runs.where("success").select("customer", "template", F.col("case_id").alias("chosen")).join(w.runs.where("not success").select("customer", "template", F.col("case_id").alias("rejected")), ["customer", "template"]).join(w.orders.select(F.col("case_id").alias("chosen"), "expected"), "chosen").select("customer", "chosen", "rejected", "expected"))
+    lambda w: pairs_of(stored(w.runs.select("customer", "template", "case_id", "expected", "success"), "runs")))
 query("jon06_teacher_left", "SELECT c.case_id, t.case_id IS NULL AS missing FROM cases c LEFT JOIN (SELECT DISTINCT case_id FROM actions) t USING (case_id)")(
     lambda w: w.orders.select("case_id").join(w.actions.select("case_id").distinct().withColumn("t", F.lit(True)), "case_id", "left").select("case_id", F.col("t").isNull().alias("missing")))
 query("jon07_replay_or_fallback", "SELECT c.case_id, coalesce(r.answer, 'fallback') AS answer FROM cases c LEFT JOIN checked r ON r.case_id = c.case_id AND r.success")(

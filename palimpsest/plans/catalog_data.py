@@ -69,7 +69,7 @@ PLAN = f"""plan AS (SELECT domain, template, version AS planned, CASE WHEN templ
   ELSE effective_at + to_days(({HASH.format("day")} % greatest(1, date_diff('day', effective_at, coalesce(expires_at, effective_at + INTERVAL 730 DAYS))))::INT) + to_hours({HASH.format("hour")} % 24) END AS occurred_at
   FROM (SELECT DISTINCT domain, template FROM cases0), versions)"""
 templates = lambda w: w.orders.select("domain", "template").distinct().withColumn("boundary", F.col("template").endswith("URGENT"))
-planned = lambda w: T.resolve_active(D.case_plan(templates(w), w.policies), w.policies)
+planned = lambda w: T.resolve_active(D.case_plan(templates(w), w.policies), w.policies, few=True)
 query("dst01_case_plan", f""", {PLAN} SELECT a.template, a.planned, strftime(a.occurred_at, '%Y-%m-%d %H') AS occurred, p.policy_key FROM plan a LEFT JOIN policies p ON p.domain = a.domain AND p.effective_at <= a.occurred_at AND (p.expires_at IS NULL OR a.occurred_at < p.expires_at)""")(
     lambda w: planned(w).select("template", "planned", F.date_format("occurred_at", "yyyy-MM-dd HH").alias("occurred"), "policy_key"))
 query("dst02_rendered_cases", f""", {PLAN} SELECT template, planned, 'Case of ' || template || ' on ' || strftime(occurred_at, '%Y-%m-%d') || ' in domain ' || domain || '.' AS text FROM plan""")(

@@ -68,6 +68,18 @@ query("agg08_split_distinct", "SELECT split, count(DISTINCT template) AS templat
 query("agg09_counters", "SELECT tool, failed, count(*) AS n FROM actions GROUP BY 1, 2")(lambda w: w.actions.groupBy("tool", "failed").agg(N().alias("n")))
 query("agg10_preference_report", "SELECT count(*) AS n, count(*) - count(DISTINCT (lang, source)) AS duplicates, round(avg(length(text)), 6) AS mean_length FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0", world=False)(
     lambda w: w.table("documents").join(w.table("labels").where("quality = 1 and toxic = 0"), "doc_id").agg(N().alias("n"), (N() - F.count_distinct("lang", "source")).alias("duplicates"), mean(F.length("text"), "mean_length")))
+MARGINS = lambda: f"SELECT case_id, customer, kind, CASE kind WHEN 'stale' THEN 1.0 WHEN 'unsupported' THEN greatest(0.1, {total(list(TERMS))} + 1.0) ELSE greatest(0.1, {total(list(TERMS))} + 1.5) END::DOUBLE AS margin FROM checked, (VALUES ('stale'), ('unsupported'), ('unsafe')) t(kind) WHERE success"
+
+
+def margins(w):  # noqa: ANN001, ANN201
+    """Preference pairs by kind with their reward margins."""
+    rows = w.runs.where("success").select("case_id", "customer", F.round(V.reward(), 6).alias("r"), F.explode(F.array(*map(F.lit, ("stale", "unsupported", "unsafe")))).alias("kind"))
+    margin = F.when(F.col("kind") == "stale", 1.0).when(F.col("kind") == "unsupported", F.greatest(F.lit(0.1), F.col("r") + 1.0)).otherwise(F.greatest(F.lit(0.1), F.col("r") + 1.5))
+    return rows.select("case_id", "customer", "kind", margin.alias("margin"))
+
+
+query("agg10b_preference_margins", f"SELECT kind, count(*) AS n, count(*) - count(DISTINCT customer) AS duplicates, round(avg(margin), 6) AS mean_margin, min(margin) AS least FROM ({MARGINS()}) GROUP BY kind")(
+    lambda w: margins(w).groupBy("kind").agg(N().alias("n"), (N() - F.count_distinct("customer")).alias("duplicates"), mean("margin", "mean_margin"), F.min("margin").alias("least")))
 query("agg11_length_stats", "SELECT role, min(length(text)) AS least, round(avg(length(text)), 6) AS mean, max(length(text)) AS most, count(*) FILTER (WHERE length(text) > 1000) AS over FROM conversations GROUP BY 1", world=False)(
     lambda w: w.table("conversations").withColumn("c", F.length("text").cast("long")).groupBy("role").agg(F.min("c").alias("least"), mean("c", "mean"), F.max("c").alias("most"), F.count_if(F.col("c") > 1000).alias("over")))
 query("agg12_teacher_report", "SELECT count(*) AS calls, count(*) FILTER (WHERE success) AS accepted, count(*) FILTER (WHERE NOT success) AS rejected, CAST(sum(n_steps * 120) AS BIGINT) AS tokens, round(sum(n_steps * 120) / 1000.0 * 0.002, 6) AS cost FROM checked")(

@@ -137,6 +137,11 @@ VERSIONS, CASE = "SELECT case_id, version AS policy_version, split FROM cases",
 round_trip("snk01_src01_json", S.write_json, lambda s, p: S.read_json(s, p, NATION), nations, NATIONS, False)
 round_trip("snk02_src04_jsonl", S.write_jsonl, lambda s, p: S.read_jsonl(s, p, CASE), versions, VERSIONS)
 round_trip("src05_jsonl_version_filter", S.write_jsonl, lambda s, p: S.read_jsonl(s, p, CASE, versions=["1.0", "1.1"], limit=500, order="case_id"), versions, VERSIONS + " WHERE version IN ('1.0', '1.1') ORDER BY case_id LIMIT 500")
+# Every third row has its text in its messages, every other one its version in its metadata.
+round_trip("src05b_training_rows", S.write_jsonl, lambda s, p: S.read_training(s, p, ["1.0", "1.1"], 2000), lambda w: w.cases.select(
+    "case_id", F.when(F.col("case_id") % 3 != 0, F.concat(F.lit("case "), "case_id")).otherwise("").alias("text"), F.when(F.col("case_id") % 3 == 0, F.array(F.struct(F.lit("user").alias("role"), F.lit("a question").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("expected").alias("content")))).alias("messages"),
+    F.when(F.col("case_id") % 2 == 0, F.col("version")).alias("policy_version"), F.struct(F.when(F.col("case_id") % 2 != 0, F.col("version")).alias("policy_version")).alias("metadata")),
+    "SELECT case_id, CASE WHEN case_id % 3 <> 0 THEN 'case ' || case_id ELSE expected END AS text, version AS policy_version FROM cases WHERE version IN ('1.0', '1.1') ORDER BY case_id LIMIT 2000")
 round_trip("snk03_partitioned", lambda df, p: S.write_jsonl(df, p, ["split"]), lambda s, p: s.read.schema(CASE).json(p).select("case_id", "policy_version", "split"), versions, VERSIONS)
 round_trip("snk04_csv", lambda df, p: S.write_csv(df, p, ["n_name", "n_nationkey"]), lambda s, p: s.read.option("header", True).schema("n_name string, n_nationkey long").csv(p), nations, "SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation", False)
 round_trip("src02_directory", lambda df, p: [S.write_json(df, f"{p}/a"), S.write_json(df.withColumn("n_name", F.upper("n_name")), f"{p}/b")], lambda s, p: S.read_directory(s, p, NATION, ["n_nationkey"]), nations, NATIONS.replace("n_name,", "upper(n_name) AS n_name,"), False)

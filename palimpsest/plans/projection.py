@@ -51,7 +51,7 @@ class World:
 
         Every 13th case expects version 1.0, in force or not; a case within 45 days of a new year is tagged as at a version boundary.
         """
-        found = temporal.resolve_active(self.orders, self.policies)
+        found = temporal.resolve_active(self.orders, self.policies, few=True)
         return found.withColumns({
             "expected_key": F.when(F.col("case_id") % 13 == 0, F.concat("policy_id", F.lit("@1.0"))).otherwise(F.col("policy_key")),
             "boundary": F.dayofyear("occurred_at") <= 45, "has_evidence": F.col("case_id") % 5 != 0, "lacks_evidence": F.col("expected") == "request_evidence",

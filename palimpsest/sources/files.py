@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from palimpsest.functions.json_schema import schema_of
+
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A document that is an object or a list of objects."""
@@ -24,6 +26,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, version
     return df
 
 
+TRAINING = "case_id long, text string, messages array<struct<role:string,content:string>>, policy_version string, metadata struct<policy_version:string>"
+
+
+def read_training(spark: SparkSession, path: str, versions: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """case_id, text, policy_version of training rows: the text, or where it is empty the last message's; the version, or where it is null that of the metadata.
+
+    Only the versions asked for, then the first rows by case_id. No row at all is an error.
+    """
+    df = spark.read.schema(TRAINING).json(path)
+    last = F.get("messages", F.size("messages") - 1)["content"]
+    df = df.select("case_id", F.coalesce(F.when(F.col("text") != "", F.col("text")), last, F.lit("")).alias("text"), F.coalesce("policy_version", "metadata.policy_version").alias("policy_version"))
+    if versions is not None:
+        df = df.where(F.col("policy_version").isin(versions))
+    if limit is not None:
+        df = df.orderBy("case_id").limit(limit)
+    if df.isEmpty():
+        raise ValueError(f"no training rows: {path}")
+    return df
+
+
 def read_directory(spark: SparkSession, root: str, schema: StructType | str, key: list[str]) -> DataFrame:
     """All JSON documents under root but schemas; of equal keys the last path wins."""
     df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(root).withColumn("_path", F.col("_metadata.file_path"))
@@ -43,8 +65,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def json_schema(df: DataFrame) -> dict:
-    """The frame's schema as a JSON-ready value."""
-    return df.schema.jsonValue()
+    """The JSON Schema of the frame's rows."""
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema"} | schema_of(df.schema, False)
 
 
 def manifest(df: DataFrame, name: str) -> DataFrame:

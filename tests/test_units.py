@@ -184,3 +184,21 @@ def test_naive_times_are_utc(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [r[0] for r in got] == [1709294400] * 4 + [None]
+
+
+def test_gates_that_fail(spark, tmp_path):
+    import pytest
+
+    from palimpsest.operators import datasets as D
+    from palimpsest.sources import files as S
+
+    rows = spark.createDataFrame([("1.0",), ("2.0",), (None,)], "v string")
+    with pytest.raises(Exception, match="forbidden versions: 2.0, none"):
+        D.assert_versions(rows, "v", ["1.0", "1.1"]).collect()
+    assert D.assert_versions(rows.where("v = '1.0'"), "v", ["1.0"]).collect()[0].passed
+    (tmp_path / "rows.jsonl").write_text('{"case_id":1,"text":"","messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"metadata":{"policy_version":"1.1"}}\n\n{"case_id":2,"text":"t","policy_version":"2.0"}\n{"case_id":3}\n')
+    got = S.read_training(spark, str(tmp_path)).orderBy("case_id").collect()
+    assert [tuple(r) for r in got] == [(1, "b", "1.1"), (2, "t", "2.0"), (3, "", None)]
+    with pytest.raises(ValueError, match="no training rows"):
+        S.read_training(spark, str(tmp_path), ["9.9"])
+    assert S.json_schema(rows) == {"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "properties": {"v": {"type": ["string", "null"]}}, "required": [], "additionalProperties": False}
