@@ -8,6 +8,7 @@ characters across white space.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 # The system line, how sections begin, how a policy is cited, and the names of what was done.
 SYSTEM = "You are a policy-aware enterprise operations agent."
-CURRENT = re.compile(r"(?:Retrieved current policies:|Current policy(?: clause)?:|Active policy:)", re.IGNORECASE)
-TOOLS = re.compile(r"(?:Available tools:|Tool schema:|Tools:\s*\[|tools\s*=\s*\[)", re.IGNORECASE)
+# The first letters as a class of their own, by which a search passes over all else at once.
+CURRENT = re.compile(r"(?-i:[RrCcAa])(?:(?<=r)etrieved current policies:|(?<=c)urrent policy(?: clause)?:|(?<=a)ctive policy:)", re.IGNORECASE)
+TOOLS = re.compile(r"(?-i:[AaTt])(?:(?<=a)vailable tools:|(?<=t)ool(?: schema:|s:\s*\[|s\s*=\s*\[))", re.IGNORECASE)
 EXAMPLES = re.compile(r"\n(?:Optional examples|Examples|Few-shot examples)\s*:\s*\n", re.IGNORECASE)
 HISTORY = re.compile(r"\n(?:Policy history|Superseded policies|Older policies|Redundant policy history)\s*:\s*\n", re.IGNORECASE)
-CLAUSE = re.compile(r"(?:\[[^\]\n]+@[\d.]+\][^\n]*|policy(?:_id| version)?[^\n]{0,80}(?:effective|version)[^\n]*)", re.IGNORECASE)
+CLAUSE = re.compile(r"(?-i:[\[Pp])(?:(?<=\[)[^\]\n]+@[\d.]+\][^\n]*|(?<=p)olicy(?:_id| version)?[^\n]{0,80}(?:effective|version)[^\n]*)", re.IGNORECASE)
 ASKS_POLICY, ASKS_TOOLS = "Cite the active policy version", "Use tools as needed"
 REMOVED_EXAMPLES, REMOVED_HISTORY, TRIMMED_OLDER, CUT_TAIL = "removed_optional_examples", "removed_policy_history", "trimmed_older_policy_context", "truncated_user_case_tail"
 LOST_POLICY, LOST_TOOLS, IDENTICAL = "current_policy_clause_lost", "tool_schema_lost", "chosen_rejected_identical_after_completion_truncation"
@@ -32,12 +34,34 @@ PAIR = "prompt string, chosen string, rejected string, prompt_tokens int, chosen
 
 
 class Tokens:
+    """Texts as their pieces between white space, each tokenized once: the tokens of a text are those of its pieces, one after the other."""
+
+    PIECE, KEPT, LONG = re.compile(r"[^ \t\n\r]+"), 1 << 17, 64  # so many pieces are kept, longer ones never
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        # The last few texts are asked for again at once.
         self.encoded = functools.lru_cache(8)(lambda text: tokenizer.encode(text, add_special_tokens=False))
+        self.known: dict[str, tuple[int, ...]] = {}
+        # The last few texts are asked for again at once.
+        self.count = functools.lru_cache(8)(lambda text: sum(map(len, self.each(self.PIECE.findall(text)))))
+
+    def each(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each piece; those not yet known are tokenized as one text and told apart by where their tokens begin."""
+        if not (new := {*pieces}.difference(self.known)):
+            return [self.known[p] for p in pieces]
+        if len(self.known) > self.KEPT:
+            self.known, new = {}, {*pieces}
+        words = [*new]
+        ids, ends = self.ids(text := " ".join(words)), np.cumsum([len(p) + 1 for p in words])
+        cuts = np.searchsorted(self.places(text)[:, 0], ends).tolist()
+        self.known |= {p: tuple(ids[x:y]) for p, x, y in zip(words, [0, *cuts], cuts, strict=False)}
+        out = [self.known[p] for p in pieces]
+        for p in words:
+            if len(p) > self.LONG:
+                del self.known[p]
+        return out
 
     def places(self, text: str) -> np.ndarray:
         """(first, behind last) character of each token."""
@@ -46,8 +70,27 @@ class Tokens:
     def ids(self, text: str) -> list[int]:
         return self.encoded(text).ids
 
-    def count(self, text: str) -> int:
-        return len(self.encoded(text))
+    def head(self, text: str, n: int) -> list[tuple[int, int, int]]:
+        """(first, behind last character, number of tokens) of text's pieces up to that with token number n + 1, or all if it has no more."""
+        out, at, used = [], 0, 0
+        while m := self.PIECE.search(text, at):
+            # Some pieces at a time, as what comes behind is not asked for.
+            end = min(len(text), m.end() + 512)
+            at, end = end, m.end() if (m := self.PIECE.match(text, end - 1)) else end
+            spans = [x.span() for x in self.PIECE.finditer(text, out[-1][1] if out else 0, end)]
+            for (x, y), ids in zip(spans, self.each([text[x:y] for x, y in spans]), strict=True):
+                out.append((x, y, len(ids)))
+                used += len(ids)
+                if used > n:
+                    return out
+            at = end
+        return out
+
+    def end(self, text: str, n: int) -> int:
+        """Behind the last character of token number n, which text has."""
+        head = self.head(text, n - 1)
+        x, y, k = head[-1]
+        return x + int(self.places(text[x:y])[n - 1 - sum(k for _, _, k in head[:-1]), 1])
 
 
 def without(text: str, section: re.Pattern) -> str:
@@ -101,8 +144,8 @@ class Tail:
         room = most - tokens.count(self.at(0))
         if room < 0:
             return None
-        words = np.array([m.span() for m in re.finditer(r"\S+", self.body)], dtype=np.int64).reshape(-1, 2)
-        upto = np.searchsorted(tokens.places(self.body)[:, 0], words[:, 1])  # tokens up to each word's end
+        head = tokens.head(self.body, room)
+        words, upto = np.array([h[:2] for h in head], dtype=np.int64).reshape(-1, 2), np.cumsum([h[2] for h in head])  # tokens up to each word's end
         whole = int(np.searchsorted(upto, room, side="right"))
         n = len(self.body)
         if whole < len(words):
@@ -139,10 +182,9 @@ def fit_prompt(text: str, tokens: Tokens, most: int) -> tuple[str, list[str]]:
 
 def first_tokens(text: str, tokens: Tokens, most: int) -> str:
     """text up to the end of its token number `most`, stripped; a token less as long as what is left has more tokens."""
-    places = tokens.places(text)
-    if len(places) <= most:
+    if tokens.count(text) <= most:
         return text
-    while most and tokens.count(cut := text[: places[most - 1, 1]].strip()) > most:
+    while most and tokens.count(cut := text[: tokens.end(text, most)].strip()) > most:
         most -= 1
     return cut if most else ""
 
@@ -171,7 +213,7 @@ def fit_pair(prompt: str, chosen: str, rejected: str, tokens: Tokens, budget: Bu
         if (n := tokens.count(side)) > budget.completion:
             said.append(f"{name}_completion_truncated_from_end:{n}->{budget.completion}")
             side = first_tokens(side, tokens, budget.completion)
-        sides.append((side, tokens.ids(side)))
+        sides.append((side, [*itertools.chain(*tokens.each(tokens.PIECE.findall(side)))]))
     (a, x), (b, y) = sides
     if x and x == y:
         said.append(IDENTICAL)

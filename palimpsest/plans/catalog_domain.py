@@ -194,7 +194,9 @@ def token_pairs(w):  # noqa: ANN001, ANN201
 
     text = F.coalesce("text", F.lit(""))
     prompt = F.concat(F.lit(budgets.SYSTEM + "\nCase "), "doc_id", F.lit("\n"), text, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nPolicy history:\n"), text)).otherwise(""), F.lit("\nCurrent policy: keep records\nTool schema: release_item"))
-    rows = w.table("documents").select("doc_id", prompt.alias("prompt"), F.concat(F.lit("release "), text).alias("chosen"), F.concat(text, F.lit(" quarantine")).alias("rejected"))
+    # A file may be one task only; fitting takes milliseconds a document.
+    documents = w.table("documents").select("doc_id", "text").repartition(4 * w.spark.sparkContext.defaultParallelism)
+    rows = documents.select("doc_id", prompt.alias("prompt"), F.concat(F.lit("release "), text).alias("chosen"), F.concat(text, F.lit(" quarantine")).alias("rejected"))
     return budgets.fit_pairs(rows, "doc_id", budgets.Budget(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
 

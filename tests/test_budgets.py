@@ -51,6 +51,29 @@ def test_first_tokens(tokens):
     assert B.first_tokens(text, tokens, n) == text
 
 
+def test_pieces_as_whole_texts():
+    """Counts and ends by pieces against tokenizing the text at once; known pieces are not tokenized again."""
+    from tokenizers import Tokenizer
+
+    whole, tokens = Tokenizer.from_file(PATH), B.Tokens(PATH)
+    text = "Zürich's ΣΑΣ, e\u0301te\u00a0漢字\x1c!\x1c! <|endoftext|> I'LL\n\tfind_2.0 İx  ﬁne don't " * 40
+    for t in (text, "", " \n", "x" * 300, text + "y" * 70):
+        got = whole.encode(t, add_special_tokens=False)
+        assert tokens.count(t) == len(got)
+        assert [i for p in tokens.each(tokens.PIECE.findall(t)) for i in p] == got.ids
+        assert [tokens.end(t, n) for n in range(1, len(got) + 1, 7)] == [got.offsets[n - 1][1] for n in range(1, len(got) + 1, 7)]
+    tokens.count("x")
+    tokens.encoded = None
+    assert tokens.count(text + " x" + "\nI'LL") > 0
+
+
+def test_documents_of_one_file_are_many_tasks(spark, sf):
+    from palimpsest.plans.catalog_domain import token_pairs
+    from palimpsest.plans.projection import World
+
+    assert token_pairs(World(spark, sf)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_pairs_and_report(spark):
     with pytest.raises(ValueError):
         B.Budget(10, 8, 8)
