@@ -246,12 +246,17 @@ def report(fitted: DataFrame, least_percent: float = 95.0) -> DataFrame:
     differ, pairs without any loss token, warnings by kind (text before a colon), and whether the gate is passed.
     """
     cols = {"prompt": "prompt_tokens", "chosen_completion": "chosen_tokens", "rejected_completion": "rejected_tokens", "chosen_loss": "chosen_tokens", "rejected_loss": "rejected_tokens", "first_difference": "first_difference"}
-    kind = F.transform("warnings", lambda x: F.substring_index(x, ":", 1))
-    sums = fitted.agg(
-        *(f(c).alias(f"{n}_{f.__name__}") for n, c in cols.items() for f in (F.min, F.avg, F.max)), F.count(F.lit(1)).alias("n"), F.count_if("survived").alias("survived"),
+    # Pairs are grouped by their kinds of warnings first, of which there are few sets, so that each pair is fitted once.
+    kinds = F.coalesce(F.array_sort(F.transform("warnings", lambda x: F.substring_index(x, ":", 1))), F.array().cast("array<string>"))
+    parts = fitted.groupBy(kinds.alias("kinds")).agg(
+        *(f(c).alias(f"{n}_{f.__name__}") for n, c in cols.items() for f in (F.min, F.sum, F.count, F.max)), F.count(F.lit(1)).alias("n"), F.count_if("survived").alias("survived"),
         F.count_if((F.col("chosen_tokens") == 0) | (F.col("rejected_tokens") == 0)).alias("empty"))
+    sums = parts.agg(
+        *(F.min(f"{n}_min").alias(f"{n}_min") for n in cols), *((F.sum(f"{n}_sum") / F.sum(f"{n}_count")).alias(f"{n}_avg") for n in cols), *(F.max(f"{n}_max").alias(f"{n}_max") for n in cols),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "survived", "empty")), F.collect_list(F.struct("kinds", "n")).alias("sets"))
     lengths = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_min").cast("double").alias("least"), F.col(f"{n}_avg").alias("mean"), F.col(f"{n}_max").cast("double").alias("most")) for n in cols])
     percent = F.when(F.col("n") > 0, 100.0 * F.col("survived") / F.col("n")).otherwise(0.0)
-    said = fitted.select(F.explode(kind).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("w", "n")))).alias("warnings"))  # a row for each kind
-    return sums.crossJoin(F.broadcast(said)).select(
-        "n", percent.alias("percent"), "empty", "warnings", lengths.alias("lengths"), ((F.col("n") > 0) & (percent >= least_percent) & (F.col("empty") == 0)).alias("passed"))
+    names = F.array_sort(F.array_distinct(F.flatten("sets.kinds")))
+    often = lambda k: F.aggregate("sets", F.lit(0).cast("long"), lambda n, x: n + x["n"] * F.size(F.filter(x["kinds"], lambda y: y == k)))
+    said = F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("w"), F.coalesce(often(k), F.lit(0)).alias("n"))))
+    return sums.select("n", percent.alias("percent"), "empty", said.alias("warnings"), lengths.alias("lengths"), ((F.col("n") > 0) & (percent >= least_percent) & (F.col("empty") == 0)).alias("passed"))

@@ -67,6 +67,12 @@ def test_pieces_as_whole_texts():
     assert tokens.count(text + " x" + "\nI'LL") > 0
 
 
+def test_report_fits_each_pair_once(spark):
+    pairs = spark.createDataFrame([(1, "a", "b", "c")], "id long, prompt string, chosen string, rejected string")
+    plan = B.report(B.fit_pairs(pairs, "id", B.Budget(tokenizer=PATH)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_documents_of_one_file_are_many_tasks(spark, sf):
     from palimpsest.plans.catalog_domain import token_pairs
     from palimpsest.plans.projection import World
