@@ -69,8 +69,8 @@ def _prints(width: int):
     return run
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WORDS)
+def _words(column: pa.Array, width: int = WORDS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,18 +173,38 @@ def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return with_class(right, left, "a", "n", total).select("a", "b", "va", "vb")
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, keys, value, size): value followed by a bit for each mask whose key is in keys, in two words, and the size."""
+    for b in batches:
+        value = _words(b.column(2))
+        has = np.zeros((b.num_rows, 128), dtype=bool)
+        for i, (own, listed) in enumerate(zip(keys(value).view(np.int64), b.column(1).to_pylist(), strict=True)):
+            has[i, : len(own)] = np.isin(own, listed)
+        told = np.concatenate((value, np.packbits(has, axis=1).view("<u8"), b.column(3).to_numpy(zero_copy_only=False).astype("<u8")[:, None]), axis=1)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in told], pa.binary())], names=["node", "keys", "value"])
+
+
 def _cross(most: int):
-    """Over rows sorted by (bucket, tile): candidates between different components, a of the larger; of each b the `most` likeliest (0: all)."""
+    """Over rows (block: -1 where a block meets itself) sorted by (bucket, tile): candidates between different components, a of the larger; of each b the `most` likeliest (0: all).
+
+    A pair is made once, in the bucket of the first mask whose bucket both are in, and between two blocks only of rows of either.
+    """
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, _, node, root, value = rows
-        _, own, size = np.unique(root, return_inverse=True, return_counts=True)
-        rank = np.lexsort((np.arange(len(size)), size)).argsort()[own]  # the larger component of two has the higher rank
+        key, _, block, node, root, told = rows
+        value, size = told[:, :WORDS], told[:, -1].astype(np.int64)
+        has = np.unpackbits(np.ascontiguousarray(told[:, WORDS:-1]).view(np.uint8), axis=1)[:, : SEARCH * len(MASKS)].astype(bool)
+        _, own, count = np.unique(root, return_inverse=True, return_counts=True)
+        rank = np.lexsort((np.arange(len(count)), count)).argsort()[own]  # the larger component of two has the higher rank
         found = []
-        for i in np.flatnonzero(rank != len(size) - 1):
-            at = np.flatnonzero(rank > rank[i])
+        for i in np.flatnonzero(rank != len(count) - 1):
+            at = np.flatnonzero((rank > rank[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])))
+            at = at[block[at] != block[i]] if block[i] >= 0 else at
             differ = np.bitwise_count(value[at] ^ value[i]).sum(1, dtype=np.int64)
             at, differ = at[differ <= ALL_BITS], differ[differ <= ALL_BITS]
+            both = (((value[at, :SEARCH] ^ value[i, :SEARCH])[:, :, None] & MASKS) == 0).reshape(len(at), SEARCH * len(MASKS)) & has[at] & has[i]
+            here = keys(value[i : i + 1])[0].view(np.int64)[both.argmax(1)] == key[0]
+            at, differ = at[here], differ[here]
             at = at[np.argsort(differ, kind="stable")[:most]] if most else at
             if len(at):
                 found.append((node[at], np.full(len(at), node[i])))
@@ -196,7 +216,7 @@ def _cross(most: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [*(c.to_numpy(zero_copy_only=False) for c in b.columns[:4]), _words(b.column(4))]
+            cols = [*(c.to_numpy(zero_copy_only=False) for c in b.columns[:5]), _words(b.column(5), WORDS + 3)]
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             edges = [0, *(np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1).tolist()]
             for x, y in zip(edges, edges[1:]):
@@ -226,17 +246,19 @@ def similar_links(prints: DataFrame, documents: DataFrame, width: int, tile: int
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stored(_beside(stored(pairs, "pairs"), sets).mapInArrow(_exact, "a long, b long"), "links")
 
+    sizes = sets.select("node", F.expr("length(value) div 8").cast("long").alias("size"))
+    told = stored(shared.join(values, "node").join(sizes, "node").select("node", "keys", "value", "size").mapInArrow(_told, "node long, keys array<long>, value binary"), "told")
     links = confirmed(found.where("node <> other").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct())
     for most in (LIKELY, 0):
-        named = shared.join(values, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = told.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = named.select(F.explode("keys").alias("key"), "node", "root", "value")
         if large.isEmpty():
-            rows = rows.withColumn("tile", F.lit(0).cast("long"))
+            rows = rows.withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(-1))
         else:
             rows = rows.join(bounded(large, 32), "key", "left").withColumn("own", F.expr("cast(pmod(xxhash64(node), coalesce(g, 1)) as int)"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)))
-            rows = rows.withColumn("tile", (F.least("own", "other") * F.coalesce("g", F.lit(1)) + F.greatest("own", "other")).cast("long"))
-        tiles = rows.select("key", "tile", "node", "root", "value").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
+            rows = rows.withColumn("tile", (F.least("own", "other") * F.coalesce("g", F.lit(1)) + F.greatest("own", "other")).cast("long")).withColumn("block", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")))
+        tiles = rows.select("key", "tile", "block", "node", "root", "value").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
         links = links.unionByName(confirmed(tiles.mapInArrow(_cross(most), "a long, b long").distinct()))
     return links
 

@@ -121,3 +121,22 @@ def test_pipeline_stage_against_brute_force(spark):
 def test_similar_at_the_border():
     x = np.arange(10, dtype=np.uint64)
     assert similar(x[:9], x[1:]) and not similar(x[:8], x[1:9]) and similar(x[:0], x[:0])
+
+
+def test_a_pair_is_made_once():
+    """Of a dense group each candidate pair comes from one bucket and one tile, and none is left out."""
+    rng = np.random.default_rng(8)
+    words = [f"d{i}" for i in range(300)]
+    sets = [shingles(edited(rng, words, 2)) for _ in range(60)]
+    value = np.array([majority(x, WORDS) for x in sets])
+    own = keys(value).view(np.int64)
+    listed = [[k for k in row.tolist() if rng.random() < 0.7] for row in own]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array([v.tobytes() for v in value], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["node", "keys", "value", "size"])
+    told = next(near_copies._told(iter([batch]))).column(2).to_pylist()
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if {*listed[i]} & {*listed[j]} and np.bitwise_count(value[i] ^ value[j]).sum() <= near_copies.ALL_BITS}
+    for blocks in (1, 3):
+        rows = sorted((k, min(i % blocks, o) * blocks + max(i % blocks, o), -1 if i % blocks == o else i % blocks, i) for i in range(60) for k in listed[i] for o in range(blocks))
+        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), *[pa.array([r[3] for r in rows], pa.int64())] * 2, pa.array([told[r[3]] for r in rows], pa.binary())]
+        table = pa.Table.from_batches(list(near_copies._cross(0)(iter(pa.table(cols, names=["key", "tile", "block", "node", "root", "value"]).to_batches(500)))))
+        got = [frozenset(p) for p in zip(*(table[c].to_pylist() for c in ("a", "b")), strict=True)]
+        assert len(got) == len({*got}) and {*got} == want and len(want) > 500
