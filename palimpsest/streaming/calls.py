@@ -1,7 +1,9 @@
-"""The tool environment on a stream: a state for each case, calls folded in their order once the watermark has passed them."""
+"""The tool environment on a stream: cases in groups, calls folded in their order once the watermark has passed them."""
 
 from __future__ import annotations
 
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,7 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from palimpsest.operators.environment import CALL
 from palimpsest.operators.frames import importable
 
-STATE = "status string, finalized boolean, stale boolean, n long, folded long"
+#: Of a group of cases: what each case is at, the calls that wait (both pickled), and when its one timer goes off.
+STATE = "cases binary, waiting binary, due long"
 OUT = "n long, tool string, code string, status string, finalized boolean"
 
 
@@ -27,56 +30,68 @@ def take_call(state: tuple, call: Any) -> tuple[tuple, str]:
 
 
 class CaseFold(StatefulProcessor):
-    """Calls wait in a list until a timer says that the watermark has passed them; then they are folded in order.
+    """Calls of a group of cases wait until a timer says that the watermark has passed the first; then all that it has passed are folded in order.
 
     So calls that come late, but before the watermark, are folded in their place; what the watermark has passed is dropped by Spark. A
-    finalized case is forgotten `keep_ms` after its last call, unless calls of it wait.
+    finalized case is forgotten `keep_ms` after its last call, unless calls of it wait. Each use of the state costs a call to the JVM, some
+    milliseconds in all for a group and batch; so cases are kept in groups, whose state is read and written as one.
     """
 
-    def __init__(self, key: str, order: list[str], call_schema: str, keep_ms: int):
-        self.key, self.order, self.call_schema, self.keep_ms = key, order, call_schema, keep_ms
+    def __init__(self, key: str, order: list[str], keep_ms: int):
+        self.key, self.order, self.keep_ms = key, order, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.case = handle.getValueState("case", STATE)
-        self.waiting = handle.getListState("waiting", self.call_schema)
+        self.state = handle.getValueState("group", STATE)
+        self.call = namedtuple("Call", ["case", "call_ms", *(f"order_{i}" for i in range(len(self.order))), "tool", *CALL])
+
+    def held(self) -> tuple[dict, list, int | None]:
+        """Of each case (status, finalized, stale, n, when its last call was), the calls that wait, and the timer."""
+        cases, waiting, due = self.state.get() if self.state.exists() else (None, None, None)
+        return pickle.loads(cases) if cases else {}, pickle.loads(waiting) if waiting else [], due  # noqa: S301
+
+    def hold(self, cases: dict, waiting: list, due: int | None) -> None:
+        if cases or waiting:
+            self.state.update((pickle.dumps(cases), pickle.dumps(waiting), due))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
         import pandas as pd
 
-        calls = pd.concat(list(rows))
-        at = calls.pop("call_ms")
-        calls.insert(0, "call_ms", at)
-        calls = calls.drop(columns=[c for c in (self.key, "call_time") if c in calls]).astype(object)
-        self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in calls.itertuples(index=False)])
-        self.handle.registerTimer(int(at.max()))
+        cases, waiting, due = self.held()
+        for part in rows:
+            part = part[[self.key, "call_ms", *self.order, "tool", *CALL]].astype(object)
+            waiting += part.where(pd.notna(part), None).itertuples(index=False, name=None)
+        first = min(int(c[1]) for c in waiting)
+        if due is None or first < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = first
+            self.handle.registerTimer(due)
+        self.hold(cases, waiting, due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: ANN001, N802, N803
         import pandas as pd
 
-        now = int(expiredTimerInfo.getExpiryTimeInMs())
-        status, finalized, stale, n, last = self.case.get() if self.case.exists() else ("open", False, False, 0, 0)
-        names = [c.split()[0] for c in self.call_schema.split(", ")]
-        calls = pd.DataFrame(list(self.waiting.get()), columns=names, dtype=object) if self.waiting.exists() else pd.DataFrame(columns=names)
-        due = calls[calls["call_ms"] <= now].sort_values(["call_ms", *self.order], kind="stable")
-        rest = calls[calls["call_ms"] > now]
-        state, out = (status, finalized, stale), []
-        for call in due.itertuples(index=False, name="Call"):
-            state, code = take_call(state, call)
-            n += 1
-            out.append((*key, n, call.tool, code, state[0], state[1]))
-        if out:
-            last = max(last, int(due["call_ms"].max()))
-            self.case.update((*state, n, last))
-            if len(rest):
-                self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
-            else:
-                self.waiting.clear()
-            if state[1]:
-                self.handle.registerTimer(last + self.keep_ms)
-        elif finalized and not len(rest) and now >= last + self.keep_ms:
-            self.case.clear()
+        now = max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs()))
+        cases, waiting, _ = self.held()
+        rest, out = [c for c in waiting if c[1] > now], []
+        for c in sorted((c for c in waiting if c[1] <= now), key=lambda c: [(v is None, v) for v in c[1 : 2 + len(self.order)]]):
+            call = self.call(*c)
+            *state, n, last = cases.get(call.case, ("open", False, False, 0, 0))
+            state, code = take_call(tuple(state), call)
+            cases[call.case] = (*state, n + 1, max(last, int(call.call_ms)))
+            out.append((call.case, n + 1, call.tool, code, state[0], state[1]))
+        wait = {c[0] for c in rest}
+        ends = {k: v[4] + self.keep_ms for k, v in cases.items() if v[1] and k not in wait}
+        for k in [k for k, end in ends.items() if end <= now]:
+            del cases[k], ends[k]
+        due = min([int(c[1]) for c in rest] + [*ends.values()], default=None)
+        if due is not None:
+            self.handle.registerTimer(due)
+        self.hold(cases, rest, due)
         if out:
             yield pd.DataFrame(out, columns=[self.key, *(c.split()[0] for c in OUT.split(", "))])
 
@@ -84,15 +99,15 @@ class CaseFold(StatefulProcessor):
         pass
 
 
-def fold_stream(calls: DataFrame, key: str, at: str, order: list[str], late: str = "1 hour", keep_ms: int = 30 * 86_400_000) -> DataFrame:
+def fold_stream(calls: DataFrame, key: str, at: str, order: list[str], late: str = "1 hour", keep_ms: int = 30 * 86_400_000, groups: int = 512) -> DataFrame:
     """As `environment.fold` on a stream of calls: key, n, tool, code, status and finalized of each call, once the watermark has passed it.
 
     `at` is the time of a call; calls of a case are folded by it, then by `order`. Rows later than `late` behind the latest are dropped,
-    and a finalized case's state goes `keep_ms` after its last call. Needs the RocksDB state store.
+    and a finalized case's state goes `keep_ms` after its last call. A case's group is by its key's hash; a group's cases and waiting
+    calls are in a task's memory, and `groups` stays as it is while a checkpoint is used. Needs the RocksDB state store.
     """
     importable(calls.sparkSession)
     kinds = dict(calls.dtypes)
     rows = calls.select(key, F.col(at).cast("timestamp").alias("call_time"), *order, "tool", *CALL).withWatermark("call_time", late)
-    rows = rows.withColumn("call_ms", F.unix_millis("call_time"))
-    waiting = ", ".join(["call_ms long", *(f"{c} {kinds[c]}" for c in (*order, "tool", *CALL))])
-    return rows.groupBy(key).transformWithStateInPandas(CaseFold(key, order, waiting, keep_ms), f"{key} {kinds[key]}, {OUT}", "Append", "EventTime")
+    rows = rows.withColumns({"call_ms": F.unix_millis("call_time"), "case_group": F.pmod(F.xxhash64(key), F.lit(groups))})
+    return rows.groupBy("case_group").transformWithStateInPandas(CaseFold(key, order, keep_ms), f"{key} {kinds[key]}, {OUT}", "Append", "EventTime")

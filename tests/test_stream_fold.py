@@ -68,3 +68,39 @@ def test_closed_cases_are_forgotten(spark, rocks, tmp_path):
     run(spark, f"{tmp_path}/in", made.schema, f"{tmp_path}/out", keep_ms=3_600_000, late="1 minute")
     got = {(r.case_id, r.n, r.code) for r in spark.read.parquet(f"{tmp_path}/out/rows").where("case_id < 9").collect()}
     assert got == {(1, 1, "ok"), (2, 1, "ok"), (1, 1, "ok"), (2, 2, "ok")}
+
+
+def test_a_group_of_cases_is_one_state():
+    """A hundred cases of one group: two reads and writes of the state and a timer, not some for each case."""
+    import pandas as pd
+
+    from palimpsest.streaming.calls import CaseFold
+
+    class Handle:
+        value, uses, timers = None, 0, []
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.uses = value, self.uses + 1
+
+    class Time:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    rows = [(case, 1000 * at, "x", *[{"mutates": True, "rests": True, "finalizes": False}.get(c) for c in E.CALL]) for case in range(100) for at in (2, 1, 9)]
+    fold, handle = CaseFold("case_id", [], 10**12), Handle()
+    fold.init(handle)
+    list(fold.handleInputRows(None, iter([pd.DataFrame(rows, columns=["case_id", "call_ms", "tool", *E.CALL])]), Time(0)))
+    out = pd.concat(fold.handleExpiredTimer(None, Time(5000), Time(1000)))
+    assert (len(out), sorted(set(out["n"])), handle.uses, handle.timers) == (200, [1, 2], 2, [1000, 9000])
